@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .mixing import mix_sources
+from .ngram_join import jaccard_components
 from .packing import best_fit_packing
 from .topk import exact_top_k
 
@@ -23,12 +24,16 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=75)
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_best_fit_packing, op4_source_mix, op10_exact_topk)
+    f.__name__: f for f in (op3_best_fit_packing, op4_source_mix, op7_ngram_join, op10_exact_topk)
 }
 
 ORACLE_SQL: dict[str, str] = {
