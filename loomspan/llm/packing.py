@@ -25,21 +25,49 @@ from .common import cut, pieces
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 NAMES = [x.split()[0] for x in PIECE_SCHEMA.split(", ")]
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 600_000
+
+
+_ENDS = ".,!?%&$#*:;\"()-|"
 
 
 class _WordIds(dict):
-    """Word to packed little-endian ids. The vocabulary's pre-tokenizer never joins across white space, so the ids of a
-    text are those of its words in order; repeated words are tokenized once."""
+    """Word to packed little-endian ids.
+
+    The vocabulary's pre-tokenizer never joins across white space, so the ids of a text are those of its words in order and
+    repeated words are tokenized once. It also splits punctuation from letters, so a word that ends in a letter and then
+    ASCII punctuation is put together from its two parts; an ASCII stem is looked up in lower case, which is what the
+    vocabulary's normalizer makes of it.
+    """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.stems: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def part(self, text: str) -> bytes:
+        ids = self.stems.get(text)
+        if ids is None:
+            ids = self.encode(text)
+            if len(text) <= 48:
+                if len(self.stems) >= _CACHE_WORDS:
+                    self.stems.clear()
+                self.stems[text] = ids
+        return ids
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        stem = word.rstrip(_ENDS)
+        if not stem[-1:].isalpha():
+            stem = word
+        tail = word[len(stem) :]
+        ids = self.part(stem.lower() if stem.isascii() else stem)
+        if tail:
+            ids += self.part(tail)
         if len(word) <= 48:
             if len(self) >= _CACHE_WORDS:
                 self.clear()
@@ -47,13 +75,13 @@ class _WordIds(dict):
         return ids
 
 
-_SPACES = str.maketrans("\t\n\r", "   ")
-
-
 def token_bytes(text: str | None, words: _WordIds, end_id: int) -> bytes:
     """All ids of one whole text, then the end id, as packed unsigned 32-bit integers."""
     tail = int(end_id).to_bytes(4, "little")
-    return b"".join(map(words.__getitem__, text.translate(_SPACES).split(" "))) + tail if text else tail
+    if not text:
+        return tail
+    spaced = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+    return b"".join(map(words.__getitem__, spaced.split(" "))) + tail
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
