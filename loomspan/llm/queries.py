@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .fingerprints import fingerprint_documents
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
 from .packing import best_fit_packing
@@ -16,6 +17,10 @@ from .topk import exact_top_k
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), TOKENIZER, capacity=4096, end_id=1)
 
@@ -33,7 +38,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_best_fit_packing, op4_source_mix, op7_ngram_join, op10_exact_topk)
+    f.__name__: f for f in (op1_fingerprints, op3_best_fit_packing, op4_source_mix, op7_ngram_join, op10_exact_topk)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -34,37 +34,52 @@ def block_top_k(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray,
             for j in sorted(seen, key=lambda j: (-scores[i, j], xid[j], j))[:k]:
                 yield i, int(order[j]), int(scores[i, j])
         return
+    kind = np.float32 if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2.0**23 else np.float64
     qf, xf = q.astype(np.float64), x.astype(np.float64)
     p = xf[np.linspace(0, len(x) - 1, min(pivots, len(x))).astype(int)]
     qq, xx, pp = (qf**2).sum(1), (xf**2).sum(1), (p**2).sum(1)
-    dx = np.sqrt(np.maximum(xx[:, None] + pp - 2 * xf @ p.T, 0)).astype(np.float32)
+    dx = np.sqrt(np.maximum(xx[:, None] + pp - 2 * xf @ p.T, 0)).astype(np.float32).T.copy()
     dq = np.sqrt(np.maximum(qq[:, None] + pp - 2 * qf @ p.T, 0)).astype(np.float32)
+    xk, qk = xf.astype(kind), qf.astype(kind)
+    far, gap = np.empty(len(x), np.float32), np.empty(len(x), np.float32)
     for i in range(len(q)):
-        far = np.abs(dx[:, 0] - dq[i, 0])
-        for m in range(1, len(p)):
-            np.maximum(far, np.abs(dx[:, m] - dq[i, m]), out=far)
+        far[:] = 0
+        for m in range(len(p)):
+            np.subtract(dx[m], dq[i, m], out=gap)
+            np.abs(gap, out=gap)
+            np.maximum(far, gap, out=far)
         # float32 distances are off by a few millionths; the slack keeps the bound safe
         slack = 1e-5 * float(dx.max(initial=0) + dq[i].max(initial=0)) + 1e-6
         bound = (qq[i] + xx - np.maximum(far - slack, 0).astype(np.float64) ** 2) / 2 + 1e-6 * (1 + abs(qq[i]))
-        by = np.argsort(-bound, kind="stable")
-        best_s, best_j = np.empty(0), np.empty(0, np.int64)
-        at, size = 0, step
-        while at < len(by):
-            if len(best_s) >= k and bound[by[at]] < best_s[-1]:
+        bound[xid == qid[i]] = -np.inf
+        first = np.argpartition(-bound, step)[:step] if len(x) > step else np.arange(len(x))
+        first = first[bound[first] > -np.inf]
+        now, s = _best(first, xk[first] @ qk[i], k)
+        bound[first] = -np.inf
+        while True:  # in bound order, twice as many at a time, until no bound left reaches the k-th score
+            left = np.flatnonzero(bound >= s[-1]) if len(s) >= k else np.flatnonzero(bound > -np.inf)
+            if not len(left):
                 break
-            now = by[at : at + size]
-            at, size = at + len(now), size * 2
-            now = now[xid[now] != qid[i]]
-            s = np.concatenate([best_s, xf[now] @ qf[i]])
-            j = np.concatenate([best_j, now])
-            keep = np.lexsort((j, -s))[:k]  # candidates are in id order, so the index breaks ties by id
-            best_s, best_j = s[keep], j[keep]
-        for s, j in zip(best_s.tolist(), best_j.tolist()):
-            yield i, int(order[j]), int(s)
+            if len(left) > 4 * step and len(left) * 4 < len(x):
+                left = left[np.argpartition(-bound[left], 4 * step)[: 4 * step]]
+            more = xk[left] @ qk[i] if len(left) * 4 < len(x) else (xk @ qk[i])[left]
+            bound[left] = -np.inf
+            now, s = _best(np.concatenate([now, left]), np.concatenate([s, more]), k)
+        for s_, j in zip(s.tolist(), now.tolist()):
+            yield i, int(order[j]), int(s_)
+
+
+def _best(rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores; rows are in id order, so the smaller row wins a tie."""
+    if len(rows) > k:
+        keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        rows, scores = rows[keep], scores[keep]
+    keep = np.lexsort((rows, -scores))[:k]
+    return rows[keep], scores[keep]
 
 
 def exact_top_k(
-    vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, pivots: int = 48, query_block: int = 4096, row_block: int = 4096,
+    vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, pivots: int = 48, query_block: int = 4096, row_block: int = 8192,
 ) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of each row whose id is divisible by ``every``.
 
