@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .ngram_join import jaccard_components
 from .packing import best_fit_packing
 from .topk import exact_top_k
+from .toxicity import toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -21,6 +22,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), TOKENIZER, capacity=4096, end_id=1)
 
@@ -38,7 +43,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprints, op3_best_fit_packing, op4_source_mix, op7_ngram_join, op10_exact_topk)
+    f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_best_fit_packing, op4_source_mix, op7_ngram_join, op10_exact_topk)
 }
 
 ORACLE_SQL: dict[str, str] = {
