@@ -12,6 +12,7 @@ from .fingerprints import fingerprint_documents
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
 from .packing import best_fit_packing
+from .secret_scan import secret_digest
 from .topk import exact_top_k
 from .toxicity import toxicity
 
@@ -38,12 +39,16 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_best_fit_packing, op4_source_mix, op7_ngram_join, op10_exact_topk)
+    f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_best_fit_packing, op4_source_mix, op7_ngram_join, op9_secret_scan, op10_exact_topk)
 }
 
 ORACLE_SQL: dict[str, str] = {
