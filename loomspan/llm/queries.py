@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .fingerprints import fingerprint_documents
+from .license_scan import licence_digest
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
 from .packing import best_fit_packing
+from .pii import pii_digest
 from .secret_scan import secret_digest
 from .topk import exact_top_k
 from .toxicity import toxicity
+from .url_filter import judge_pages
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -35,10 +38,22 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -48,7 +63,11 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_best_fit_packing, op4_source_mix, op7_ngram_join, op9_secret_scan, op10_exact_topk)
+    f.__name__: f
+    for f in (
+        op1_fingerprints, op2_toxicity, op3_best_fit_packing, op4_source_mix, op5_url_filter, op6_pii, op7_ngram_join, op8_license_scan,
+        op9_secret_scan, op10_exact_topk,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
