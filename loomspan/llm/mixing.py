@@ -145,3 +145,24 @@ def mix_sources(
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("h", "doc_id"))
     copies = F.col("each") + F.when(rank <= F.col("more") - F.col("before"), 1).otherwise(0)
     return dealt.join(g, same).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), "h")
+
+
+def apply_mix(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
+    """``docs`` (all columns) with every row as often as the mix takes it; rows it does not take go.
+
+    Rows that agree in doc_id and text share what the mix takes of them; only if there are such rows are they numbered.
+    """
+    plan = mix_sources(docs, seed=seed, **options)
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("long")
+    shares = cut(plan.groupBy(F.col("doc_id").alias("_m_id"), F.col("h").alias("_m_h")).agg(F.sum(times).alias("_m_times"), F.count("*").alias("_m_rows")), "mix-shares").filter("_m_times > 0")
+    names = docs.columns
+    hidden = docs.select(*[F.col(f"`{c}`").alias(f"_d{i}") for i, c in enumerate(names)])
+    text, doc = (F.col(f"_d{names.index(c)}") for c in ("text", "doc_id"))
+    rows = hidden.withColumn("_h", F.xxhash64(F.lit(seed), doc, text)).join(shares, (F.col("_h") == F.col("_m_h")) & doc.cast("long").eqNullSafe(F.col("_m_id")))
+    each = rows.filter("_m_rows = 1").withColumn("_times", F.col("_m_times"))
+    if not shares.filter("_m_rows > 1").isEmpty():
+        place = F.row_number().over(Window.partitionBy("_m_id", "_m_h").orderBy("_m_id"))
+        many = rows.filter("_m_rows > 1").withColumn("_times", F.floor(F.col("_m_times") / F.col("_m_rows")) + F.when(place <= F.col("_m_times") % F.col("_m_rows"), 1).otherwise(0))
+        each = each.union(many)
+    out = each.withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))))
+    return out.select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(names)])

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, drop, pieces, shuffle_partitions
@@ -284,11 +284,15 @@ def link_components(sets: DataFrame, percent: int = 75) -> DataFrame:
     return labels if labels is not None else spark.createDataFrame([], "node long, comp long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, range_hashes: int = 700_000) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row."""
+def _text_key(text: Column) -> Column:
+    return F.sha2(F.coalesce(text.cast("binary"), F.lit(b"")), 256)
+
+
+def placed_rows(docs: DataFrame, n: int = 5, percent: int = 75, range_hashes: int = 700_000) -> DataFrame:
+    """doc_id, key (of the text), n and place for every row; rows of one component share a place. Cut to the shared folder."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    keyed = rows.withColumn("key", F.sha2(F.coalesce("text", F.lit(b"")), 256))
+    keyed = rows.withColumn("key", _text_key(F.col("text")))
     named = cut(keyed.select("doc_id", "key", F.octet_length("text").alias("bytes")), "join-keys")
     copies = named.groupBy("key").agg(F.min(F.struct(F.col("doc_id"))).alias("rep"), F.max("bytes").alias("bytes")).select("key", F.col("rep.doc_id").alias("doc_id"), "bytes")
     total = copies.agg(F.sum("bytes")).first()[0] or 0
@@ -309,8 +313,33 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, range_has
     labels = link_components(sets, percent)
     classes = found.select("key", "node").distinct().join(labels, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
     placed = verdicts.join(classes, "key", "left").select("key", "n", F.coalesce(F.col("comp").cast("string"), "key").alias("place"))
-    every = cut(named.select("doc_id", "key").join(placed, "key").select("doc_id", "n", "place"), "join-rows")
+    return cut(named.select("doc_id", "key").join(placed, "key").select("doc_id", "key", "n", "place"), "join-rows")
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row."""
+    every = placed_rows(docs, n, percent)
     smallest = every.groupBy("place").agg(F.min("doc_id").alias("smallest"))
     return every.join(smallest, "place").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id")
     )
+
+
+def keep_one_per_component(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` (all columns) with one row of each component, that of the smallest doc_id; texts without words all stay."""
+    every = placed_rows(docs, n, percent)
+    leads = every.filter("n > 0").groupBy("place").agg(F.min(F.struct("doc_id", "key")).alias("lead")).select("place", "lead.*")
+    same = every.groupBy("place", "doc_id", "key").agg(F.count("*").alias("rows"))
+    l, s = leads.alias("l"), same.alias("s")
+    kept = l.join(s, (F.col("l.place") == F.col("s.place")) & (F.col("l.key") == F.col("s.key")) & F.col("l.doc_id").eqNullSafe(F.col("s.doc_id")))
+    kept = kept.select(F.col("l.doc_id").alias("_k_id"), F.col("l.key").alias("_k_key"), F.col("s.rows").alias("_k_rows"))
+    bare = every.filter("n = 0").select(F.col("doc_id").alias("_k_id"), F.col("key").alias("_k_key"), F.lit(1).cast("long").alias("_k_rows")).distinct()
+    kept = cut(kept.union(bare), "join-kept")
+    names = docs.columns
+    hidden = docs.select(*[F.col(f"`{c}`").alias(f"_d{i}") for i, c in enumerate(names)])
+    text, doc = f"_d{names.index('text')}", f"_d{names.index('doc_id')}"
+    out = hidden.withColumn("_key", _text_key(F.col(text).cast("string"))).join(kept, (F.col("_key") == F.col("_k_key")) & F.col(doc).cast("long").eqNullSafe(F.col("_k_id")))
+    once = out.filter("_k_rows = 1")
+    if not kept.filter("_k_rows > 1").isEmpty():
+        once = once.union(out.filter("_k_rows > 1").dropDuplicates(["_key", doc]))
+    return once.select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(names)])

@@ -166,14 +166,15 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every row of ``docs`` (all columns) with ``found``: array of (start, end, kind) by start, then rule order."""
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     low = docs.select(F.col("doc_id"), F.lower("text").alias("low")).filter(F.col("low").isNotNull())
-    flagged = candidates(low, rules).select(F.col("doc_id").alias("c_doc_id"), F.col("kinds").alias("c_kinds"))
-    joined = docs.alias("d").join(flagged, F.col("d.doc_id").eqNullSafe(F.col("c_doc_id")), "left")
+    flagged = candidates(low, rules).select(F.col("doc_id").alias("_c_doc_id"), F.col("kinds").alias("_c_kinds"))
+    rows = docs.drop("found").alias("d")
+    joined = rows.join(flagged, F.col("d.doc_id").eqNullSafe(F.col("_c_doc_id")), "left")
     order = F.array(*[F.lit(r.kind) for r in rules])
     each = []
     for rule in rules:
         may = F.col("d.text").rlike(_quick(rule))
         if trigram_query(rule):
-            may = F.coalesce(F.array_contains("c_kinds", rule.kind), F.lit(False)) & may
+            may = F.coalesce(F.array_contains("_c_kinds", rule.kind), F.lit(False)) & may
         each.append(F.when(may, spans_of(F.col("d.text"), rule)).otherwise(none))
     ranked = F.transform(F.concat(*each), lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     return joined.select("d.*", F.array_sort(ranked).alias("found"))
@@ -194,7 +195,8 @@ def secret_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "<secret>") -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` (overlapping spans once) and ``n_chars``, if there, counted anew."""
-    found = find_secrets(docs, rules)
+    clash = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c.lower() in ("found", "_c_doc_id", "_c_kinds")}
+    found = find_secrets(docs.withColumnsRenamed(clash), rules)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -209,4 +211,4 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str =
     out = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.drop("found").withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
