@@ -2,7 +2,7 @@
 
 Features: densities of a fixed lexicon and of one learned from labelled text, proximity to the second person, capitals,
 punctuation and obfuscation rates. Labelled documents train it; they are a bounded sample (``max_train``), split by hash into
-a part that learns the lexicon, a part that grows the trees and a part that calibrates. Labels, language, source and id are
+five parts: each part is described by a lexicon learned without it and calibrates on trees grown without it. Labels, language, source and id are
 never features. Every whole text is scored.
 
 Defined results: null and empty texts get the score of a text without words; documents without labels are scored alike;
@@ -108,37 +108,52 @@ def features(text: str | None, tokens: Tokens) -> list[float]:
     ]
 
 
-def _featured(lexicon: dict[str, float], tail: int):
-    """Feature rows followed by the ``tail`` columns that follow the text."""
+def _featured(lexicons: list[dict[str, float]]):
+    """(text, toxic, part) to (features, toxic, part); a row is described by its part's lexicon."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(lexicon)
+        tokens = [Tokens(lexicon) for lexicon in lexicons]
         for batch in batches:
-            rows = [features(t.as_py(), tokens) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.list_(pa.float64())), *[batch.column(1 + i) for i in range(tail)]],
-                ["x", *[batch.schema.names[1 + i] for i in range(tail)]],
-            )
+            rows = [features(t.as_py(), tokens[p.as_py()]) for t, p in zip(batch.column(0), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "toxic", "part"])
 
     return run
 
 
-def _learn_lexicon(sample: DataFrame, most: int, least: int) -> dict[str, float]:
-    """Words and word beginnings that mark toxic texts in the sample: smoothed log odds of document frequencies, the ``most`` surest of them."""
+def _odds(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float, most: int) -> np.ndarray:
+    """Smoothed log odds of document frequencies where they surely speak for toxicity (the ``most`` surest), else 0."""
+    odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
+    sure = odds / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+    fit = (odds > 1) & (sure > 2.5) & (bad >= max(2.0, 0.01 * n_bad))
+    fit[np.argsort(-np.where(fit, sure, -np.inf), kind="stable")[most:]] = False
+    return np.where(fit, odds, 0.0)
+
+
+def _learn_lexicons(sample: DataFrame, parts: int, most: int) -> list[dict[str, float]]:
+    """Words and word beginnings that mark toxic texts: for each part those learned without it, then those of the whole."""
     words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}0-9@$]+", " "), " "), lambda w: F.length(w) > 1))
     stems = [F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))) for k in _STEMS]  # noqa: B023
-    words = F.concat(words, *stems)
-    counts = (
-        sample.dropDuplicates(["h"]).select("toxic", F.explode(words).alias("word")).groupBy("word")
-        .agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).filter(F.col("bad") >= least)
+    once = sample.dropDuplicates(["h"])
+    sums = [F.sum(F.when((F.col("part") == p) & (F.col("toxic") == t), 1).otherwise(0)).alias(f"n{t}_{p}") for p in range(parts) for t in (0, 1)]
+    size = once.agg(*sums).first()
+    bad_all = sum(F.col(f"n1_{p}") for p in range(parts))
+    good_all = sum(F.col(f"n0_{p}") for p in range(parts))
+    totals = {t: np.array([float(size[f"n{t}_{p}"] or 0) for p in range(parts)]) for t in (0, 1)}
+    n_bad, n_good = totals[1].sum(), totals[0].sum()
+    odds = F.log((bad_all + 0.5) / (n_bad + 1)) - F.log((good_all + 0.5) / (n_good + 1))
+    rows = (
+        once.select("toxic", "part", F.explode(F.concat(words, *stems)).alias("word")).groupBy("word").agg(*sums)
+        .filter((bad_all >= max(2.0, 0.01 * n_bad)) & (odds > 0.7)).orderBy(F.desc(odds / F.sqrt(1 / (bad_all + 0.5) + 1 / (good_all + 0.5))), "word").limit(2 * most).collect()
     )
-    size = sample.dropDuplicates(["h"]).agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
-    n_bad, n_good = float(size[0] or 0), float(size[1] or 0)
-    odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
-    sure = odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    share = F.col("bad") / max(n_bad, 1.0)
-    rows = counts.select("word", odds.alias("odds"), sure.alias("sure"), share.alias("share")).filter("odds > 1 and sure > 2.5 and share > 0.01").orderBy(F.desc("sure"), "word").limit(most).collect()
-    return {r["word"]: float(r["odds"]) for r in rows}
+    names = [r["word"] for r in rows]
+    bad = np.array([[r[f"n1_{p}"] for p in range(parts)] for r in rows], float).reshape(-1, parts)
+    good = np.array([[r[f"n0_{p}"] for p in range(parts)] for r in rows], float).reshape(-1, parts)
+    out = []
+    for p in [*range(parts), None]:
+        used = np.arange(parts) != p if p is not None else np.ones(parts, bool)
+        w = _odds(bad[:, used].sum(1), good[:, used].sum(1), totals[1][used].sum(), totals[0][used].sum(), most)
+        out.append({n: float(v) for n, v in zip(names, w) if v > 0})
+    return out
 
 
 class ToxicityModel:
@@ -166,23 +181,26 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds:
     if not n:
         return ToxicityModel({}, None, None)
     pick = F.pmod(F.xxhash64(F.lit(5), "l_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, max_train / n))
+    parts = 5
     sample = cut(
         docs.select("doc_id", "text").join(F.broadcast(known.filter(pick)), F.col("doc_id").cast("long") == F.col("l_id"))
-        .select(F.coalesce("text", F.lit("")).alias("text"), "toxic").withColumn("h", F.xxhash64("text")).withColumn("part", F.pmod(F.xxhash64(F.lit(9), "h"), F.lit(10))),
+        .select(F.coalesce("text", F.lit("")).alias("text"), "toxic").withColumn("h", F.xxhash64("text")).withColumn("part", F.pmod(F.xxhash64(F.lit(9), "h"), F.lit(parts)).cast("int")),
         "tox-sample",
     )
-    lexicon = _learn_lexicon(sample.filter("part < 4"), most=2000, least=4)
-    rows = (
-        sample.filter("part >= 3").select("text", "toxic", "part").mapInArrow(_featured(lexicon, 2), "x array<double>, toxic int, part long").collect()
-    )
+    lexicons = _learn_lexicons(sample, parts, most=2000)
+    rows = sample.select("text", "toxic", "part").mapInArrow(_featured(lexicons), "x array<double>, toxic int, part int").collect()
     if not rows:
-        return ToxicityModel(lexicon, None, None)
+        return ToxicityModel(lexicons[-1], None, None)
+    rows.sort(key=lambda r: (r["part"], r["toxic"], r["x"]))
     x, y, part = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows]), np.array([r["part"] for r in rows])
-    grow, level = part < 8, part >= 8
-    if not grow.any() or not level.any():
-        grow = level = np.ones(len(y), bool)
-    trees = BoostedTrees(trees=80, depth=3, rate=0.15).fit(x[grow], y[grow])
-    return ToxicityModel(lexicon, trees, isotonic(trees.raw(x[level]), y[level]))
+    make = lambda: BoostedTrees(trees=60, depth=3, rate=0.15, least=min(5.0, max(0.5, 0.002 * len(y))))
+    apart = np.zeros(len(y))
+    for p in range(parts):
+        own = part == p
+        if own.any() and not own.all():
+            apart[own] = make().fit(x[~own], y[~own]).raw(x[own])
+    trees = make().fit(x, y)
+    return ToxicityModel(lexicons[-1], trees, isotonic(apart, y) if len(set(part.tolist())) > 1 else None)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
