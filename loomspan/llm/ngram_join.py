@@ -234,12 +234,15 @@ def link_components(sets: DataFrame, percent: int = 75) -> DataFrame:
     post = sets.select("node", "n", F.explode("shingles").alias("h"))
     df = post.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     least = F.ceil(F.col("n") * percent / 100)
-    shared = post.join(df, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
-    keep = (F.size("s") - least + 1).cast("int")  # the shortest lists, without those that hold this set alone
-    lists = cut(
-        shared.filter(keep >= 1).select("node", "n", F.explode(F.slice("s", F.lit(1), keep)).alias("e")).select("node", "n", F.col("e.h").alias("h")),
-        "join-lists",
-    )
+    shared = post.join(df, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s")).withColumn("m", F.size("s"))
+    keep = (F.col("m") - least + 1).cast("int")  # the shortest lists, without those that hold this set alone
+    listed = shared.filter(keep >= 1).select("node", "n", "m", F.explode(F.slice("s", F.lit(1), keep)).alias("e")).select("node", "n", "m", F.col("e.h").alias("h"))
+    listed = cut(listed, "join-lists")
+    # a set with m shared shingles has overlap m at most, so its partners must be small enough for that to do
+    most = F.floor(F.col("m") * (100 + percent) / percent) - F.col("n")
+    shortest = listed.groupBy("h").agg(F.min("n").alias("least_n"), F.count("*").alias("members")).filter("members > 1")
+    lists = cut(listed.join(shortest, "h").filter(F.col("least_n") <= most).select("node", "n", "m", "h"), "join-lists")
+    drop(listed)
     links: DataFrame | None = None
     labels: DataFrame | None = None
     spark = sets.sparkSession
@@ -249,23 +252,24 @@ def link_components(sets: DataFrame, percent: int = 75) -> DataFrame:
             named = lists.withColumn("comp", F.col("node"))
         else:
             named = lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("node", "n", "comp")).alias("q")).filter("lo < hi").select("h", "q")
+        # queries go by fewest own shingles, so the middle of a group of near copies comes first
+        named = named.withColumn("who", F.struct((F.col("n") - F.col("m")).alias("own"), "node", "n", "m", "comp"))
+        open_ = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("who").alias("q")).filter("lo < hi").select("h", "q")
         if ahead == 1:
             met = named.join(open_, "h")
             rest = met.filter(F.col("node") != F.col("q.node"))
         else:
-            first = Window.partitionBy("h").orderBy("node")
-            ranked = cut(named.join(open_.select("h"), "h").withColumn("rn", F.row_number().over(first)), "join-ranked")
-            asking = ranked.filter(F.col("rn") <= ahead).select("h", F.struct("node", "n", "comp").alias("q"))
+            ranked = cut(named.join(open_.select("h"), "h").withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy("who"))), "join-ranked")
+            asking = ranked.filter(F.col("rn") <= ahead).select("h", F.col("who").alias("q"))
             met = ranked.join(asking, "h")
             rest = ranked.filter(F.col("rn") > ahead)
+        small, large = F.least("n", "q.n"), F.greatest("n", "q.n")
+        possible = (100 * small >= percent * large) & ((100 + percent) * F.least("m", "q.m") >= percent * (small + large))
         pairs = cut(
-            met.filter((F.col("node") > F.col("q.node")) & (F.col("comp") != F.col("q.comp")))
-            .filter((100 * F.least("n", "q.n") >= percent * F.greatest("n", "q.n")))
-            .select(F.col("q.node").alias("query"), "node").distinct(),
+            met.filter((F.col("who") > F.col("q")) & (F.col("comp") != F.col("q.comp")) & possible).select(F.col("q.node").alias("query"), "node").distinct(),
             "join-pairs",
         )
-        left = cut(rest.select("node", "n", "h"), "join-lists")
+        left = cut(rest.select("node", "n", "m", "h"), "join-lists")
         drop(lists)
         lists = left
         if not pairs.isEmpty():
