@@ -39,73 +39,108 @@ SECOND_PERSON = frozenset(
 )
 _LEET = str.maketrans("013457@$!|", "oieastasil")
 _PUNCT = ".,;:!?\"'()[]{}<>*#%&$~_-|/\\«»“”‘’…¡¿"
-_FLAGS = 9
+_FLAGS = 8
+_STRETCHED = re.compile(r"([^\W\d_])\1\1").search
 _STEMS = (4, 5)  # lengths of the word beginnings the learned lexicon may hold, marked by an asterisk
 
 
 class Tokens(dict):
-    """Raw token to row of a feature table: insult, lexicon weight, second person, capitals, obfuscated, stretched,
-    marks, letters, stem weight."""
+    """Raw token to row of a feature table: insult, lexicon weight, second person, capitals, obfuscated, stretched, marks,
+    stem weight. New tokens wait in a list and enter the table once per chunk of texts."""
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
         self.lexicon = lexicon
         self.rows: list[tuple] = []
-        self.table = np.empty((0, _FLAGS))
+        self.table = np.empty((0, _FLAGS), np.float32)
 
     def __missing__(self, token: str) -> int:
         core = token.strip(_PUNCT)
         word = core.lower()
-        plain = word.translate(_LEET) if not word.isalpha() else word
-        insult = word in INSULTS or (plain != word and plain in INSULTS)
-        weight = self.lexicon.get(word, 0.0) or self.lexicon.get(plain, 0.0)
-        stem = max((self.lexicon.get(plain[:k] + "*", 0.0) for k in _STEMS), default=0.0)
-        mixed = any(c.isdigit() or c in "@$!*|" for c in core) and any(c.isalpha() for c in core)
-        stretched = re.search(r"([^\W\d_])\1\1", word) is not None
-        marks = sum(c in _PUNCT for c in token)
-        self.rows.append((insult, weight, word in SECOND_PERSON, len(core) > 1 and core.isupper(), mixed, stretched, marks, len(core), stem))
-        index = self[token] = len(self.rows) - 1
+        if word.isalpha():
+            plain, mixed, marks = word, False, len(token) - len(core)
+        else:
+            plain = word.translate(_LEET)
+            mixed = any(c.isdigit() or c in "@$!*|" for c in core) and any(c.isalpha() for c in core)
+            marks = sum(c in _PUNCT for c in token)
+        lexicon = self.lexicon
+        weight = lexicon.get(word, 0.0) or lexicon.get(plain, 0.0)
+        stem = max(lexicon.get(plain[: _STEMS[0]] + "*", 0.0), lexicon.get(plain[: _STEMS[1]] + "*", 0.0))
+        stretched = _STRETCHED(word) is not None
+        self.rows.append((plain in INSULTS, weight, word in SECOND_PERSON, len(core) > 1 and core.isupper(), mixed, stretched, marks, stem))
+        index = self[token] = len(self)
         return index
 
-    def of(self, text: str) -> np.ndarray:
+    def of(self, tokens: list[str]) -> np.ndarray:
+        """Feature rows of many tokens."""
         if len(self) > 300_000:
             self.clear()
-            self.rows, self.table = [], np.empty((0, _FLAGS))
-        tokens = text.split()
+            self.table = np.empty((0, _FLAGS), np.float32)
         index = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        if len(self.rows) > len(self.table):
-            more = len(self.rows) - len(self.table)
-            if more > len(self.table) // 4 or more > 20_000:
-                self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], float)])
-            else:
-                return np.concatenate([self.table, np.array(self.rows[len(self.table) :], float)])[index] if index.max(initial=-1) >= len(self.table) else self.table[index]
+        if self.rows:
+            self.table = np.concatenate([self.table, np.array(self.rows, np.float32)])
+            self.rows = []
         return self.table[index]
 
 
 FEATURES = 20
+_CHUNK_CHARS = 1 << 20
+
+
+def _chunk_features(texts: list[str], tokens: Tokens) -> np.ndarray:
+    split = [t.split() for t in texts]
+    sizes = np.array([len(w) for w in split], np.int64)
+    out = np.zeros((len(texts), FEATURES))
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return out
+    flat = [w for ws in split for w in ws]
+    t = tokens.of(flat)
+    starts = (np.cumsum(sizes) - sizes)[full]
+    n = sizes[full].astype(float)
+    flags = t.copy()
+    flags[:, 1] = t[:, 1] > 0
+    flags[:, 7] = t[:, 7] > 0
+    sums = np.add.reduceat(flags, starts, axis=0, dtype=np.float64)
+    weight, stem = (np.add.reduceat(t[:, k], starts, dtype=np.float64) for k in (1, 7))
+    top_w, top_s = (np.maximum.reduceat(t[:, k], starts) for k in (1, 7))
+    hits = (t[:, 0] > 0) | (t[:, 1] > 0) | (t[:, 7] > 0)
+    found = np.add.reduceat(hits, starts, dtype=np.int64)
+    near, distinct = np.zeros(len(full)), np.zeros(len(full))
+    for i in np.flatnonzero(found).tolist():
+        a, b = int(starts[i]), int(starts[i] + n[i])
+        at = np.flatnonzero(hits[a:b])
+        distinct[i] = len({flat[a + k].strip(_PUNCT).lower() for k in at.tolist()})
+        second = np.flatnonzero(t[a:b, 2])
+        if len(second):
+            k = np.searchsorted(second, at)
+            left = np.abs(at - second[np.maximum(k - 1, 0)])
+            right = np.abs(second[np.minimum(k, len(second) - 1)] - at)
+            near[i] = (np.minimum(left, right) <= 4).sum()
+    shouts = np.array([texts[i].count("!") for i in full.tolist()], float)
+    out[full] = np.stack(
+        [
+            np.log1p(n), sums[:, 0], sums[:, 0] / n * 100, sums[:, 1], sums[:, 1] / n * 100, weight, top_w, distinct / n * 100, near, near / n * 100,
+            sums[:, 3] / n * 100, sums[:, 6] / n, shouts / n, sums[:, 4] / n * 100, sums[:, 5] / n * 100,
+            sums[:, 7], sums[:, 7] / n * 100, stem, stem / n * 100, top_s,
+        ],
+        1,
+    )
+    return out
 
 
-def features(text: str | None, tokens: Tokens) -> list[float]:
-    """Dense features of one whole text."""
-    if not text or not (t := tokens.of(text)).size:
-        return [0.0] * FEATURES
-    n = len(t)
-    insult, weight, second, stem = t[:, 0] > 0, t[:, 1], np.flatnonzero(t[:, 2]), t[:, 8]
-    hit = np.flatnonzero(insult | (weight > 0) | (stem > 0))
-    stems = int((stem > 0).sum())
-    near = 0
-    if len(hit) and len(second):
-        at = np.searchsorted(second, hit)
-        left = np.abs(hit - second[np.maximum(at - 1, 0)])
-        right = np.abs(second[np.minimum(at, len(second) - 1)] - hit)
-        near = int((np.minimum(left, right) <= 4).sum())
-    learned = int((weight > 0).sum())
-    return [
-        math.log1p(n), float(insult.sum()), insult.mean() * 100, float(learned), learned / n * 100, float(weight.sum()), float(weight.max()),
-        len({*np.flatnonzero(insult).tolist(), *np.flatnonzero(weight > 0).tolist()}) / n * 100, float(near), near / n * 100,
-        t[:, 3].mean() * 100, t[:, 6].sum() / n, text.count("!") / n, t[:, 4].mean() * 100, t[:, 5].mean() * 100,
-        float(stems), stems / n * 100, float(stem.sum()), stem.sum() / n * 100, float(stem.max()),
-    ]
+def features(texts: list[str | None], tokens: Tokens) -> np.ndarray:
+    """Dense features of whole texts, one row each, computed in chunks of about ``_CHUNK_CHARS``."""
+    parts, chunk, chars = [np.empty((0, FEATURES))], [], 0
+    for text in texts:
+        chunk.append(text or "")
+        chars += len(chunk[-1])
+        if chars > _CHUNK_CHARS:
+            parts.append(_chunk_features(chunk, tokens))
+            chunk, chars = [], 0
+    if chunk:
+        parts.append(_chunk_features(chunk, tokens))
+    return np.concatenate(parts)
 
 
 def _featured(lexicons: list[dict[str, float]]):
@@ -114,8 +149,11 @@ def _featured(lexicons: list[dict[str, float]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = [Tokens(lexicon) for lexicon in lexicons]
         for batch in batches:
-            rows = [features(t.as_py(), tokens[p.as_py()]) for t, p in zip(batch.column(0), batch.column(2))]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "toxic", "part"])
+            part = batch.column(2).to_numpy()
+            for p in np.unique(part).tolist():
+                own = batch.filter(pa.array(part == p))
+                x = features(own.column(0).to_pylist(), tokens[p])
+                yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), own.column(1), own.column(2)], ["x", "toxic", "part"])
 
     return run
 
@@ -209,8 +247,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(model.lexicon)
         for batch in batches:
-            x = np.array([features(t.as_py(), tokens) for t in batch.column(1)], float).reshape(-1, FEATURES)
-            s = model.scores(x)
+            s = model.scores(features(batch.column(1).to_pylist(), tokens))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
@@ -218,15 +255,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
 
 def reject_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
     """``docs`` without the documents scored at or above the threshold, all columns kept."""
-    rest = [c for c in docs.columns if c != "text"]
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(model.lexicon)
         for batch in batches:
-            x = np.array([features(t.as_py(), tokens) for t in batch.column(batch.schema.get_field_index("text"))], float).reshape(-1, FEATURES)
+            x = features(batch.column(at).to_pylist(), tokens)
             yield batch.filter(pa.array(model.scores(x) < threshold))
 
-    return docs.select("text", *rest).mapInArrow(run, docs.select("text", *rest).schema).select(*docs.columns)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
