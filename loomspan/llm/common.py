@@ -6,15 +6,9 @@ import math
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import llm
-
-# Functions sent to Python workers carry this subpackage's code along, so executors need no copy of the repository.
-cloudpickle.register_pickle_by_value(llm)
-
 _FALLBACK: dict[str, str] = {}
 
 
