@@ -18,7 +18,7 @@ def merge_stream(new: DataFrame, corpus: str, checkpoint: str, today: str) -> St
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.parquet(f"{corpus}/v={number}")
-        merged = merge_entries(before.drop("pos").withColumn("pos", before["pos"]), batch, today)
+        merged = merge_entries(before, batch, today)
         merged = merged.withColumn("pos", merged["pos._pos"] + merged["pos._src"] * (1 << 50)).select(*before.columns)
         merged.write.mode("overwrite").parquet(f"{corpus}/v={number + 1}")
 
