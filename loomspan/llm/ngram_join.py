@@ -12,8 +12,8 @@ overlap of T; a set that links at all shares at least ceil(0.75 * size) of its s
    lists are the T - 1 others).
 4. Each list is searched from its first member (the query): its list mates are candidates; the merge of the short lists
    counts how often they meet, and :func:`divide_skip` completes the count by binary probes of the long lists. Members
-   already known to be connected need no search; a list closes when all members left are connected. Queries per list double
-   each round, so every pair that is not connected otherwise is met, and no list is expanded into all its pairs.
+   already known to be connected need no search; a list closes when all members left are connected. Queries per list grow
+   fourfold each round, so every pair that is not connected otherwise is met, and no list is expanded into all its pairs.
 
 Shingles are 64-bit hashes of words hashed to 64 bits; two different shingles agree with probability 2**-64.
 
@@ -236,12 +236,16 @@ def link_components(sets: DataFrame, percent: int = 75) -> DataFrame:
     least = F.ceil(F.col("n") * percent / 100)
     shared = post.join(df, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s")).withColumn("m", F.size("s"))
     keep = (F.col("m") - least + 1).cast("int")  # the shortest lists, without those that hold this set alone
-    listed = shared.filter(keep >= 1).select("node", "n", "m", F.explode(F.slice("s", F.lit(1), keep)).alias("e")).select("node", "n", "m", F.col("e.h").alias("h"))
+    listed = shared.filter(keep >= 1).select("node", "n", "m", F.posexplode(F.slice("s", F.lit(1), keep)).alias("i", "e")).select(
+        "node", "n", "m", (F.col("n") - F.col("m") + F.col("i") + 1).alias("pos"), F.col("e.h").alias("h")
+    )
     listed = cut(listed, "join-lists")
-    # a set with m shared shingles has overlap m at most, so its partners must be small enough for that to do
-    most = F.floor(F.col("m") * (100 + percent) / percent) - F.col("n")
+    overlap = lambda a, b: F.ceil((a + b) * percent / (100 + percent))
+    # Two sets that link first meet at a place no later than size - overlap + 1 in either. A member of a list can meet none there
+    # if it could not even meet one of the list's smallest size, nor can it if its shared shingles are too few for that.
     shortest = listed.groupBy("h").agg(F.min("n").alias("least_n"), F.count("*").alias("members")).filter("members > 1")
-    lists = cut(listed.join(shortest, "h").filter(F.col("least_n") <= most).select("node", "n", "m", "h"), "join-lists")
+    easiest = overlap(F.col("n"), F.greatest("least_n", least))
+    lists = cut(listed.join(shortest, "h").filter((F.col("pos") <= F.col("n") - easiest + 1) & (F.col("m") >= easiest)).select("node", "n", "m", "pos", "h"), "join-lists")
     drop(listed)
     links: DataFrame | None = None
     labels: DataFrame | None = None
@@ -252,24 +256,27 @@ def link_components(sets: DataFrame, percent: int = 75) -> DataFrame:
             named = lists.withColumn("comp", F.col("node"))
         else:
             named = lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        # queries go by fewest own shingles, so the middle of a group of near copies comes first
-        named = named.withColumn("who", F.struct((F.col("n") - F.col("m")).alias("own"), "node", "n", "m", "comp"))
+        # The set with the fewest own shingles, the middle of a group of near copies, asks first and settles most of the list;
+        # from then on those with the most own shingles ask, as they are the ones still apart.
+        own = F.struct((F.col("n") - F.col("m")).alias("own"), "node", "n", "m", "pos", "comp")
+        named = named.withColumn("who", own)
         open_ = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("who").alias("q")).filter("lo < hi").select("h", "q")
         if ahead == 1:
-            met = named.join(open_, "h")
-            rest = met.filter(F.col("node") != F.col("q.node"))
+            met = named.join(open_, "h").filter(F.col("node") != F.col("q.node"))
+            rest = met
         else:
-            ranked = cut(named.join(open_.select("h"), "h").withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy("who"))), "join-ranked")
-            asking = ranked.filter(F.col("rn") <= ahead).select("h", F.col("who").alias("q"))
-            met = ranked.join(asking, "h")
+            turn = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("who")))
+            ranked = cut(named.join(open_.select("h"), "h").withColumn("rn", turn), "join-ranked")
+            asking = ranked.filter(F.col("rn") <= ahead).select("h", F.col("who").alias("q"), F.col("rn").alias("q_rn"))
+            met = ranked.join(asking, "h").filter(F.col("rn") > F.col("q_rn"))
             rest = ranked.filter(F.col("rn") > ahead)
-        small, large = F.least("n", "q.n"), F.greatest("n", "q.n")
-        possible = (100 * small >= percent * large) & ((100 + percent) * F.least("m", "q.m") >= percent * (small + large))
-        pairs = cut(
-            met.filter((F.col("who") > F.col("q")) & (F.col("comp") != F.col("q.comp")) & possible).select(F.col("q.node").alias("query"), "node").distinct(),
-            "join-pairs",
+        t = overlap(F.col("n"), F.col("q.n"))
+        possible = (
+            (100 * F.least("n", "q.n") >= percent * F.greatest("n", "q.n")) & (F.least("m", "q.m") >= t)
+            & (F.col("pos") <= F.col("n") - t + 1) & (F.col("q.pos") <= F.col("q.n") - t + 1)
         )
-        left = cut(rest.select("node", "n", "m", "h"), "join-lists")
+        pairs = cut(met.filter((F.col("comp") != F.col("q.comp")) & possible).select(F.col("q.node").alias("query"), "node").distinct(), "join-pairs")
+        left = cut(rest.select("node", "n", "m", "pos", "h"), "join-lists")
         drop(lists)
         lists = left
         if not pairs.isEmpty():
@@ -284,7 +291,7 @@ def link_components(sets: DataFrame, percent: int = 75) -> DataFrame:
         drop(pairs)
         if lists.isEmpty():
             break
-        ahead *= 2
+        ahead *= 4
     return labels if labels is not None else spark.createDataFrame([], "node long, comp long")
 
 
