@@ -28,7 +28,8 @@ def extract(c: Column, pattern: str, group: int = 1) -> Column:
 def segments(text: Column, pattern: str) -> Column:
     """The text cut before every match: element 0 precedes the first match; each other element is a match, ``CLOSE`` and what
     follows it. The two sentinel characters count as spaces where a text holds them."""
-    clean = F.translate(text, OPEN + CLOSE, "  ")
+    odd = text.contains(OPEN) | text.contains(CLOSE)
+    clean = F.when(odd, F.translate(text, OPEN + CLOSE, "  ")).otherwise(text)
     return F.split(F.regexp_replace(clean, f"({pattern})", OPEN + "$1" + CLOSE), OPEN)
 
 
