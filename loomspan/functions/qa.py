@@ -27,7 +27,7 @@ def flags(*conditions: tuple[str, Column]) -> Column:
 
 #: A token starts with a letter and runs on over letters and apostrophes; this finds those that start with a capital (after
 #: up to 20 apostrophes in a row) without stopping at all others.
-CAPITAL_TOKEN = "(?<![A-Za-z]'{0,20})[A-Z][a-zA-Z']*"
+CAPITAL_TOKEN = "(?=[A-Z])(?<![A-Za-z]'{0,20})[A-Z][a-zA-Z']*"
 
 
 def proper_nouns(text: Column, skip_openers: bool) -> Column:
