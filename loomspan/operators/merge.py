@@ -56,9 +56,11 @@ def merge_stats(existing: DataFrame, new: DataFrame) -> DataFrame:
     seq = _sequence(existing, new).select("category", "_key", "_src", "_pos", F.col("_row.raw_text_hash").alias("hash"), has_flags(F.col("_row.qa_flags")).alias("flagged"))
     w = Window.partitionBy("category", "_key").orderBy("_src", "_pos")
     chain = seq.withColumn("was", F.lag("hash").over(w)).withColumn("first", F.row_number().over(w) == 1).filter("_src = 1")
+    zero = F.lit(0).cast("long")
     done = chain.agg(
         F.count_if("first").alias("added"), F.count_if(~F.col("first") & ~F.col("was").eqNullSafe(F.col("hash"))).alias("updated"),
-        F.count_if(~F.col("first") & F.col("was").eqNullSafe(F.col("hash"))).alias("unchanged"), F.count_if("flagged").alias("held_back_flagged"),
+        F.count_if(~F.col("first") & F.col("was").eqNullSafe(F.col("hash"))).alias("unchanged"), zero.alias("skipped_no_short_text"), F.count_if("flagged").alias("held_back_flagged"),
     )
-    skipped = new.agg(F.count_if(F.coalesce("short_text", F.lit("")) == "").alias("skipped_no_short_text"))
-    return done.crossJoin(skipped).select("added", "updated", "unchanged", "skipped_no_short_text", "held_back_flagged")
+    bare = F.count_if(F.coalesce("short_text", F.lit("")) == "")
+    skipped = new.agg(zero.alias("added"), zero.alias("updated"), zero.alias("unchanged"), bare.alias("skipped_no_short_text"), zero.alias("held_back_flagged"))
+    return done.union(skipped).agg(*[F.sum(c).alias(c) for c in done.columns])

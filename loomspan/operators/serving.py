@@ -64,19 +64,34 @@ def cycle_index(today: Column, start: Column, length: Column) -> Column:
 def daily_pick(cycle: DataFrame, entities: DataFrame, start: str, days: DataFrame) -> DataFrame:
     """For each row of ``days`` (day): the first id at or after the day's index that still exists, walking around once.
 
-    Cycle positions that survive are matched by the next position at or after each index through a sorted union, not a
-    product of days and ids. Days without a hit (an empty cycle) have a null id.
+    Only the distinct indexes (no more than the cycle is long) are ordered against the live positions, each by the next live one
+    at or after it; days then look theirs up. Days without a hit (an empty cycle) have a null id.
     """
     n = cycle.count()
     live = cycle.join(entities.select("id").distinct(), "id", "left_semi").select(F.col("pos").cast("long").alias("pos"), "id")
     if n == 0:
         return days.select("day", F.lit(None).cast("string").alias("id"))
-    twice = live.union(live.select(F.col("pos") + n, "id"))
     asked = days.select("day", cycle_index(F.col("day"), F.lit(start).cast("date"), F.lit(n)).alias("pos"))
-    stops = twice.select("pos", "id", F.lit(None).cast("date").alias("day")).union(asked.select("pos", F.lit(None).cast("string").alias("id"), F.col("day").cast("date").alias("day")))
-    ahead = Window.orderBy("pos").rangeBetween(0, Window.unboundedFollowing)
-    hit = F.first("id", ignorenulls=True).over(ahead)
-    return stops.withColumn("hit", hit).filter("day is not null").select("day", F.col("hit").alias("id"))
+    twice = live.union(live.select(F.col("pos") + n, "id")).withColumn("asks", F.lit(False))
+    stops = twice.union(asked.select("pos", F.lit(None).cast("string").alias("id"), F.lit(True).alias("asks")).distinct())
+    hit = F.first("id", ignorenulls=True).over(Window.orderBy("pos").rangeBetween(0, Window.unboundedFollowing))
+    found = stops.withColumn("hit", hit).filter("asks").select("pos", "hit")
+    return asked.join(found, "pos", "left").select("day", F.col("hit").alias("id"))
+
+
+def rotation_coverage(cycle: DataFrame, entities: DataFrame, start: str, first: str, last: str) -> DataFrame:
+    """One row: distinct picks over the days from ``first`` to ``last``, days without a pick, and the cycle's length."""
+    spark = cycle.sparkSession
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
+    return daily_pick(cycle, entities, start, days).agg(
+        F.countDistinct("id").alias("picks"), F.count_if(F.col("id").isNull()).alias("empty_days"), F.lit(cycle.count()).cast("long").alias("length")
+    )
+
+
+def by_id(df: DataFrame, order: str = "pos") -> DataFrame:
+    """One row per id: of repeated ids the last row, at the place of the first."""
+    fields = [c for c in df.columns if c != order]
+    return df.groupBy("id").agg(F.min(order).alias(order), F.max_by(F.struct(*fields), order).alias("_row")).select(order, *[f"_row.{c}" for c in fields])
 
 
 def dangling_refs(entity_entries: DataFrame, entries: DataFrame) -> DataFrame:

@@ -30,9 +30,10 @@ def build_corpus(spark: SparkSession, corpus: str, sources: dict[str, str], out:
 
 def entities_file(entities: DataFrame, cycle: DataFrame, start: str) -> DataFrame:
     """One row: generated_at, entity_count, cycle_start_date and the cycle's ids in order. Entities stay a table."""
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])
-    count = entities.agg(F.count("*").alias("entity_count"))
-    return cycle.agg(ids.alias("cycle")).crossJoin(count).select(F.current_timestamp().alias("generated_at"), "entity_count", F.lit(start).alias("cycle_start_date"), "cycle")
+    rows = cycle.select(F.lit(None).cast("boolean").alias("entity"), "pos", "id").union(entities.select(F.lit(True), F.lit(None), F.lit(None)))
+    # the arrays hold the cycle alone: collect_list skips nulls
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))), lambda x: x["id"])
+    return rows.agg(F.count("entity").alias("entity_count"), listed.alias("cycle")).select(F.current_timestamp().alias("generated_at"), "entity_count", F.lit(start).alias("cycle_start_date"), "cycle")
 
 
 def run_summary(entries: DataFrame) -> DataFrame:

@@ -237,6 +237,24 @@ def daily_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.daily_pick(cycle, live, _START, days).select(F.col("day").cast("string").alias("day"), "id")
 
 
+@query(
+    f"""WITH cycle AS (SELECT n_nationkey AS pos, n_name AS id FROM nation), live AS (SELECT pos, id FROM cycle WHERE length(id) % 2 = 0),
+    asked AS (SELECT day, ((date_diff('day', DATE '{_START}', CAST(day AS DATE)) % 25) + 25) % 25 AS i FROM unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1995-12-31', INTERVAL 1 DAY)) AS t(day)),
+    pick AS (SELECT day, min_by(id, (pos - i + 25) % 25) AS id FROM asked, live GROUP BY day)
+    SELECT count(DISTINCT id) AS picks, count(*) FILTER (id IS NULL) AS empty_days, CAST(25 AS BIGINT) AS length FROM pick"""
+)
+def rotation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = read(spark, sf_dir, "nation")
+    cycle = nations.select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_name").alias("id"))
+    return serving.rotation_coverage(cycle, nations.filter(F.length("n_name") % 2 == 0).select(F.col("n_name").alias("id")), _START, "1995-01-01", "1995-12-31")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS id, min(event_id) AS pos, max_by(event_type, event_id) AS event_type, max_by(props, event_id) AS props FROM events GROUP BY user_id")
+def dedup_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("user_id").cast("string").alias("id"), "event_type", "props")
+    return serving.by_id(rows).select("id", "pos", "event_type", "props")
+
+
 @query("SELECT l.doc_id AS entry_id FROM labels l ANTI JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d ON l.doc_id = d.doc_id")
 def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.dangling_refs(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("entry_id")), docs(spark, sf_dir).filter("lang = 'en'").select(F.col("doc_id").alias("entry_id")))
