@@ -1,4 +1,8 @@
-"""The registered query of every training-data operator, with production parameters, over its whole table."""
+"""The registered query of every training-data operator, with production parameters, over its whole table.
+
+Fingerprints, toxicity, packing, mixing (which documents it takes), PII candidates and licence scores are not expressible in
+SQL; their tests hold them against brute-force versions or held-out accuracy.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import secret_scan, url_filter
 from .common import table
 from .fingerprints import fingerprint_documents
 from .license_scan import licence_digest
@@ -70,7 +75,79 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+# --- SQL that the queries are held against ---------------------------------------------------------------------------------
+
+_GAP = "[\\x20\\x09-\\x0D]+"
+
+
+def _fits(r: url_filter.Rule) -> str:
+    return f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
+
+
+def _url_sql() -> str:
+    """Rules by length; links of pages by the same expressions, closed by recursion."""
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r.name))
+    rule = "CASE " + " ".join(f"WHEN {_fits(r)} THEN '{r.name}'" for r in rules) + " END"
+    verdict = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN '{r.verdict}'" for r in rules) + " END"
+    split = "'(?s)^(.*?://)([^/?#]*)([^?#]*)'"
+    low = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = lambda u: f"{low(f'coalesce(regexp_extract({u}, {split}, 2), {chr(39)}{chr(39)})')} AS host, coalesce(regexp_extract({u}, {split}, 3), '') AS path"
+    normal = lambda u: f"{low(f'regexp_extract({u}, {split}, 1) || regexp_extract({u}, {split}, 2)')} || regexp_extract({u}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    resolved = (
+        "CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || t WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t "
+        "ELSE rtrim(regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1), '/') || '/' || t END"
+    )
+    return f"""WITH RECURSIVE
+      target AS (SELECT url, replace(t, '&amp;', '&') AS t FROM (SELECT url, unnest(list_concat(
+        list_transform(regexp_extract_all(html, {quoted(url_filter.CANONICAL)}), lambda x: regexp_extract(x, {quoted(url_filter.HREF)}, 1)),
+        list_concat(regexp_extract_all(html, {quoted(url_filter.REFRESH)}, 1), regexp_extract_all(html, {quoted(url_filter.SCRIPT)}, 1)))) AS t FROM pages WHERE html IS NOT NULL AND url IS NOT NULL) WHERE t <> ''),
+      link AS (SELECT {normal('url')} AS a, {normal('whole_url')} AS b FROM (SELECT url, {resolved} AS whole_url FROM target)),
+      edge AS (SELECT a, b FROM link WHERE a <> '' AND b <> '' AND a <> b UNION SELECT b, a FROM link WHERE a <> '' AND b <> '' AND a <> b),
+      reach(a, b) AS (SELECT a, a FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+      told AS (SELECT a, {verdict} AS own FROM (SELECT a, {rule} AS rule FROM (SELECT a, b, {parts('b')} FROM reach))),
+      alias AS (SELECT a, CASE WHEN bool_or(own = 'allow') THEN 'allow' WHEN bool_or(own = 'block') THEN 'block' ELSE 'allow' END AS alias FROM told GROUP BY a),
+      judged AS (SELECT *, {rule} AS rule FROM (SELECT page_id, url, {parts('url')} FROM pages))
+      SELECT page_id, host, path, rule, coalesce({verdict}, alias, 'allow') AS verdict FROM judged LEFT JOIN alias ON alias.a = {normal('judged.url')}"""
+
+
+_JOIN_SQL = f"""WITH RECURSIVE
+  word AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_GAP}'), lambda w: w <> '') AS w FROM documents),
+  held AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM word),
+  one AS (SELECT doc_id, unnest(s) AS g FROM held),
+  met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  link AS (SELECT a, b FROM met JOIN held x ON x.doc_id = a JOIN held y ON y.doc_id = b WHERE 100 * c >= 75 * (len(x.s) + len(y.s) - c)),
+  edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+  reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
+  SELECT h.doc_id AS doc_id, CAST(any_value(len(h.s)) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM held h JOIN reach r ON r.a = h.doc_id GROUP BY h.doc_id"""
+
+
+def _secret_sql() -> str:
+    """Every rule's matches by splitting the text at them; positions are running sums of what lies between."""
+    kinds = [r.kind for r in secret_scan.RULES]
+    found = []
+    for n, r in enumerate(secret_scan.RULES):
+        p = r.pattern.replace("'", "''")
+        tested = f"regexp_extract(hit, '{p}', {r.group})" if r.group else "hit"
+        found.append(
+            f"""SELECT doc_id, {n} AS rank, '{r.kind}' AS kind, upto - length(rest) - length(hit) AS a, upto - length(rest) AS b FROM (
+              SELECT doc_id, split_part(p[i], chr(2), 1) AS hit, split_part(p[i], chr(2), 2) AS rest, list_sum(list_transform(p[1:i], lambda x: length(replace(x, chr(2), '')))) AS upto
+              FROM (SELECT doc_id, string_split(regexp_replace(text, '({p})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM documents WHERE regexp_matches(text, '{p}')), unnest(range(2, len(p) + 1)) AS t(i))
+            WHERE length({tested}) >= {r.least}"""
+        )
+    base = [r.kind for r in secret_scan.RULES if r.base]
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in base)
+    told = "string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, rank)"
+    return f"""WITH span AS ({' UNION ALL '.join(found)})
+      SELECT d.doc_id AS doc_id, {counts}, sha256(coalesce({told} FILTER (rank < {len(base)}), '')) AS base_sha256, coalesce({told} FILTER (kind IS NOT NULL), '') AS spans
+      FROM documents d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": _url_sql(),
+    "op7_ngram_join": _JOIN_SQL,
+    "op9_secret_scan": _secret_sql(),
     "op10_exact_topk": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
