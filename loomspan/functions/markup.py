@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import WS, extract, fold_spaces, replace_each, strip
+from .regex import WS, bind, extract, fold_spaces, replace_each, strip
 
 _BRACES = r"(?s)(\{\{|\}\}|[^{}]+|[{}])"
 _BRACKETS = r"(?s)(\{\{|\}\}|\[\[|\]\]|\||[^{}\[\]|]+|[{}\[\]])"
@@ -34,7 +34,7 @@ def _after(text: Column, marker: str) -> Column:
 
 def template_arg(text: Column, name: str) -> Column:
     """The argument of the first ``{{name|...}}``, nested templates included; null if absent."""
-    return _body(_after(text, "{{" + name + "|"))
+    return bind(_after(text, "{{" + name + "|"), _body)
 
 
 def split_params(content: Column) -> Column:
@@ -53,15 +53,18 @@ def split_params(content: Column) -> Column:
 
 def template_params(text: Column, name: str) -> Column:
     """Named parameters of the first ``{{name``; the last of a repeated name counts; null if absent, empty if it has none."""
-    inner = F.regexp_replace(_body(_after(text, "{{" + name)), r"^\|", "")
+    inner = bind(_after(text, "{{" + name), lambda rest: F.regexp_replace(_body(rest), r"^\|", ""))
     pair = rf"(?sU)\A{WS}*([A-Za-z0-9_]+){WS}*={WS}*(.*)"
     pairs = F.transform(
         F.filter(split_params(inner), lambda c: c.rlike(pair)),
         lambda c: F.struct(F.regexp_extract(c, pair, 1).alias("key"), strip(F.regexp_extract(c, pair, 2)).alias("value")),
     )
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    last = F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"].alias("value")))
-    return F.when(inner.isNotNull(), F.map_from_entries(last))
+
+    def last(found: Column) -> Column:
+        keys = F.array_distinct(F.transform(found, lambda p: p["key"]))
+        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(found, lambda p: p["key"] == k), -1)["value"].alias("value"))))
+
+    return bind(pairs, last)
 
 
 def infobox_field(text: Column, field: str) -> Column:
@@ -100,10 +103,10 @@ def clean_text(raw: Column) -> Column:
     c = F.regexp_replace(c, r"(?i)\{\{Rubi\|([^|}]*)\|[^}]*\}\}", "$1")
     c = F.regexp_replace(c, r"\{\{MC\|m=([^|}]*)\|f=[^}]*\}\}", "$1")
     c = F.regexp_replace(c, r"\{\{MC\|([^|}]*)\|[^}]*\}\}", "$1")
-    c = F.when(c.contains("{{Obfuscate|"), replace_each(c, r"\{\{Obfuscate\|[^}]*\}\}", _blocks)).otherwise(c)
-    c = F.when(c.rlike(r"\{\{[Ss]ic\|"), replace_each(c, r"(?s)\{\{[Ss]ic\|.*?\}\}", _sic)).otherwise(c)
+    c = bind(c, lambda x: F.when(x.contains("{{Obfuscate|"), replace_each(x, r"\{\{Obfuscate\|[^}]*\}\}", _blocks)).otherwise(x))
+    c = bind(c, lambda x: F.when(x.rlike(r"\{\{[Ss]ic\|"), replace_each(x, r"(?s)\{\{[Ss]ic\|.*?\}\}", _sic)).otherwise(x))
     c = F.regexp_replace(c, r"\{\{[Ss]ic\}\}", "")
-    c = F.when(c.contains("{{Color|"), replace_each(c, r"(?s)\{\{Color\|.*?\}\}", _colour)).otherwise(c)
+    c = bind(c, lambda x: F.when(x.contains("{{Color|"), replace_each(x, r"(?s)\{\{Color\|.*?\}\}", _colour)).otherwise(x))
     c = F.regexp_replace(c, r"(?U)\{\{Character Page Link\|([^|}]*)(?:\|ref=\d+)?\}\}", "$1")
     c = F.regexp_replace(c, r"\{\{(?:ja|zh)\|[^}]*\}\}", "")
     return fold_spaces(c)

@@ -25,6 +25,11 @@ def extract(c: Column, pattern: str, group: int = 1) -> Column:
     return F.when(F.regexp_instr(c, F.lit(pattern)) > 0, F.regexp_extract(c, pattern, group))
 
 
+def bind(c: Column, f) -> Column:
+    """``f(c)`` with ``c`` computed once, however often ``f`` uses it (conditions keep the optimizer from sharing it)."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def segments(text: Column, pattern: str) -> Column:
     """The text cut before every match: element 0 precedes the first match; each other element is a match, ``CLOSE`` and what
     follows it. The two sentinel characters count as spaces where a text holds them."""
@@ -35,9 +40,12 @@ def segments(text: Column, pattern: str) -> Column:
 
 def replace_each(text: Column, pattern: str, change) -> Column:
     """Replace every match (without its own lookups outside) by ``change(match)``, a Column function."""
-    parts = segments(text, pattern)
-    tail = F.transform(
-        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
-        lambda s: F.concat(change(F.substring_index(s, CLOSE, 1)), F.substring_index(s, CLOSE, -1)),
-    )
-    return F.when(text.isNull(), None).otherwise(F.concat(F.element_at(parts, 1), F.array_join(tail, "")))
+
+    def join(parts: Column) -> Column:
+        tail = F.transform(
+            F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+            lambda s: F.concat(change(F.substring_index(s, CLOSE, 1)), F.substring_index(s, CLOSE, -1)),
+        )
+        return F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
+
+    return bind(segments(text, pattern), join)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.markup import clean_text, infobox_field, section, template_arg, template_params
 from ..functions.names import page_url, slug
 from ..functions.qa import length_flags
+from ..functions.regex import bind
 
 # Length limits, piece fields with labels, highest story number.
 LIGHT_CONE_MAX, RELIC_MAX, STORY_MAX, MAX_STORY = 3000, 9500, 5000, 10
@@ -64,9 +65,10 @@ def character_stories(lore_pages: DataFrame, base_url: str = "") -> DataFrame:
     """An entry per numbered story of a character (name, wikitext of its lore page); none without page or template."""
     name = F.col("name")
     params = template_params(F.col("wikitext"), "Character Story")
-    rows = lore_pages.filter(F.col("wikitext").contains("{{Character Story")).select(name, params.alias("_params"))
-    stories = F.filter(F.transform(F.sequence(F.lit(1), F.lit(MAX_STORY)), lambda i: F.struct(i.alias("i"), F.element_at("_params", F.concat(F.lit("text"), i.cast("string"))).alias("text"))), lambda s: F.coalesce(s["text"], F.lit("")) != "")
-    each = rows.select(name, stories.alias("_s")).select(name, F.size("_s").alias("_total"), F.posexplode("_s").alias("_at", "_story")).withColumn("_text", clean_text(F.col("_story.text")))
+    numbered = lambda p: F.transform(F.sequence(F.lit(1), F.lit(MAX_STORY)), lambda i: F.struct(i.alias("i"), F.element_at(p, F.concat(F.lit("text"), i.cast("string"))).alias("text")))
+    stories = bind(params, lambda p: F.filter(numbered(p), lambda s: F.coalesce(s["text"], F.lit("")) != ""))
+    rows = lore_pages.filter(F.col("wikitext").contains("{{Character Story")).select(name, stories.alias("_s"))
+    each = rows.select(name, F.size("_s").alias("_total"), F.posexplode("_s").alias("_at", "_story")).withColumn("_text", clean_text(F.col("_story.text")))
     index = F.col("_story.i")
     subtitle = F.format_string("Character Story %d of %d · %s", F.col("_at") + 1, F.col("_total"), name)
     return _entry(

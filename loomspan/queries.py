@@ -491,3 +491,76 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans.build import run_summary as summary
 
     return summary(docs(spark, sf_dir).select(F.col("lang").alias("category"), F.when(F.col("doc_id") % 9 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("qa_flags"), F.col("text").alias("raw_text")))
+
+
+# --- record builders -----------------------------------------------------------------------------------------------------
+
+
+def _piece(length: int = 120) -> Column:
+    return F.trim(F.regexp_replace(F.substring("text", 1, length), "[^A-Za-z ]", ""))
+
+
+def _piece_sql(length: int = 120) -> str:
+    return f"trim(regexp_replace(left(text, {length}), '[^A-Za-z ]', '', 'g'))"
+
+
+def _folded(c: str) -> str:
+    return f"trim(regexp_replace({c}, ' +', ' ', 'g'))"
+
+
+_LENGTHS = "concat_ws(',', CASE WHEN length({t}) > {most} THEN 'flavor_text_unexpectedly_long' END, CASE WHEN length({t}) < 10 THEN 'flavor_text_too_short' END)"
+
+
+@query(
+    f"""SELECT 'light-cone-page-' || doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'Light Cone' WHEN doc_id % 3 = 0 THEN 'Light Cone · ' || lang ELSE '5★ Light Cone · ' || lang END AS subtitle,
+      CASE WHEN doc_id % 5 = 0 THEN '' ELSE {_folded(_piece_sql(4000) + " || ' link'")} END AS raw_text,
+      CASE WHEN doc_id % 5 = 0 THEN 'no_description_template' ELSE {_LENGTHS.format(t=_folded(_piece_sql(4000) + " || ' link'"), most=builders.LIGHT_CONE_MAX)} END AS flags, 'w/Page_' || doc_id AS source_url FROM documents"""
+)
+def light_cone_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    box = F.concat(F.lit("{{Box\n|rarity = "), F.when(d % 3 == 0, "?").otherwise("5"), F.lit("\n|effect_path = "), F.col("lang"), F.lit("\n}}"))
+    told = F.when(d % 5 == 0, "").otherwise(F.concat(F.lit("{{Description|"), _piece(4000), F.lit(" [[a|link]]}}")))
+    pages = docs(spark, sf_dir).select(F.concat(F.lit("Page "), d.cast("string")).alias("title"), F.concat(box, told).alias("wikitext"))
+    return builders.light_cones(pages, "w/").select("id", "subtitle", "raw_text", F.array_join("qa_flags", ",").alias("flags"), "source_url")
+
+
+@query(
+    f"""WITH one AS (SELECT doc_id, {_piece_sql()} AS t FROM documents),
+    part AS (SELECT s.doc_id, i, p.doc_id AS pid, CASE WHEN p.doc_id % 4 = 0 THEN '' ELSE coalesce(p.t, '') END AS t FROM one s, unnest(range(0, CASE WHEN s.doc_id % 2 = 0 THEN 4 ELSE 2 END)) AS u(i) LEFT JOIN one p ON p.doc_id = s.doc_id + i + 1),
+    label AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN ['Head','Hand','Body','Feet'][i + 1] ELSE ['Planar Sphere','Link Rope'][i + 1] END AS label FROM part),
+    whole AS (SELECT doc_id, coalesce(string_agg({_folded('t')}, ' ' ORDER BY i) FILTER (t <> ''), '') AS raw_text,
+                     string_agg('missing_piece_description:' || label, ',' ORDER BY i) FILTER (t = '') AS lost, min(doc_id + i + 1) FILTER (pid IS NULL) AS gone FROM label GROUP BY doc_id)
+    SELECT 'relic-set-set-' || doc_id AS id, '4★ ' || CASE WHEN doc_id % 2 = 0 THEN 'Relic Set' ELSE 'Planar Ornament' END AS subtitle, raw_text, 'P' || gone AS error,
+      concat_ws(',', lost, CASE WHEN raw_text = '' THEN 'no_lore_text' END, CASE WHEN raw_text <> '' AND length(raw_text) < 10 THEN 'flavor_text_too_short' END) AS flags FROM whole"""
+)
+def relic_set_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    link = lambda field, i: F.concat(F.lit(f"|{field} = P"), (d + i).cast("string"), F.lit("\n"))
+    cavern = F.concat(*[link(f, i + 1) for i, (f, _) in enumerate(builders.CAVERN)])
+    planar = F.concat(*[link(f, i + 1) for i, (f, _) in enumerate(builders.PLANAR)])
+    sets = docs(spark, sf_dir).select(F.concat(F.lit("Set "), d.cast("string")).alias("title"), F.concat(F.lit("{{Set\n|rarity = 3★4★\n"), F.when(d % 2 == 0, cavern).otherwise(planar), F.lit("}}")).alias("wikitext"))
+    body = F.when(d % 4 == 0, "").otherwise(_piece())
+    pages = docs(spark, sf_dir).select(F.concat(F.lit("P"), d.cast("string")).alias("title"), F.concat(F.lit("==Description==\n"), body, F.lit("\n==Next==\nz")).alias("wikitext"))
+    return builders.relic_sets(sets, pages).select("id", "subtitle", "raw_text", "error", F.array_join("qa_flags", ",").alias("flags"))
+
+
+@query(
+    f"""WITH one AS (SELECT doc_id, lang, {_folded(_piece_sql(6000))} AS t FROM documents WHERE {_piece_sql(6000)} <> '')
+    SELECT 'character-story-c-' || doc_id || '-' || n AS id, 'C ' || doc_id || ' — Story ' || n AS name, 'Character Story ' || place || ' of 2 · C ' || doc_id AS subtitle, t AS raw_text,
+      {_LENGTHS.format(t='t', most=builders.STORY_MAX)} AS flags FROM one, (VALUES (1, 1), (4, 2)) AS v(n, place)"""
+)
+def character_story_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.concat(F.lit("x {{Character Story|text1 = "), _piece(6000), F.lit("|text2 = |mention1=[[a|b]]|text4="), _piece(6000), F.lit("}}"))
+    lore = docs(spark, sf_dir).filter(_piece(6000) != "").select(F.concat(F.lit("C "), F.col("doc_id").cast("string")).alias("name"), page.alias("wikitext"))
+    return builders.character_stories(lore).select("id", "name", "subtitle", "raw_text", F.array_join("qa_flags", ",").alias("flags"))
+
+
+@query(
+    _INDEX + """, per AS (SELECT r.key, count(DISTINCT r.entry_id) FILTER (r.category = 'light_cone') AS a, count(DISTINCT r.entry_id) FILTER (r.category = 'relic_set') AS b, count(DISTINCT r.entry_id) FILTER (r.category = 'character_story') AS c
+      FROM resolved r GROUP BY 1),
+    word AS (SELECT key, list_filter([CASE WHEN a > 0 THEN a || CASE WHEN a = 1 THEN ' light cone' ELSE ' light cones' END END, CASE WHEN b > 0 THEN b || CASE WHEN b = 1 THEN ' relic set' ELSE ' relic sets' END END,
+      CASE WHEN c > 0 THEN c || CASE WHEN c = 1 THEN ' character story' ELSE ' character stories' END END], lambda x: x IS NOT NULL) AS p FROM per)
+    SELECT id, name, kind, CASE WHEN len(p) = 1 THEN p[1] ELSE array_to_string(p[:-2], ', ') || ' and ' || p[-1] END AS spread, category_span > 1 AS bridges, entry_count FROM entity JOIN word USING (key)"""
+)
+def connection_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.connection_card(index(spark, sf_dir))
