@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +29,19 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, label: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: its lineage ends there and survives lost executors.
+
+    The shuffle files behind the write are deleted as soon as it is done, as nothing reads them any more.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/loomspan/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     out._loomspan_path = path
     return out
