@@ -38,14 +38,14 @@ from .common import connected_components, cut, drop, pieces, shuffle_partitions
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK_BYTES = 4 << 20
+_CHUNK_BYTES = 2 << 20
 
 
 class WordHashes(dict):
     """UTF-8 word to 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

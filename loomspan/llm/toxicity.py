@@ -73,7 +73,7 @@ class Tokens(dict):
 
     def of(self, tokens: list[str]) -> np.ndarray:
         """Feature rows of many tokens."""
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
             self.table = np.empty((0, _FLAGS), np.float32)
         index = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
