@@ -65,31 +65,57 @@ def pieces(n: float, per_piece: int) -> int:
     return max(1, math.ceil(n / per_piece))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Label every node that has an edge with the smallest node id of its component.
 
-    ``edges`` has long columns ``a`` and ``b``. Each round takes the minimum label over a node's neighbours
-    (pre-aggregated before the shuffle, so a hub costs one row per task) and then jumps twice along the label pointers,
-    which halves chains. Every round is cut to the shared folder; the loop ends when no label changes.
+    ``edges`` has long columns ``a`` and ``b``. In a round every node points at its smallest neighbour. Such pointers only ever
+    close in pairs, whose smaller node becomes a root; pointers are jumped to their roots, and the edges between different
+    roots are the graph of the next round. Each of its nodes stands for two or more of this one, so rounds grow with the
+    logarithm of the nodes whatever the ids and the shape, and the loop ends when no edge is left. At the end the rounds'
+    pointers are followed backwards. Every step is cut to the shared folder.
     Self loops and repeated edges are harmless; an empty table gives an empty result.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "cc-labels")
-    for _ in range(max_rounds):
-        heard = (
-            both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("heard"))
-        )
-        hooked = labels.join(heard, "node", "left").select("node", F.col("comp").alias("was"), F.least("comp", "heard").alias("comp"))
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = cut(
-            hooked.join(up, "comp", "left").select("node", "was", F.least("comp", "up").alias("comp")), "cc-labels"
-        )
-        changed = new.filter(F.col("was") != F.col("comp")).limit(1).count()
+    live = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
+    rounds = []
+    while True:
+        roots = _roots(live)
+        rounds.append(roots)
+        to = lambda end: roots.select(F.col("node").alias(end), F.col("up").alias(f"{end}_up"))  # noqa: B023, E731
+        left = live.filter("a <> b").join(to("a"), "a").join(to("b"), "b").filter("a_up <> b_up")
+        rest = cut(left.select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).distinct(), "cc-edges")
+        drop(live)
+        live = rest
+        if live.isEmpty():
+            break
+    drop(live)
+    labels = rounds.pop()
+    while rounds:
+        below = rounds.pop()
+        top = labels.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        joined = cut(below.join(top, "up", "left").select("node", F.coalesce("top", "up").alias("up")), "cc-labels")
+        drop(below)
         drop(labels)
-        path = new._loomspan_path
-        labels = new.select("node", "comp")
-        labels._loomspan_path = path
+        labels = joined
+    least = labels.groupBy("up").agg(F.min("node").alias("comp"))
+    out = cut(labels.join(least, "up").select("node", "comp"), "cc-labels")
+    drop(labels)
+    return out
+
+
+def _roots(live: DataFrame) -> DataFrame:
+    """node, up: the root that each node of ``live`` (edges in both directions) reaches by smallest neighbours."""
+    other = F.min(F.when(F.col("b") != F.col("a"), F.col("b")))
+    picked = cut(live.groupBy(F.col("a").alias("node")).agg(F.coalesce(other, F.col("a")).alias("up")), "cc-labels")
+    back = picked.select(F.col("node").alias("up"), F.col("up").alias("back"))
+    root = (F.col("back") == F.col("node")) & (F.col("node") < F.col("up"))
+    tree = cut(picked.join(back, "up").select("node", F.when(root, F.col("node")).otherwise(F.col("up")).alias("up")), "cc-labels")
+    drop(picked)
+    while True:
+        over = tree.select(F.col("node").alias("up"), F.col("up").alias("over"))
+        new = cut(tree.join(over, "up").select("node", F.col("up").alias("was"), F.col("over").alias("up")), "cc-labels")
+        changed = not new.filter(F.col("was") != F.col("up")).isEmpty()
+        drop(tree)
+        tree = new.select("node", "up")
+        tree._loomspan_path = new._loomspan_path
         if not changed:
-            drop(both)
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+            return tree

@@ -113,3 +113,13 @@ def test_connected_components(spark):
         if old == least:
             break
     assert got == least
+
+
+def test_connected_components_of_long_chains_of_hashes(spark):
+    r = random.Random(5)
+    chains = [[r.getrandbits(63) - 2**62 for _ in range(n)] for n in (3000, 2, 700)]
+    edges = [e for c in chains for e in zip(c, c[1:])]
+    r.shuffle(edges)
+    got = {x["node"]: x["comp"] for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: min(c) for c in chains for n in c}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
