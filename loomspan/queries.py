@@ -313,6 +313,12 @@ def page_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", names.page_url(F.substring("text", 1, 60), "https://w/").alias("url"))
 
 
+@query(f"SELECT doc_id, 'https://w/' || {_ENC.replace('left(text, 60)', 'text')} AS url FROM documents")
+def page_url_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``page_url``, over whole texts."""
+    return docs(spark, sf_dir).select("doc_id", names.page_url(F.col("text"), "https://w/").alias("url"))
+
+
 _PIECE = "regexp_replace(left(text, 120), '[^A-Za-z ]', '', 'g')"
 
 
@@ -337,6 +343,25 @@ def template_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def clean_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``clean_text``, over whole texts as they are."""
+    text = F.col("text")
+    marked = F.concat(F.lit("A<br />B "), text, F.lit(" '''b''' [[p|"), text, F.lit("]] {{w|x|"), text, F.lit("}} {{Rubi|"), text, F.lit("|r}} {{MC|m=he|f=she}} {{MC|x|y}} {{sic}} {{ja|z}}  end "))
+    return docs(spark, sf_dir).select("doc_id", markup.clean_text(marked).alias("clean"))
+
+
+@query()
+def template_fields_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``template_fields``, over whole texts as they are."""
+    text = F.col("text")
+    page = F.concat(F.lit("{{Box\n|one = "), text, F.lit("\n|two = [[a|b]]\n}} {{Description|x {{n|"), text, F.lit("}} y}} tail"))
+    params = markup.template_params(F.col("page"), "Box")
+    return docs(spark, sf_dir).select("doc_id", page.alias("page")).select(
+        "doc_id", markup.template_arg(F.col("page"), "Description").alias("argument"), params["one"].alias("first"), params["two"].alias("second"), markup.infobox_field(F.col("page"), "one").alias("field")
+    )
+
+
 @query(
     r"""SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
     trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
