@@ -525,6 +525,10 @@ def _piece(length: int = 120) -> Column:
     return F.trim(F.regexp_replace(F.substring("text", 1, length), "[^A-Za-z ]", ""))
 
 
+def _whole() -> Column:
+    return F.coalesce("text", F.lit(""))
+
+
 def _piece_sql(length: int = 120) -> str:
     return f"trim(regexp_replace(left(text, {length}), '[^A-Za-z ]', '', 'g'))"
 
@@ -580,6 +584,37 @@ def character_story_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return builders.character_stories(lore).select("id", "name", "subtitle", "raw_text", F.array_join("qa_flags", ",").alias("flags"))
 
 
+@query()
+def light_cone_records_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``light_cone_records``, from whole texts as they are."""
+    d = F.col("doc_id")
+    box = F.concat(F.lit("{{Box\n|rarity = "), F.when(d % 3 == 0, "?").otherwise("5"), F.lit("\n|effect_path = "), F.col("lang"), F.lit("\n}}"))
+    told = F.when(d % 5 == 0, "").otherwise(F.concat(F.lit("{{Description|"), _whole(), F.lit(" [[a|link]]}}")))
+    pages = docs(spark, sf_dir).select(F.concat(F.lit("Page "), d.cast("string")).alias("title"), F.concat(box, told).alias("wikitext"))
+    return builders.light_cones(pages, "w/").select("id", "subtitle", "raw_text", F.array_join("qa_flags", ",").alias("flags"), "source_url")
+
+
+@query()
+def relic_set_records_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``relic_set_records``, from whole texts as they are."""
+    d = F.col("doc_id")
+    link = lambda field, i: F.concat(F.lit(f"|{field} = P"), (d + i).cast("string"), F.lit("\n"))
+    cavern = F.concat(*[link(f, i + 1) for i, (f, _) in enumerate(builders.CAVERN)])
+    planar = F.concat(*[link(f, i + 1) for i, (f, _) in enumerate(builders.PLANAR)])
+    sets = docs(spark, sf_dir).select(F.concat(F.lit("Set "), d.cast("string")).alias("title"), F.concat(F.lit("{{Set\n|rarity = 3★4★\n"), F.when(d % 2 == 0, cavern).otherwise(planar), F.lit("}}")).alias("wikitext"))
+    body = F.when(d % 4 == 0, "").otherwise(_whole())
+    pages = docs(spark, sf_dir).select(F.concat(F.lit("P"), d.cast("string")).alias("title"), F.concat(F.lit("==Description==\n"), body, F.lit("\n==Next==\nz")).alias("wikitext"))
+    return builders.relic_sets(sets, pages).select("id", "subtitle", "raw_text", "error", F.array_join("qa_flags", ",").alias("flags"))
+
+
+@query()
+def character_story_records_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``character_story_records``, from whole texts as they are."""
+    page = F.concat(F.lit("x {{Character Story|text1 = "), _whole(), F.lit("|text2 = |mention1=[[a|b]]|text4="), _whole(), F.lit("}}"))
+    lore = docs(spark, sf_dir).select(F.concat(F.lit("C "), F.col("doc_id").cast("string")).alias("name"), page.alias("wikitext"))
+    return builders.character_stories(lore).select("id", "name", "subtitle", "raw_text", F.array_join("qa_flags", ",").alias("flags"))
+
+
 @query(
     _INDEX + """, per AS (SELECT r.key, count(DISTINCT r.entry_id) FILTER (r.category = 'light_cone') AS a, count(DISTINCT r.entry_id) FILTER (r.category = 'relic_set') AS b, count(DISTINCT r.entry_id) FILTER (r.category = 'character_story') AS c
       FROM resolved r GROUP BY 1),

@@ -47,3 +47,38 @@ def test_template_fields(spark, sf):
         if t:
             assert (got[i]["argument"], got[i]["first"], got[i]["second"]) == (f"x {{{{n|{t}}}}} y", t.strip(), "[[a|b]]")
             assert got[i]["field"] == (t.strip().split("\n")[0].strip() or "|two = [[a|b]]")
+
+
+def test_light_cones(spark, sf):
+    got = rows(spark, sf, "light_cone_records_whole", "id")
+    assert len(got) == len(TEXTS)
+    for i, t in TEXTS.items():
+        want = "" if i == 5 else fold(plain(t or "") + " link")
+        told = "no_description_template" if i == 5 else "flavor_text_unexpectedly_long" if len(want) > 3000 else "flavor_text_too_short" if len(want) < 10 else ""
+        assert (got[f"light-cone-page-{i}"]["raw_text"], got[f"light-cone-page-{i}"]["flags"]) == (want, told)
+
+
+def test_relic_sets(spark, sf):
+    got = rows(spark, sf, "relic_set_records_whole", "id")
+    assert len(got) == len(TEXTS)
+    # set 1 has pieces 2 and 3, of which 3 is no page; set 4 has 5 to 8; set 2 has 3 to 6; set 7 has 8 and 9
+    assert got["relic-set-set-1"]["raw_text"] == "é 12 3" and got["relic-set-set-1"]["error"] == "P3"
+    assert got["relic-set-set-4"]["raw_text"] == fold(plain(TEXTS[7])) and got["relic-set-set-4"]["error"] == "P6"
+
+
+def test_relic_sets_of_long_pieces(spark, tmp_path):
+    texts = {i: PROSE for i in (1, 2, 3, 5, 6, 7)}
+    spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(spark, str(tmp_path), "relic_set_records_whole", "id")["relic-set-set-1"]
+    assert got["raw_text"] == fold(PROSE + PROSE) and got["flags"] == "flavor_text_unexpectedly_long" and got["error"] is None
+
+
+def test_character_stories(spark, sf):
+    got = rows(spark, sf, "character_story_records_whole", "id")
+    assert len(got) == 2 * sum(bool((t or "").strip()) for t in TEXTS.values())
+    for i, t in TEXTS.items():
+        for n, place in ((1, 1), (4, 2)):
+            if (t or "").strip():
+                one = got[f"character-story-c-{i}-{n}"]
+                assert one["raw_text"] == fold(plain(t)) and one["subtitle"] == f"Character Story {place} of 2 · C {i}"
+                assert one["flags"] == ("flavor_text_unexpectedly_long" if len(fold(plain(t))) > 5000 else "flavor_text_too_short" if len(fold(plain(t))) < 10 else "")
