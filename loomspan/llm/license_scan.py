@@ -4,9 +4,13 @@ Paragraphs are lines, cut further at sentence ends. Their lower-case word unigra
 logistic regression over licence families and an unknown class. It is trained on the driver from the public templates below,
 varied by a seeded augmentation, and unlike sentences; a temperature and a threshold, fitted on held-out variants, calibrate
 it. A prediction stands only if a template of its family confirms it by shared words. The weights (at most ``max_features``
-vectors) go into the plan as a literal; a text without a trigger word costs one regular-expression search.
+vectors) go into the plan as a literal; a text without a distinctive word costs one regular-expression search.
 
-Defined results: null and empty texts have no licence; a paragraph without a trigger word is unknown; repeated rows are scanned
+Looked at are lines with a trigger word, and all lines that share enough words with any template to be confirmed.
+To be confirmed, a paragraph has to hold one of the distinctive words of a template: so many of its longest ones that the rest
+are too few to confirm it.
+
+Defined results: null and empty texts have no licence; a paragraph not looked at is unknown; repeated rows are scanned
 each; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -61,10 +65,35 @@ UNKNOWN = "unknown"
 TRIGGER = r"(?i)licen[cs]e|copyright|\bgpl|spdx|\bcc0|\bcc by|creative commons|public domain|rights reserved|permission is hereby|redistribution and use|free software foundation"
 _WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 _BREAK = r"[\n\r]+|(?<=[.!?])[ \t]+(?=[A-Z])"
+# The Creative Commons licences are also written with a dash: "CC-BY-SA 4.0" has the words of "CC BY-SA 4.0".
+_DASHED = r"(?<![a-z0-9])cc-(by(?:-(?:sa|nc|nd))*)(?![a-z0-9])(?![.+-][a-z0-9])"
+CONFIRM = 0.6
+
+
+def words_of(text: str) -> list[str]:
+    return re.findall(_WORD, text.lower())
+
+
+def distinctive_words(confirm: float = CONFIRM) -> list[str]:
+    """Of every template so many of its longest words that a paragraph with none of them holds too few to be confirmed."""
+    out: set[str] = set()
+    for sentence in (s for sentences in TEMPLATES.values() for s in sentences):
+        words = sorted(set(words_of(sentence)), key=lambda w: (-len(w), w))
+        need = next(n for n in range(1, len(words) + 1) if n / len(words) >= confirm)
+        out |= set(words[: len(words) - need + 1])
+    return sorted(out)
+
+
+def _prefilter(words: list[str]) -> str:
+    """An expression for texts in lower case that hold any of ``words``."""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        by_first.setdefault(w[0], []).append(re.escape(w[1:]))
+    return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_first.items())) + ")(?![a-z0-9])"
 
 
 def grams(text: str) -> set[str]:
-    words = re.findall(_WORD, text.lower())
+    words = words_of(text)
     return set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])}
 
 
@@ -138,9 +167,20 @@ def _doubles(values: np.ndarray) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def classify(paragraph: Column, model: LicenceModel, confirm: float = 0.6) -> Column:
+def _words(paragraph: Column) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(F.lower(paragraph), _DASHED, "cc $1"), F.lit(f"({_WORD})"), 1)
+
+
+def _confirmable(paragraph: Column, confirm: float = CONFIRM) -> Column:
+    """Whether the paragraph holds enough words of any template."""
+    every = F.array(*[F.array(*[F.lit(w) for w in sorted(set(words_of(s)))]) for sentences in TEMPLATES.values() for s in sentences])
+    # bound, so that the words are cut out once
+    return F.exists(F.array(_words(paragraph)), lambda words: F.exists(every, lambda t: F.size(F.array_intersect(t, words)) / F.size(t) >= confirm))
+
+
+def classify(paragraph: Column, model: LicenceModel, confirm: float = CONFIRM) -> Column:
     """struct<family, score, confirmed> of one paragraph."""
-    words = F.regexp_extract_all(F.lower(paragraph), F.lit(f"({_WORD})"), 1)
+    words = _words(paragraph)
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     mine = F.array_distinct(F.concat(words, pairs))
     names = F.array(*[F.lit(g) for g in model.features])
@@ -162,14 +202,22 @@ def classify(paragraph: Column, model: LicenceModel, confirm: float = 0.6) -> Co
 
 
 def find_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
-    """``docs`` (all columns) with ``licences``: array of (paragraph, family, score, confirmed) for paragraphs with a trigger."""
+    """``docs`` (all columns) with ``licences``: array of (paragraph, family, score, confirmed) for the paragraphs looked at."""
     model = model or LicenceModel()
     text = F.col("text")
-    units = F.filter(F.split(text, _BREAK), lambda u: u.rlike(TRIGGER))
+    near = _prefilter(distinctive_words())
+    # the words of "cc-by 4.0" are not all in the text as it stands
+    held = lambda c: F.regexp_replace(F.lower(c), _DASHED, "cc $1").rlike(near)
+    lines = F.filter(F.split(text, _BREAK), lambda u: u.rlike(TRIGGER) | (held(u) & _confirmable(u)))
     none = F.array().cast("array<struct<paragraph:string,family:string,score:double,confirmed:boolean>>")
-    rated = F.transform(units, lambda u: F.struct(u.alias("paragraph"), classify(u, model).alias("c")))
-    flat = F.transform(rated, lambda r: F.struct(r["paragraph"].alias("paragraph"), r["c"]["family"].alias("family"), r["c"]["score"].alias("score"), r["c"]["confirmed"].alias("confirmed")))
-    return docs.withColumn("licences", F.when(text.rlike(TRIGGER), flat).otherwise(none))
+
+    def rated(units: Column) -> Column:
+        both = F.transform(units, lambda u: F.struct(u.alias("paragraph"), classify(u, model).alias("c")))
+        return F.transform(both, lambda r: F.struct(r["paragraph"].alias("paragraph"), r["c"]["family"].alias("family"), r["c"]["score"].alias("score"), r["c"]["confirmed"].alias("confirmed")))
+
+    looked = F.when(text.rlike(TRIGGER) | held(text), F.struct(lines.alias("lines")))
+    found = docs.withColumn("_units", looked).withColumn("_lines", F.when(F.size("_units.lines") > 0, rated(F.col("_units.lines"))).otherwise(none))
+    return found.withColumn("licences", F.col("_lines")).drop("_units", "_lines")
 
 
 def licence_digest(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:

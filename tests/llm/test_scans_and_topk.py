@@ -85,6 +85,25 @@ def test_licence_held_out_accuracy(spark):
     assert not wrong and sum(got[i] == f for i, f, _ in rows if f) > 0.85 * sum(1 for _, f, _ in rows if f)
 
 
+def families(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [x["families"] for x in sorted(ls.licence_digest(df).collect(), key=lambda x: x["doc_id"])]
+
+
+def test_licences_without_a_usual_trigger(spark):
+    texts = ["Released under the AGPL v3.", "Released under the LGPL.", "Released under CC-BY-SA 4.0.", "A talk.\nLicensed under CC-BY 4.0.", "The LGPL was discussed."]
+    assert families(spark, texts) == ["AGPL-3.0", "LGPL", "CC-BY-SA", "CC-BY", ""]
+
+
+def test_every_confirmable_paragraph_passes_the_prefilter():
+    r, near = random.Random(3), re.compile(ls._prefilter(ls.distinctive_words()))
+    for sentence in (s for sentences in ls.TEMPLATES.values() for s in sentences):
+        words = sorted(set(ls.words_of(sentence)))
+        for _ in range(40):
+            some = r.sample(words, next(n for n in range(len(words) + 1) if n / len(words) >= ls.CONFIRM))
+            assert near.search(" ".join(some))
+
+
 def brute_top(vectors, k, every):
     ok = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
