@@ -1,14 +1,14 @@
 """License scan by a trained paragraph classifier, in DataFrame operations only.
 
-Paragraphs are lines, cut further at sentence ends. Their lower-case word unigrams and bigrams (presence) feed a multinomial
+Paragraphs are lines, cut further at sentence ends, and passages of several lines between blank lines and sentence ends. Their lower-case word unigrams and bigrams (presence) feed a multinomial
 logistic regression over licence families and an unknown class. It is trained on the driver from the public templates below,
 varied by a seeded augmentation, and unlike sentences; a temperature and a threshold, fitted on held-out variants, calibrate
 it. A prediction stands only if a template of its family confirms it by shared words. The weights (at most ``max_features``
 vectors) go into the plan as a literal; a text without a distinctive word costs one regular-expression search.
 
-Looked at are lines with a trigger word, and all lines that share enough words with any template to be confirmed.
+Looked at are lines with a trigger word, and all lines and passages that share enough words with any template to be confirmed.
 To be confirmed, a paragraph has to hold one of the distinctive words of a template: so many of its longest ones that the rest
-are too few to confirm it.
+are too few to confirm it. A passage is left out if one of its lines tells the same family.
 
 Defined results: null and empty texts have no licence; a paragraph not looked at is unknown; repeated rows are scanned
 each; an empty table gives an empty result; extra columns are ignored.
@@ -65,6 +65,9 @@ UNKNOWN = "unknown"
 TRIGGER = r"(?i)licen[cs]e|copyright|\bgpl|spdx|\bcc0|\bcc by|creative commons|public domain|rights reserved|permission is hereby|redistribution and use|free software foundation"
 _WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 _BREAK = r"[\n\r]+|(?<=[.!?])[ \t]+(?=[A-Z])"
+# Blank lines, and sentence ends with the line ends and comment marks behind them.
+_MARKS = r"[ \t*#;/%>|-]*"
+_PASSAGE = rf"(?:\r\n?+|\n){_MARKS}(?:\r\n?+|\n)|(?<=[.!?])(?=[ \t\n\r])[ \t]*+(?:[\n\r]++{_MARKS}+)*+(?=[A-Z])"
 # The Creative Commons licences are also written with a dash: "CC-BY-SA 4.0" has the words of "CC BY-SA 4.0".
 _DASHED = r"(?<![a-z0-9])cc-(by(?:-(?:sa|nc|nd))*)(?![a-z0-9])(?![.+-][a-z0-9])"
 CONFIRM = 0.6
@@ -209,15 +212,18 @@ def find_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFra
     # the words of "cc-by 4.0" are not all in the text as it stands
     held = lambda c: F.regexp_replace(F.lower(c), _DASHED, "cc $1").rlike(near)
     lines = F.filter(F.split(text, _BREAK), lambda u: u.rlike(TRIGGER) | (held(u) & _confirmable(u)))
+    passages = F.filter(F.split(text, _PASSAGE), lambda u: F.trim(u).rlike(r"[^\n\r][\n\r]+[^\n\r]") & held(u) & _confirmable(u))
     none = F.array().cast("array<struct<paragraph:string,family:string,score:double,confirmed:boolean>>")
 
     def rated(units: Column) -> Column:
         both = F.transform(units, lambda u: F.struct(u.alias("paragraph"), classify(u, model).alias("c")))
         return F.transform(both, lambda r: F.struct(r["paragraph"].alias("paragraph"), r["c"]["family"].alias("family"), r["c"]["score"].alias("score"), r["c"]["confirmed"].alias("confirmed")))
 
-    looked = F.when(text.rlike(TRIGGER) | held(text), F.struct(lines.alias("lines")))
+    looked = F.when(text.rlike(TRIGGER) | held(text), F.struct(lines.alias("lines"), passages.alias("passages")))
     found = docs.withColumn("_units", looked).withColumn("_lines", F.when(F.size("_units.lines") > 0, rated(F.col("_units.lines"))).otherwise(none))
-    return found.withColumn("licences", F.col("_lines")).drop("_units", "_lines")
+    found = found.withColumn("_passages", F.when(F.size("_units.passages") > 0, rated(F.col("_units.passages"))).otherwise(none))
+    told = lambda p: F.exists("_lines", lambda l: l["confirmed"] & (l["family"] == p["family"]) & p["paragraph"].contains(l["paragraph"]))
+    return found.withColumn("licences", F.concat("_lines", F.filter("_passages", lambda p: ~told(p)))).drop("_units", "_lines", "_passages")
 
 
 def licence_digest(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:

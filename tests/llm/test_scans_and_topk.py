@@ -104,6 +104,33 @@ def test_every_confirmable_paragraph_passes_the_prefilter():
             assert near.search(" ".join(some))
 
 
+MIT_WRAPPED = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software."""
+BSD_WRAPPED = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+GPL_WRAPPED = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful."""
+
+
+def test_wrapped_licences(spark):
+    comment = lambda text, mark: "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
+    wrapped = [MIT_WRAPPED, BSD_WRAPPED, GPL_WRAPPED]
+    texts = [*wrapped, *(comment(t, " *") for t in wrapped), *(comment("Tools. See below.\n\n" + t + "\n\nMore follows.", "#") for t in wrapped), *(t.replace("\n", "\r\n") for t in wrapped)]
+    assert families(spark, texts) == ["MIT", "BSD", "GPL-2.0"] * 4
+
+
+def test_passages_do_not_repeat_their_lines(spark):
+    df = spark.createDataFrame([(1, "x y z\nReleased under the MIT License.\nmore")], "doc_id long, text string")
+    assert [(x["n_candidates"], x["n_confirmed"]) for x in ls.licence_digest(df).collect()] == [(1, 1)]
+
+
 def brute_top(vectors, k, every):
     ok = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
