@@ -69,8 +69,10 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     return {"email": emails(text) if "@" in text else [], "ip": ips, "card": cards, "phone": phones}
 
 
+_AT = r"(?:[\[({] ?at ?[\])}]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[({] ?dot ?[\])}]|\.| dot ) ?[A-Za-z0-9-]{2,24})"
+_AT_DOMAIN = re.compile(_AT, re.I | re.A)
 GENERATORS = {
-    "obscured_email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:[\[({] ?at ?[\])}]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[({] ?dot ?[\])}]|\.| dot ) ?[A-Za-z0-9-]{2,24})+", re.I | re.A),
+    "obscured_email": re.compile(rf"[A-Za-z0-9._%+-]{{1,64}} ?{_AT}+", re.I | re.A),
     "local_phone": re.compile(r"(?<![0-9A-Za-z+.,-])\(?[0-9]{2,5}\)?[ ./-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])"),
     "identity": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     "account": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
@@ -85,11 +87,25 @@ _CONTEXT = {
 _AGAINST = ("version", "order", "isbn", "invoice", "page", "pages", "part", "model", "serial", "total", "price", "code", "date", "ref", "no", "sku", "build", "meet", "arrived", "looked")
 
 
+def obscured_emails(text: str) -> list[Span]:
+    """All matches of the generator. Its rarer part, the domain behind an ``at``, is searched first; the name stands right before it."""
+    out, done, m = [], 0, _AT_DOMAIN.search(text)
+    while m:
+        at = m.start()
+        end = at - 1 if at > done and text[at - 1] == " " else at
+        start = end
+        while start > max(done, end - 64) and text[start - 1] in _LOCAL:
+            start -= 1
+        found = GENERATORS["obscured_email"].match(text, start) if start < end else None
+        if found:
+            out.append(found.span())
+            done = found.end()
+        m = _AT_DOMAIN.search(text, max(at + 1, done))
+    return out
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    out = []
-    low = text.lower() if "at" in text or "AT" in text else ""
-    if low and ("(at)" in low or "[at]" in low or "{at}" in low or "( at" in low or "[ at" in low or " dot " in low):
-        out += [("obscured_email", *m.span()) for m in GENERATORS["obscured_email"].finditer(text)]
+    out = [("obscured_email", *span) for span in obscured_emails(text)]
     for kind in ("local_phone", "identity", "account"):
         out += [(kind, *m.span()) for m in GENERATORS[kind].finditer(text)]
     return out

@@ -38,6 +38,17 @@ def test_luhn():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def test_obscured_email_candidates_are_all_matches():
+    r = random.Random(4)
+    for text in ("jane { at } example.com", "jane (At) example.com", "jane at example.com", "a" * 70 + "[AT]b.cd", "x  at y.zz at q.rr"):
+        assert [k for k, *_ in pii.candidates(text)] == ["obscured_email"]
+    bits = ["at", " at ", "(at)", "[ At ]", "{aT}", " ", "  ", ".", " dot ", "[dot]", "jane", "b-c", "xy", ",", "é", "a" * 40, "(", "\u212a"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 30))) for _ in range(20000)]
+    assert sum(len(pii.obscured_emails(t)) for t in texts) > 500
+    for t in texts:
+        assert pii.obscured_emails(t) == [m.span() for m in pii.GENERATORS["obscured_email"].finditer(t)]
+
+
 def test_added_spans(detector):
     text = "mail me: john.doe (at) example (dot) com or call (415) 555-1212 now, account DE89370400440532013000; order 2024-555-1212 of version 3.4"
     found = detector.spans(text)
