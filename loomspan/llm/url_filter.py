@@ -87,10 +87,29 @@ def _resolved(target: Column, url: Column) -> Column:
     )
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's attribute, quoted or not; empty without one."""
+    found = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return F.concat(*[F.regexp_extract(tag, found, g) for g in (1, 2, 3)])
+
+
+def _has_token(value: Column, token: str) -> Column:
+    return F.array_contains(F.split(F.lower(F.regexp_replace(value, "/$", "")), r"\s+"), token)
+
+
 def alias_targets(html: Column) -> Column:
-    """Targets of a page's canonical links and redirects, as written."""
-    canonical = F.transform(F.regexp_extract_all(html, F.lit(f"({CANONICAL})"), 1), lambda tag: F.regexp_extract(tag, HREF, 1))
-    every = F.concat(canonical, F.regexp_extract_all(html, F.lit(REFRESH), 1), F.regexp_extract_all(html, F.lit(SCRIPT), 1))
+    """Targets of a page's canonical links and redirects, as written. Attributes may stand in any order."""
+    tags = lambda name: F.regexp_extract_all(html, F.lit(rf"(?is)(<{name}\s[^>]*>)"), 1)
+    links = F.filter(tags("link"), lambda tag: tag.rlike(CANONICAL) | _has_token(_attribute(tag, "rel"), "canonical"))
+    canonical = F.transform(links, lambda tag: F.regexp_extract(tag, HREF, 1))
+
+    def refresh(tag: Column) -> Column:
+        told = F.regexp_extract(_attribute(tag, "content"), r"(?is)url\s*=\s*[\"']?([^\"'\s>]+)", 1)
+        late = F.when(_has_token(_attribute(tag, "http-equiv"), "refresh"), told).otherwise("")
+        first = F.regexp_extract(tag, REFRESH, 1)
+        return F.when(first != "", first).otherwise(late)
+
+    every = F.concat(canonical, F.transform(tags("meta"), refresh), F.regexp_extract_all(html, F.lit(SCRIPT), 1))
     return F.filter(every, lambda t: t != "")
 
 

@@ -43,6 +43,17 @@ def test_aliases(spark):
     assert {k: v[3] for k, v in got.items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "block", 9: "block", 10: "allow", 11: "allow", 12: "allow"}
 
 
+def test_alias_tags_in_any_form(spark):
+    to = "https://b.org/es/1"
+    tags = [
+        f"<link href={to} rel=canonical>", f'<link rel="alternate canonical" href="{to}">', f"<LINK HREF='{to}' REL='Canonical'>", f"<link href={to} rel=canonical />", f'<link href="{to}" rel=canonical/>',
+        f'<meta content="0; URL={to}" http-equiv="refresh">', f"<meta content='0;url=\"{to}\"' http-equiv=Refresh>", f"<meta content=0;url={to} name=x http-equiv='refresh'/>", f'<meta http-equiv="refresh" content="0; url={to}">',
+    ]
+    no = [f'<link rel="alternate" href="{to}">', f'<link rel="noncanonical" href="{to}">', f'<meta content="0; url={to}" name="refresh">', f'<meta content="url={to}" http-equiv="x-refresh">']
+    got = judge(spark, *[(i, f"http://h.fr/{i}", f"<title>x</title>{t}<p>y</p>") for i, t in enumerate(tags + no)])
+    assert [got[i][3] for i in range(len(tags + no))] == ["block"] * len(tags) + ["allow"] * len(no)
+
+
 def test_long_chains_and_stars(spark):
     chain = [(i, f"http://h.fr/{i}", f'<link rel="canonical" href="http://h.fr/{i + 1}">') for i in range(40)]
     star = [(100 + i, f"http://s.fr/{i}", '<link rel="canonical" href="http://h.fr/20">') for i in range(60)]
