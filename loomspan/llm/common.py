@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
+_KNOWN: set[str] = set()
+_WRITING: list[int] = []
+_BEFORE: dict[str, str] = {}
+_LOCK = threading.Lock()
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -19,41 +27,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a private one only where that is unset (tests)."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where that is unset, a local session (tests) gets a private
+    folder; on a cluster that would be a machine-local one, so it is an error there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = _FALLBACK.setdefault(spark.sparkContext.applicationId, "")
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _FALLBACK.get(context.applicationId)
         if not root:
-            root = _FALLBACK[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomspan-")
+            root = _FALLBACK[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomspan-")
     return root.rstrip("/")
 
 
+@contextlib.contextmanager
+def _shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as a write is done. Writes may overlap: the first turns the setting on, the last restores it."""
+    with _LOCK:
+        if not _WRITING:
+            _BEFORE[_CLEANUP] = spark.conf.get(_CLEANUP)
+            spark.conf.set(_CLEANUP, "true")
+        _WRITING.append(1)
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITING.pop()
+            if not _WRITING:
+                spark.conf.set(_CLEANUP, _BEFORE[_CLEANUP])
+
+
 def cut(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there and survives lost executors.
 
-    The shuffle files behind the write are deleted as soon as it is done, as nothing reads them any more.
+    The shuffle files behind the write are deleted as soon as it is done, as nothing reads them any more. The table itself is
+    deleted by :func:`drop`, at the latest when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/loomspan/{label}-{uuid.uuid4().hex}"
+    folder = f"{scratch_root(spark)}/loomspan/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _shuffle_cleanup(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
+    if folder not in _KNOWN:
+        _KNOWN.add(folder)
+        target, system = _located(spark, folder)
+        system.deleteOnExit(target)
     out = spark.read.schema(schema).parquet(path)
     out._loomspan_path = path
     return out
 
 
+def _located(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table made by :func:`cut` once nothing reads it any more."""
     path = getattr(df, "_loomspan_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target, system = _located(df.sparkSession, path)
+        system.delete(target, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
