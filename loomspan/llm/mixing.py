@@ -5,7 +5,8 @@ met by a proportional share of every size, a greedy remainder and a bounded-knap
 thousand words; then, for every size, as many documents as the plan says are chosen in the order of a seeded hash.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; documents of size 0 take 0
-words; repeated rows count each; an empty table gives an empty result; clashing extra columns are ignored.
+words; repeated rows count each; an empty table gives an empty result; clashing extra columns are ignored. Whole texts are
+counted, however long; equal hashes are taken in the order of doc_id, and rows that agree in both are alike.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-WORD_GAP = r"[\x20\x09-\x0D]+"
+GAPS = " \t\n\x0b\x0c\r"
 
 
 def word_count(text: Column) -> Column:
-    """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null gives 0."""
-    parts = F.split(text, WORD_GAP, -1)
-    edge = F.when(F.element_at(parts, 1) == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-    return F.coalesce((F.size(parts) - edge).cast("long"), F.lit(0).cast("long"))
+    """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null gives 0.
+
+    Every word becomes one mark and the gaps go, so that no array of words is built: the length left is the count.
+    """
+    marks = F.translate(F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "x"), GAPS, "")
+    return F.coalesce(F.length(marks).cast("long"), F.lit(0).cast("long"))
 
 
 def share_out(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
@@ -91,13 +94,15 @@ def fit_budget(counts: dict[int, int], budget: int, window: int = 4096) -> dict[
 
 def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17,
-    bucket_rows: int = 256, max_sources: int = 1_000_000,
+    bucket_rows: int = 256, run_buckets: int = 4096, max_sources: int = 1_000_000,
 ) -> DataFrame:
     """Every document with doc_id, size, source_size, target and taken (words the mix takes, repeats counted).
 
     One row per source reaches the driver; ``max_sources`` bounds that table and more is an error. Each source's counts by
     size (at most one row per distinct size) are fitted in one task per source. Choosing documents of a size splits large
-    counts into hashed buckets of about ``bucket_rows``, so a hot source or a hot size never meets in one task.
+    counts into hashed buckets of about ``bucket_rows``, whose running counts are taken by runs of ``run_buckets``, so a hot
+    source or a hot size never meets in one task. The plan is a table of its own when documents join it: the planner can
+    broadcast it where it is small and split a hot (source, size) where it is not.
     """
     spark = docs.sparkSession
     base = cut(
@@ -138,8 +143,17 @@ def mix_sources(
     )
     key = ["source", "size", "bucket"]
     filled = dealt.groupBy(*key).agg(F.count("*").alias("rows"))
-    before = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    filled = filled.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    # running counts in two steps, so that no window sees all buckets of a hot size
+    filled = cut(filled.withColumn("run", F.floor(F.col("bucket") / run_buckets)), "mix-buckets")
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    runs = filled.groupBy("source", "size", "run").agg(F.sum("rows").alias("rows"))
+    runs = runs.select(
+        F.col("source").alias("r_source"), F.col("size").alias("r_size"), F.col("run").alias("r_run"),
+        F.coalesce(F.sum("rows").over(earlier("source", "size").orderBy("run")), F.lit(0)).alias("runs_before"),
+    )
+    of_run = filled["source"].eqNullSafe(runs["r_source"]) & (filled["size"] == runs["r_size"]) & (filled["run"] == runs["r_run"])
+    within = F.coalesce(F.sum("rows").over(earlier("source", "size", "run").orderBy("bucket")), F.lit(0))
+    filled = filled.withColumn("within", within).join(runs, of_run).withColumn("before", F.col("within") + F.col("runs_before"))
     g = filled.select(*[F.col(c).alias(f"g_{c}") for c in key], "before")
     same = dealt["source"].eqNullSafe(g["g_source"]) & (dealt["size"] == g["g_size"]) & (dealt["bucket"] == g["g_bucket"])
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("h", "doc_id"))

@@ -54,6 +54,29 @@ def test_operator(spark):
     assert all(abs(taken[s] - target[s]) <= 1 for s in order if sizes[s] > 50)
 
 
+def test_which_documents_are_taken(spark):
+    """Of each source and size the plan's number of documents, in the order of their hashes: restated row by row."""
+    r = random.Random(3)
+    docs = [(i, " ".join(["w"] * r.choice([2, 2, 2, 5])), "hot" if i % 3 else "b") for i in range(900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = {x["doc_id"]: x["taken"] // x["size"] for x in mixing.mix_sources(df, bucket_rows=4, run_buckets=3).collect()}
+    h = {x[0]: x[1] for x in df.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text")).collect()}
+    groups = {}
+    for i, text, source in docs:
+        groups.setdefault((source, len(text.split())), []).append(i)
+    for ids in groups.values():
+        buckets = -(-len(ids) // 4)
+        order = sorted(ids, key=lambda i: (min(int(((h[i] % 2**64) >> 11) * 2.0**-53 * buckets), buckets - 1), h[i], i))
+        each = min(rows[i] for i in ids)
+        more = [i for i in ids if rows[i] > each]
+        assert set(more) == set(order[: len(more)]) and all(rows[i] == each + 1 for i in more)
+
+
+def test_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "word " * 400_000, "a"), (2, "x " * 3, "a")], "doc_id long, text string, source string")
+    assert {(x["doc_id"], x["size"]) for x in mixing.mix_sources(df).collect()} == {(1, 400_000), (2, 3)}
+
+
 def test_apply_and_empty(spark):
     docs = [(i, "a b c " * (i % 5), "s" if i % 3 else None, i) for i in range(50)] + [(7, "a b c a b c ", "s", 7)] * 3
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, _d0 int")
