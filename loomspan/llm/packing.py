@@ -6,38 +6,48 @@ with a gap, and the emptiest bins of all groups, give their pieces back; these a
 improves. Groups hold a bounded number of pieces whatever the input, so no task grows with the corpus.
 
 Defined results: null and empty texts give one piece holding only the end id; repeated rows are packed as often as they
-occur; an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are ignored.
+occur; an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are ignored. Whole texts are tokenized:
+a very long one is a chunk of its own in memory (about 30 bytes a character) and gives as many pieces as it fills.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces
+from .common import cut, drop, pieces
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 NAMES = [x.split()[0] for x in PIECE_SCHEMA.split(", ")]
-_CACHE_STEMS, _CACHE_WORDS = 600_000, 300_000  # a stem missed costs ten times a word missed
+_HELD_PARTS = 200_000  # word parts remembered, in each of two generations
+_CHUNK_BYTES = 4 << 20
+_ENDS = ".,!?%&$#*:;\"()-|"
 
 
-_ENDS = ".,!?%&$#*:;\"()-|"
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others, in order, for the letters from U+0100."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
 
+_LETTERS = _byte_letters()
 
-class _WordIds(dict):
-    """Word to packed little-endian ids.
 
-    The vocabulary's pre-tokenizer never joins across white space, so the ids of a text are those of its words in order and
-    repeated words are tokenized once. It also splits punctuation from letters, so a word that ends in a letter and then
-    ASCII punctuation is put together from its two parts; an ASCII stem is looked up in lower case, which is what the
-    vocabulary's normalizer makes of it.
+class PartIds(dict):
+    """Word part to packed little-endian ids; a full generation becomes the older one, and what is used again stays.
+
+    A part of Latin letters is one unit to the pre-tokenizer, and the normalizer puts it in lower case and does nothing else:
+    the vocabulary's merges are applied to it straight away. Any other part goes through the whole tokenizer.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -45,63 +55,82 @@ class _WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.stems: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.merge = self.tokenizer.model.tokenize
+        self.older: dict[str, bytes] = {}
 
-    def part(self, text: str) -> bytes:
-        ids = self.stems.get(text)
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
         if ids is None:
-            ids = self.encode(text)
-            if len(text) <= 48:
-                if len(self.stems) >= _CACHE_STEMS:
-                    self.stems.clear()
-                self.stems[text] = ids
-        return ids
-
-    def __missing__(self, word: str) -> bytes:
-        stem = word.rstrip(_ENDS)
-        if not stem[-1:].isalpha():
-            stem = word
-        tail = word[len(stem) :]
-        ids = self.part(stem.lower() if stem.isascii() else stem)
-        if tail:
-            ids += self.part(tail)
-        if len(word) <= 48:
-            if len(self) >= _CACHE_WORDS:
+            if part.isalpha() and (part.isascii() or max(part) < "\u0250") and (low := part.lower()).isalpha():
+                found = [t.id for t in self.merge(low if low.isascii() else low.encode().decode("latin-1").translate(_LETTERS))]
+            else:
+                found = self.tokenizer.encode(part, add_special_tokens=False).ids
+            ids = array("I", found).tobytes()
+        if len(part) <= 48:
+            if len(self) >= _HELD_PARTS:
+                self.older = dict(self)
                 self.clear()
-            self[word] = ids
+            self[part] = ids
         return ids
 
 
-def token_bytes(text: str | None, words: _WordIds, end_id: int) -> bytes:
-    """All ids of one whole text, then the end id, as packed unsigned 32-bit integers."""
-    tail = int(end_id).to_bytes(4, "little")
-    if not text:
-        return tail
-    spaced = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-    return b"".join(map(words.__getitem__, spaced.split(" "))) + tail
+def token_ids(texts: pa.Array, parts: PartIds) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all whole texts in one array, and where each text's ids start (one more entry than texts).
+
+    The vocabulary's pre-tokenizer never joins across white space, so the ids of a text are those of its words in order. It also
+    splits punctuation from letters, so a word that ends in a letter and then ASCII punctuation is put together from two
+    parts; ASCII parts are looked up in lower case, which is what the normalizer makes of them. Every distinct part of the
+    texts is looked up once, and the occurrences are laid out by index.
+    """
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = pc.list_flatten(split).dictionary_encode()
+    of, words = coded.indices.to_numpy(), coded.dictionary
+    bare = pc.utf8_rtrim(words, characters=_ENDS)
+    stems = pc.if_else(pc.match_substring_regex(bare, r"\pL$"), bare, words)
+    ends = np.flatnonzero(pc.binary_length(stems).to_numpy() < pc.binary_length(words).to_numpy())
+    sizes = pc.utf8_length(stems.take(pa.array(ends))).to_pylist()
+    tails = np.full(len(words), "", object)
+    tails[ends] = [w[n:] for w, n in zip(words.take(pa.array(ends)).to_pylist(), sizes)]
+    tails = pa.array(tails, pa.string())
+    stems = pc.if_else(pc.string_is_ascii(stems), pc.ascii_lower(stems), stems)
+    stems, tails = stems.dictionary_encode(), tails.dictionary_encode()
+    distinct = [parts[p] if p else b"" for p in (*stems.dictionary.to_pylist(), *tails.dictionary.to_pylist())]
+    ids = np.frombuffer(b"".join(distinct), "<u4")
+    lengths = np.fromiter(map(len, distinct), np.int64, len(distinct)) // 4
+    starts = np.cumsum(lengths) - lengths
+    pair = np.stack([stems.indices.to_numpy(), tails.indices.to_numpy() + len(stems.dictionary)], 1)[of].reshape(-1)
+    each = lengths[pair]
+    upto = np.concatenate([[0], np.cumsum(each)])
+    flat = ids[np.repeat(starts[pair] - upto[:-1], each) + np.arange(upto[-1])]
+    return flat, upto[2 * split.offsets.to_numpy()]
+
+
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Slices of about ``_CHUNK_BYTES`` of text, whatever the batch size; a longer text is one of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    edges = [0, *(np.flatnonzero(np.diff(upto // _CHUNK_BYTES)) + 1).tolist(), len(texts)]
+    yield from ((a, b) for a, b in zip(edges, edges[1:]) if b > a)
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """One row per piece: doc_id, piece number, start, length, CRC-32 of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WordIds(tokenizer_path)
+        parts = PartIds(tokenizer_path)
+        tail = int(end_id).to_bytes(4, "little")
         step = 4 * capacity
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = token_bytes(text.as_py(), words, end_id)
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"]
-            )
+            for a, b in _runs(batch.column(1)):
+                out: list[list] = [[], [], [], [], []]
+                flat, bounds = token_ids(batch.column(1).slice(a, b - a), parts)
+                for doc, lo, hi in zip(batch.column(0).slice(a, b - a).to_pylist(), bounds.tolist(), bounds[1:].tolist()):
+                    ids = flat[lo:hi].tobytes() + tail
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at : at + step]
+                        for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], NAMES)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE_SCHEMA)
 
@@ -211,4 +240,7 @@ def pack(found: DataFrame, capacity: int = 4096, group_rows: int = 4096, rounds:
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Tokenize whole documents and pack them into as few sequences as the bounds allow."""
-    return pack(cut(tokenize_pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)
+    found = cut(tokenize_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+    out = pack(found, capacity)
+    drop(found)  # the first round has read it
+    return out

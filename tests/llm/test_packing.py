@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from loomspan.llm import packing
@@ -37,12 +38,33 @@ def test_bounds_and_best_fit():
 
 
 def test_tokens_match_the_tokenizer_itself():
-    t, words = Tokenizer.from_file(PATH), packing._WordIds(PATH)
+    t, parts = Tokenizer.from_file(PATH), packing.PartIds(PATH)
     r = random.Random(1)
     texts = ["don't stop I'll", "İstanbul ΣΑΣ", "éa <|endoftext|> x", "a\u00a0b\x1cc\x85d", "x." * 60, " lead\ttrail \r\n", "Ab,'s it's'!", "№5 ﬁ", "a.\u0301b word.\u0301", "k" * 300]
     texts += ["".join(r.choice("abAB .,!'\n\té-5") for _ in range(r.randint(0, 60))) for _ in range(400)]
-    for text in texts:
-        assert np.frombuffer(packing.token_bytes(text, words, 1), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids + [1]
+    texts += [None, "", "  ", "Ab " * 100_000, "H\u0331\u00c5 A\u030a. B\u00c5(x)", "x" * 3000 + "."]
+    flat, bounds = packing.token_ids(pa.array(texts, pa.string()), parts)
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert flat[a:b].tolist() == t.encode(text or "", add_special_tokens=False).ids
+    flat, bounds = packing.token_ids(pa.array([], pa.string()), parts)
+    assert len(flat) == 0 and bounds.tolist() == [0]
+
+
+def test_parts_leave_the_cache_by_generations(monkeypatch):
+    monkeypatch.setattr(packing, "_HELD_PARTS", 3)
+    parts = packing.PartIds(PATH)
+    words = [f"w{chr(97 + i)}" for i in range(12)]
+    first = [parts[w] for w in words]
+    assert len(parts) <= 3 and len(parts.older) <= 3 and [parts[w] for w in words] == first
+
+
+def test_a_very_long_text_is_cut_into_full_pieces(spark):
+    text = "some words that never end " * 40_000
+    rows = packing.best_fit_packing(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), PATH).collect()
+    ids = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids + [1]
+    mine = sorted((r for r in rows if r.doc_id == 1), key=lambda r: r.piece)
+    assert [r.length for r in mine[:-1]] == [4096] * (len(mine) - 1) and sum(r.length for r in mine) == len(ids)
+    assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in mine)
 
 
 def test_operator(spark):
