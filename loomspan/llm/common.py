@@ -140,11 +140,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _roots(live: DataFrame) -> DataFrame:
     """node, up: the root that each node of ``live`` (edges in both directions) reaches by smallest neighbours."""
     other = F.min(F.when(F.col("b") != F.col("a"), F.col("b")))
-    picked = cut(live.groupBy(F.col("a").alias("node")).agg(F.coalesce(other, F.col("a")).alias("up")), "cc-labels")
+    picked = live.groupBy(F.col("a").alias("node")).agg(F.coalesce(other, F.col("a")).alias("up"))
     back = picked.select(F.col("node").alias("up"), F.col("up").alias("back"))
     root = (F.col("back") == F.col("node")) & (F.col("node") < F.col("up"))
     tree = cut(picked.join(back, "up").select("node", F.when(root, F.col("node")).otherwise(F.col("up")).alias("up")), "cc-labels")
-    drop(picked)
     while True:
         over = tree.select(F.col("node").alias("up"), F.col("up").alias("over"))
         new = cut(tree.join(over, "up").select("node", F.col("up").alias("was"), F.col("over").alias("up")), "cc-labels")

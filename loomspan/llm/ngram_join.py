@@ -10,22 +10,29 @@ overlap of T; a set that links at all shares at least ceil(0.75 * size) of its s
 3. The texts left get an inverted index ordered by list length. Of a set only the lists of its
    ``size - ceil(0.75 * size) + 1`` shortest shingles have to be merged to meet every partner at least once (the long
    lists are the T - 1 others).
-4. Each list is searched from its first member (the query): its list mates are candidates; the merge of the short lists
-   counts how often they meet, and :func:`divide_skip` completes the count by binary probes of the long lists. Members
-   already known to be connected need no search; a list closes when all members left are connected. Queries per list grow
-   fourfold each round, so every pair that is not connected otherwise is met, and no list is expanded into all its pairs.
+4. *T-occurrence.* A round lets a member (the query) of every list ask; its list mates are candidates. :func:`merge_short` builds
+   the posting lists of the candidates' short shingles and heap-merges those of the query's: a candidate's count there plus all
+   of the T - 1 long lists must reach T, else it goes before its whole set is read. For the others :func:`probe_long` looks
+   the long part up by binary search (DivideSkip with the largest possible set of long lists). Members already known to be
+   connected need no search; a list closes when all members left are connected. Queries per list grow each round, as many
+   as a fixed multiple of the first round's postings allows and at least fourfold, so every pair that is not connected
+   otherwise is met, and no list is expanded into all its pairs. Only links between different components of a round enter
+   the next connected components.
+
+Tables that meet by a shingle, a text or a component are written before they are joined, so that the planner can split a hot
+key of either side.
 
 Shingles are 64-bit hashes of words hashed to 64 bits; two different shingles agree with probability 2**-64.
 
 Defined results: null, empty and word-less texts have an empty set and link with nothing, copies included; fewer than five
 words give one shingle of the whole sequence; repeated rows are copies; a null doc_id never becomes a component id unless the
-component has no other; an empty table gives an empty result; other columns are ignored.
+component has no other; an empty table gives an empty result; other columns are ignored. Whole texts are read; a very long one
+is hashed in memory (about 60 bytes a word) and is one row of the index.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,40 +87,31 @@ def shingle_sets(texts: list[bytes | None], words: WordHashes, n: int = 5) -> li
     return out
 
 
-def divide_skip(query: np.ndarray, records: list[np.ndarray], need: list[int], have: list[int] | None = None) -> list[int]:
-    """Overlap of a sorted query set with each sorted record, or -1 where it stays under ``need``.
+def merge_short(query: np.ndarray, records: list[np.ndarray]) -> list[int]:
+    """How many of the query's short shingles each record holds among its own short ones.
 
-    The inverted lists of the query's elements over the records are split: the long ones are set aside, the short ones are
-    heap-merged into counts. A record whose count cannot reach its need even if it were on every long list is skipped; the
-    others are looked up in the long lists by binary search.
+    The posting lists of the records' shingles (record numbers in order) are cut out for the query's shingles and heap-merged.
     """
-    hits = [np.searchsorted(query, r) for r in records]
-    on = [h[(h < len(query)) & (query[np.minimum(h, len(query) - 1)] == r)] for h, r in zip(hits, records)]
-    lengths = np.bincount(np.concatenate(on), minlength=len(query)) if on else np.zeros(len(query), np.int64)
-    lowest = min(need, default=1)
-    longest = int(lengths.max(initial=1))
-    set_aside = min(int(lowest / (0.01 * math.log2(longest + 1) + 1)), max(lowest - 1, 0))  # of the usual form T / (mu log M + 1)
-    long_ = np.zeros(len(query), bool)
-    long_[np.argsort(-lengths, kind="stable")[:set_aside]] = True
+    flat = np.concatenate(records) if records else np.empty(0, query.dtype)
+    owner = np.repeat(np.arange(len(records)), [len(r) for r in records])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    lists = [owner[a:b].tolist() for a, b in zip(np.searchsorted(flat, query), np.searchsorted(flat, query, "right")) if b > a]
     counts = [0] * len(records)
-    short = [[] for _ in range(len(query))]
-    for r, lists in enumerate(on):
-        for i in lists[~long_[lists]].tolist():
-            short[i].append(r)
-    for r in heapq.merge(*[s for s in short if s]):
+    for r in heapq.merge(*lists):
         counts[r] += 1
-    probes = query[long_]
-    for r, record in enumerate(records):
-        if counts[r] + len(probes) < need[r]:
-            counts[r] = -1
-            continue
-        at = np.searchsorted(record, probes)
-        counts[r] += int((record[np.minimum(at, len(record) - 1)] == probes).sum()) if len(record) else 0
-        if counts[r] < need[r]:
-            counts[r] = -1
     return counts
 
 
+def probe_long(part: np.ndarray, record: np.ndarray) -> int:
+    """How many shingles of the long part the record (any order) holds, by binary search."""
+    if not len(record):
+        return 0
+    record = np.sort(record)
+    at = np.searchsorted(record, part)
+    return int((record[np.minimum(at, len(record) - 1)] == part).sum())
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], text_column: int) -> Iterator[pa.RecordBatch]:
     """Row runs of at most about ``_CHUNK_BYTES`` of text, whatever the batch size."""
     for batch in batches:
@@ -125,34 +123,50 @@ def _chunks(batches: Iterator[pa.RecordBatch], text_column: int) -> Iterator[pa.
                 yield batch.slice(a, b - a)
 
 
+DEALT = "grp long, chunk long, keys string, owners binary, counts binary, hashes binary"
+COUNTED = "chunk long, keys string, owners binary, counts binary"
+
+
+def deal_chunk(sets: list[np.ndarray], ranges: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """The hashes of a chunk's texts by range: range, texts that have hashes there, how many each, and the hashes cut to 32 bits.
+
+    Only what is there is written, so the size is linear in the hashes however many ranges there are.
+    """
+    step = np.uint64(min((2**64 - 1) // ranges + 1, 2**64 - 1))
+    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+    rng = (flat // step).astype(np.int64)
+    order = np.argsort(rng, kind="stable")
+    rng, owner = rng[order], owner[order]
+    low = (flat % step % np.uint64(2**32)).astype(np.uint32)[order]
+    first = np.flatnonzero(np.append(True, (rng[1:] != rng[:-1]) | (owner[1:] != owner[:-1]))) if len(rng) else np.empty(0, np.int64)
+    texts, each = owner[first], np.diff(np.append(first, len(rng))).astype(np.uint32)
+    edges = np.append(np.flatnonzero(np.append(True, rng[1:] != rng[:-1])), len(rng)) if len(rng) else np.zeros(1, np.int64)
+    runs = np.searchsorted(first, edges)
+    for a, b, i, j in zip(edges.tolist(), edges[1:].tolist(), runs.tolist(), runs[1:].tolist()):
+        yield int(rng[a]), texts[i:j].tobytes(), each[i:j].tobytes(), low[a:b].tobytes()
+
+
 def _deal(ranges: int, n: int):
-    """Map side of the census. Rows: group, chunk, kind, keys, sizes, hashes."""
+    """Map side of the census: rows of ``DEALT``. A chunk's keys and set sizes go along in a row of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        step = np.uint64((2**64 - 1) // ranges + 1)
+        names = [x.split()[0] for x in DEALT.split(", ")]
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary())
         for part in _chunks(batches, 1):
             keys = part.column(0).to_pylist()
             sets = shingle_sets(part.column(1).to_pylist(), words, n)
             chunk = xxhash.xxh3_64_intdigest("".join(keys)) >> 1
             sizes = np.array([len(s) for s in sets], np.uint32)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            owner = np.repeat(np.arange(len(sets)), sizes)
-            rng = (flat // step).astype(np.int64)
-            order = np.argsort(rng, kind="stable")
-            cuts = np.searchsorted(rng[order], np.arange(ranges + 1))
-            low = (flat % step % np.uint64(2**32)).astype(np.uint32)[order]
-            owner = owner[order]
-            rows = [(-1 - chunk % (4 * ranges), chunk, ",".join(keys), sizes.tobytes(), b"")]
-            for r in range(ranges):
-                a, b = cuts[r], cuts[r + 1]
-                if b > a:
-                    each = np.bincount(owner[a:b], minlength=len(sets)).astype(np.uint32)
-                    rows.append((r, chunk, "", each.tobytes(), low[a:b].tobytes()))
-            cols = list(zip(*rows))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
-            for at in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 256], t) for c, t in zip(cols, kinds)], ["grp", "chunk", "keys", "sizes", "hashes"])
+            rows = [(-1 - chunk % (4 * ranges), chunk, ",".join(keys), b"", sizes.tobytes(), b"")]
+            for r, texts, each, low in deal_chunk(sets, ranges):
+                rows.append((r, chunk, "", texts, each, low))
+                if len(rows) == 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     return run
 
@@ -160,31 +174,36 @@ def _deal(ranges: int, n: int):
 def _census(group: pa.Table) -> pa.Table:
     """One hash range: per chunk, how many of each text's hashes another text holds too. Key rows pass through."""
     if group.column("grp")[0].as_py() < 0:
-        return group.select(["chunk", "keys", "sizes"])
+        return group.select(["chunk", "keys", "owners", "counts"])
     parts = [np.frombuffer(b, np.uint32) for b in group.column("hashes").to_pylist()]
     every = np.sort(np.concatenate(parts))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
-    found = []
-    for part, sizes in zip(parts, group.column("sizes").to_pylist()):
-        sizes = np.frombuffer(sizes, np.uint32)
+    chunks, owners, counts = [], [], []
+    for chunk, part, texts, each in zip(group.column("chunk").to_pylist(), parts, group.column("owners").to_pylist(), group.column("counts").to_pylist()):
         at = np.minimum(np.searchsorted(twice, part), max(len(twice) - 1, 0))
         shared = twice[at] == part if len(twice) else np.zeros(len(part), bool)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        found.append(np.bincount(owner[shared], minlength=len(sizes)).astype(np.uint32).tobytes())
-    return pa.table({"chunk": group.column("chunk"), "keys": pa.array([""] * len(found)), "sizes": pa.array(found, pa.binary())})
+        each = np.frombuffer(each, np.uint32)
+        found = np.bincount(np.repeat(np.arange(len(each)), each)[shared], minlength=len(each))
+        if found.any():
+            chunks.append(chunk)
+            owners.append(np.frombuffer(texts, np.uint32)[found > 0].tobytes())
+            counts.append(found[found > 0].astype(np.uint32).tobytes())
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "keys": pa.array([""] * len(chunks), pa.string()), "owners": pa.array(owners, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
 
 def _verdicts(percent: int):
     """Reduce side of the census: one chunk's counts over all ranges, and which texts may link."""
 
     def run(group: pa.Table) -> pa.Table:
-        keys, sizes, shared = [], None, 0
-        for k, b in zip(group.column("keys").to_pylist(), group.column("sizes").to_pylist()):
+        keys, sizes, found = [], np.empty(0, np.int64), []
+        for k, o, c in zip(*(group.column(x).to_pylist() for x in ("keys", "owners", "counts"))):
             if k:
-                keys, sizes = k.split(","), np.frombuffer(b, np.uint32).astype(np.int64)
+                keys, sizes = k.split(","), np.frombuffer(c, np.uint32).astype(np.int64)
             else:
-                shared = shared + np.frombuffer(b, np.uint32).astype(np.int64)
-        shared = shared + np.zeros(len(keys), np.int64)
+                found.append((np.frombuffer(o, np.uint32), np.frombuffer(c, np.uint32)))
+        shared = np.zeros(len(keys), np.int64)
+        for owners, counts in found:
+            shared[owners] += counts
         return pa.table({"key": keys, "n": sizes, "alive": (sizes > 0) & (100 * shared >= percent * sizes)})
 
     return run
@@ -206,151 +225,204 @@ def _sets(n: int):
     return run
 
 
-def _search(percent: int):
-    """Rows of (query, node, both sets) to the links among them; rows of a query that come together are searched together."""
+def _ints(column: pa.Array, i: int) -> np.ndarray:
+    return column[i].values.to_numpy()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            queries, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            a, b = [], []
-            edges = [0, *(np.flatnonzero(np.diff(queries)) + 1).tolist(), len(queries)]
-            for lo, hi in zip(edges, edges[1:]):
-                for at in range(lo, hi, 512):
-                    end = min(at + 512, hi)
-                    query = batch.column(2)[at].values.to_numpy().view(np.uint64)
-                    records = [batch.column(3)[i].values.to_numpy().view(np.uint64) for i in range(at, end)]
-                    need = [-(-percent * (len(query) + len(r)) // (100 + percent)) for r in records]
-                    for i, c in enumerate(divide_skip(query, records, need)):
-                        if c >= 0:
-                            a.append(queries[at + i])
-                            b.append(nodes[at + i])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return run
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (query, node, both short parts, need) to the candidates that can still link, with their count ``met``. Rows of a query
+    that come together are merged together."""
+    for batch in batches:
+        queries, need = batch.column(0).to_numpy(), batch.column(4).to_numpy()
+        met = np.zeros(len(queries), np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(queries)) + 1).tolist(), len(queries)]
+        for lo, hi in zip(edges, edges[1:]):
+            for at in range(lo, hi, 512):
+                end = min(at + 512, hi)
+                met[at:end] = merge_short(_ints(batch.column(2), at), [_ints(batch.column(3), i) for i in range(at, end)])
+        keep = pa.array(met >= need)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(met)], ["query", "node", "met"]).filter(keep)
+
+
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (query, node, met, the long part of one, the whole set of the other, T) to links."""
+    for batch in batches:
+        met, t = batch.column(2).to_numpy(), batch.column(5).to_numpy()
+        found = [m + probe_long(_ints(batch.column(3), i), _ints(batch.column(4), i)) for i, m in enumerate(met.tolist())]
+        keep = pa.array(np.array(found, np.int64) >= t)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
 
-def link_components(sets: DataFrame, percent: int = 75) -> DataFrame:
-    """(node, comp) for the nodes of ``sets`` (node, n, shingles; one row per node) that link with another."""
+def _index(sets: DataFrame, percent: int) -> DataFrame:
+    """node, n, m (shared shingles), short and long: the shared shingles by list length, parted so that the long part holds T - 1
+    at the least T of any partner; last: the place of the short part's end in the common order. Only sets that can link."""
     post = sets.select("node", "n", F.explode("shingles").alias("h"))
-    df = post.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    least = F.ceil(F.col("n") * percent / 100)
-    shared = post.join(df, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s")).withColumn("m", F.size("s"))
-    keep = (F.col("m") - least + 1).cast("int")  # the shortest lists, without those that hold this set alone
-    listed = shared.filter(keep >= 1).select("node", "n", "m", F.posexplode(F.slice("s", F.lit(1), keep)).alias("i", "e")).select(
-        "node", "n", "m", (F.col("n") - F.col("m") + F.col("i") + 1).alias("pos"), F.col("e.h").alias("h")
+    df = cut(post.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "join-lengths")
+    ordered = post.join(df, "h").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    ordered = ordered.withColumn("m", F.size("s")).withColumn("cut", (F.col("m") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")).filter("cut >= 1")
+    found = cut(
+        ordered.select(
+            "node", "n", "m", F.slice("s", F.lit(1), F.col("cut"))["h"].alias("short"),
+            F.slice("s", F.col("cut") + 1, F.greatest(F.col("m") - F.col("cut"), F.lit(0)))["h"].alias("long"), F.element_at("s", F.col("cut")).alias("last"),
+        ),
+        "join-index",
     )
-    listed = cut(listed, "join-lists")
+    drop(df)
+    return found
+
+
+def _links(pairs: DataFrame, index: DataFrame, overlap) -> DataFrame:
+    """The (a, b) of ``pairs`` (query, node) that link."""
+    ours = index.select(F.col("node").alias("query"), *[F.col(c).alias(f"q_{c}") for c in ("n", "m", "short", "long", "last")])
+    t = overlap(F.col("n"), F.col("q_n"))
+    # beyond the earlier of the two ends only that side's long part can hold more
+    mine = F.col("q_last") <= F.col("last")
+    rest = F.when(mine, F.col("q_m") - F.size("q_short")).otherwise(F.col("m") - F.size("short"))
+    both = pairs.join(index.select("node", "n", "m", "short", "last"), "node").join(ours.drop("q_long"), "query")
+    met = cut(both.select("query", "node", "q_short", "short", (t - rest).cast("long").alias("need")).mapInArrow(_merge, "query long, node long, met long"), "join-met")
+    full = met.join(index, "node").join(ours, "query")
+    part = F.when(mine, F.col("q_long")).otherwise(F.col("long"))
+    whole = F.when(mine, F.concat("short", "long")).otherwise(F.concat("q_short", "q_long"))
+    found = cut(full.select("query", "node", "met", part.alias("part"), whole.alias("whole"), t.cast("long").alias("t")).mapInArrow(_probe, "a long, b long"), "join-links")
+    drop(met)
+    return found
+
+
+def link_components(sets: DataFrame, percent: int = 75, budget: int = 32) -> DataFrame:
+    """(node, comp) for the nodes of ``sets`` (node, n, shingles; one row per node) that can link with another."""
+    index = _index(sets, percent)
+    least = F.ceil(F.col("n") * percent / 100)
     overlap = lambda a, b: F.ceil((a + b) * percent / (100 + percent))
+    listed = index.select("node", "n", "m", F.posexplode("short").alias("i", "h")).select("node", "n", "m", (F.col("n") - F.col("m") + F.col("i") + 1).alias("pos"), "h")
     # Two sets that link first meet at a place no later than size - overlap + 1 in either. A member of a list can meet none there
     # if it could not even meet one of the list's smallest size, nor can it if its shared shingles are too few for that.
-    shortest = listed.groupBy("h").agg(F.min("n").alias("least_n"), F.count("*").alias("members")).filter("members > 1")
+    shortest = cut(listed.groupBy("h").agg(F.min("n").alias("least_n"), F.count("*").alias("members")).filter("members > 1"), "join-shortest")
     easiest = overlap(F.col("n"), F.greatest("least_n", least))
     lists = cut(listed.join(shortest, "h").filter((F.col("pos") <= F.col("n") - easiest + 1) & (F.col("m") >= easiest)).select("node", "n", "m", "pos", "h"), "join-lists")
-    drop(listed)
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    spark = sets.sparkSession
-    ahead = 1
+    drop(shortest)
+    labels = index.select("node", F.col("node").alias("comp"))
+    ahead, first, linked = 1, None, False
     while True:
-        if labels is None:
-            named = lists.withColumn("comp", F.col("node"))
-        else:
-            named = lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        named = lists.join(labels, "node") if first else lists.withColumn("comp", F.col("node"))
         # The set with the fewest own shingles, the middle of a group of near copies, asks first and settles most of the list;
         # from then on those with the most own shingles ask, as they are the ones still apart.
-        own = F.struct((F.col("n") - F.col("m")).alias("own"), "node", "n", "m", "pos", "comp")
-        named = named.withColumn("who", own)
-        open_ = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("who").alias("q")).filter("lo < hi").select("h", "q")
-        if ahead == 1:
-            met = named.join(open_, "h").filter(F.col("node") != F.col("q.node"))
-            rest = met
+        named = named.withColumn("who", F.struct((F.col("n") - F.col("m")).alias("own"), "node", "n", "m", "pos", "comp"))
+        state = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("who").alias("q"), F.count("*").alias("members"))
+        open_ = cut(state.filter("lo < hi").select("h", "q", "members"), "join-open")
+        postings = open_.agg(F.sum("members")).first()[0] or 0
+        if not postings:
+            drop(open_)
+            break
+        if first is None:
+            first, asking, done = postings, open_.select("h", "q"), F.col("node") == F.col("q.node")
+            met = left = named.join(asking, "h").filter(~done)
         else:
-            turn = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("who")))
-            ranked = cut(named.join(open_.select("h"), "h").withColumn("rn", turn), "join-ranked")
-            asking = ranked.filter(F.col("rn") <= ahead).select("h", F.col("who").alias("q"), F.col("rn").alias("q_rn"))
-            met = ranked.join(asking, "h").filter(F.col("rn") > F.col("q_rn"))
-            rest = ranked.filter(F.col("rn") > ahead)
+            ahead = max(4 * ahead, budget * first // postings)
+            live = cut(named.join(open_.select("h"), "h"), "join-live")
+            turn = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("who")))  # limited before the shuffle
+            asked = cut(live.select("h", F.col("who").alias("q"), turn.alias("rn")).filter(F.col("rn") <= ahead).select("h", "q"), "join-asked")
+            met = live.join(asked, "h").filter(F.col("who") < F.col("q"))
+            left = live.join(asked.groupBy("h").agg(F.min("q").alias("last")), "h").filter(F.col("who") < F.col("last"))
         t = overlap(F.col("n"), F.col("q.n"))
         possible = (
             (100 * F.least("n", "q.n") >= percent * F.greatest("n", "q.n")) & (F.least("m", "q.m") >= t)
             & (F.col("pos") <= F.col("n") - t + 1) & (F.col("q.pos") <= F.col("q.n") - t + 1)
         )
         pairs = cut(met.filter((F.col("comp") != F.col("q.comp")) & possible).select(F.col("q.node").alias("query"), "node").distinct(), "join-pairs")
-        left = cut(rest.select("node", "n", "m", "pos", "h"), "join-lists")
-        drop(lists)
-        lists = left
+        kept = cut(left.select("node", "n", "m", "pos", "h"), "join-lists")
+        for done_with in (lists, open_) if ahead == 1 else (lists, open_, live, asked):
+            drop(done_with)
+        lists = kept
         if not pairs.isEmpty():
-            held = sets.select("node", F.col("shingles").alias("theirs"))
-            asked = sets.select(F.col("node").alias("query"), F.col("shingles").alias("own"))
-            found = cut(
-                pairs.join(held, "node").join(asked, "query").select("query", "node", "own", "theirs").mapInArrow(_search(percent), "a long, b long"),
-                "join-links",
-            )
-            links = found if links is None else links.union(found)
-            labels = connected_components(links)
+            links = _links(pairs, index, overlap)
+            if not links.isEmpty():
+                labels, linked = _joined_labels(labels, links, linked), True
+            drop(links)
         drop(pairs)
-        if lists.isEmpty():
-            break
-        ahead *= 4
-    return labels if labels is not None else spark.createDataFrame([], "node long, comp long")
+    if not linked:
+        labels = cut(labels, "join-labels")
+    drop(lists)
+    drop(index)
+    return labels
+
+
+def _joined_labels(labels: DataFrame, links: DataFrame, named: bool) -> DataFrame:
+    """Labels after the links: connected components of the components that they join."""
+    edges = links
+    if named:
+        end = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+        edges = links.join(end("a"), "a").join(end("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    found = connected_components(edges.filter("a <> b"))
+    top = found.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    out = cut(labels.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "join-labels")
+    drop(found)
+    drop(labels)
+    return out
 
 
 def _text_key(text: Column) -> Column:
     return F.sha2(F.coalesce(text.cast("binary"), F.lit(b"")), 256)
 
 
-def placed_rows(docs: DataFrame, n: int = 5, percent: int = 75, range_hashes: int = 700_000) -> DataFrame:
-    """doc_id, key (of the text), n and place for every row; rows of one component share a place. Cut to the shared folder."""
+def placed_texts(docs: DataFrame, n: int = 5, percent: int = 75, range_hashes: int = 700_000) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key) and distinct texts (key, rep: the row that stands for it, least: its smallest doc_id, n, place); texts
+    of one component share a place. Both are cut to the shared folder."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     keyed = rows.withColumn("key", _text_key(F.col("text")))
     named = cut(keyed.select("doc_id", "key", F.octet_length("text").alias("bytes")), "join-keys")
-    copies = named.groupBy("key").agg(F.min(F.struct(F.col("doc_id"))).alias("rep"), F.max("bytes").alias("bytes")).select("key", F.col("rep.doc_id").alias("doc_id"), "bytes")
+    copies = named.groupBy("key").agg(F.min(F.struct(F.col("doc_id"))).alias("rep"), F.min("doc_id").alias("least"), F.max("bytes").alias("bytes"))
+    copies = cut(copies.select("key", F.col("rep.doc_id").alias("rep"), "least", "bytes"), "join-copies")
     total = copies.agg(F.sum("bytes")).first()[0] or 0
     ranges = max(shuffle_partitions(spark), pieces(total / 6, range_hashes))
 
     def texts_of(chosen: DataFrame) -> DataFrame:
-        c = chosen.select(F.col("doc_id").alias("c_id"), F.col("key").alias("c_key"))
+        c = chosen.select(F.col("rep").alias("c_id"), F.col("key").alias("c_key"))
         return keyed.join(c, (keyed["key"] == c["c_key"]) & keyed["doc_id"].eqNullSafe(c["c_id"])).select("key", "text")
 
-    dealt = texts_of(copies).mapInArrow(_deal(ranges, n), "grp long, chunk long, keys string, sizes binary, hashes binary")
-    counted = dealt.groupBy("grp").applyInArrow(_census, "chunk long, keys string, sizes binary")
-    verdicts = cut(counted.groupBy("chunk").applyInArrow(_verdicts(percent), "key string, n long, alive boolean"), "join-census")
+    dealt = texts_of(copies).mapInArrow(_deal(ranges, n), DEALT)
+    counted = dealt.groupBy("grp").applyInArrow(_census, COUNTED)
+    found = cut(counted.groupBy("chunk").applyInArrow(_verdicts(percent), "key string, n long, alive boolean"), "join-census")
     # exactly repeated rows stand for one text
-    verdicts = verdicts.groupBy("key").agg(F.max("n").alias("n"), F.max("alive").alias("alive"))
-    chosen = copies.join(verdicts.filter("alive").select("key"), "key").select("doc_id", "key")
-    found = cut(texts_of(chosen).mapInArrow(_sets(n), "key string, node long, n long, shingles array<long>"), "join-sets")
-    sets = cut(found.select("node", "n", "shingles").dropDuplicates(["node"]), "join-classes")
+    verdicts = found.groupBy("key").agg(F.max("n").alias("n"), F.max("alive").alias("alive"))
+    chosen = copies.join(verdicts.filter("alive").select("key"), "key").select("rep", "key")
+    members = cut(texts_of(chosen).mapInArrow(_sets(n), "key string, node long, n long, shingles array<long>"), "join-sets")
+    sets = cut(members.select("node", "n", "shingles").dropDuplicates(["node"]), "join-classes")
     labels = link_components(sets, percent)
-    classes = found.select("key", "node").distinct().join(labels, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
-    placed = verdicts.join(classes, "key", "left").select("key", "n", F.coalesce(F.col("comp").cast("string"), "key").alias("place"))
-    return cut(named.select("doc_id", "key").join(placed, "key").select("doc_id", "key", "n", "place"), "join-rows")
+    drop(sets)
+    classes = members.select("key", "node").distinct().join(labels, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
+    placed = copies.join(verdicts, "key").join(classes, "key", "left")
+    placed = cut(placed.select("key", "rep", "least", "n", F.coalesce(F.col("comp").cast("string"), "key").alias("place")), "join-places")
+    for table in (found, copies, members, labels):
+        drop(table)
+    return named.select("doc_id", "key"), placed
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row."""
-    every = placed_rows(docs, n, percent)
-    smallest = every.groupBy("place").agg(F.min("doc_id").alias("smallest"))
-    return every.join(smallest, "place").select(
+    rows, texts = placed_texts(docs, n, percent)
+    smallest = cut(texts.groupBy("place").agg(F.min("least").alias("smallest")), "join-smallest")
+    named = cut(texts.join(smallest, "place").select("key", "n", "smallest"), "join-named")
+    drop(smallest)
+    drop(texts)
+    return rows.join(named, "key").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id")
     )
 
 
 def keep_one_per_component(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """``docs`` (all columns) with one row of each component, that of the smallest doc_id; texts without words all stay."""
-    every = placed_rows(docs, n, percent)
-    leads = every.filter("n > 0").groupBy("place").agg(F.min(F.struct("doc_id", "key")).alias("lead")).select("place", "lead.*")
-    same = every.groupBy("place", "doc_id", "key").agg(F.count("*").alias("rows"))
-    l, s = leads.alias("l"), same.alias("s")
-    kept = l.join(s, (F.col("l.place") == F.col("s.place")) & (F.col("l.key") == F.col("s.key")) & F.col("l.doc_id").eqNullSafe(F.col("s.doc_id")))
-    kept = kept.select(F.col("l.doc_id").alias("_k_id"), F.col("l.key").alias("_k_key"), F.col("s.rows").alias("_k_rows"))
-    bare = every.filter("n = 0").select(F.col("doc_id").alias("_k_id"), F.col("key").alias("_k_key"), F.lit(1).cast("long").alias("_k_rows")).distinct()
-    kept = cut(kept.union(bare), "join-kept")
+    """``docs`` (all columns) with one row of each component, that of the smallest doc_id (of exactly repeated rows one); texts
+    without words all stay."""
+    rows, texts = placed_texts(docs, n, percent)
+    leads = texts.filter("n > 0").groupBy("place").agg(F.min(F.struct("rep", "key")).alias("lead")).select(F.col("lead.rep").alias("_k_id"), F.col("lead.key").alias("_k_key"), F.lit(True).alias("_k_once"))
+    bare = rows.join(texts.filter("n = 0").select("key"), "key").select(F.col("doc_id").alias("_k_id"), F.col("key").alias("_k_key"), F.lit(False).alias("_k_once")).distinct()
+    kept = cut(leads.union(bare), "join-kept")
     names = docs.columns
     hidden = docs.select(*[F.col(f"`{c}`").alias(f"_d{i}") for i, c in enumerate(names)])
     text, doc = f"_d{names.index('text')}", f"_d{names.index('doc_id')}"
     out = hidden.withColumn("_key", _text_key(F.col(text).cast("string"))).join(kept, (F.col("_key") == F.col("_k_key")) & F.col(doc).cast("long").eqNullSafe(F.col("_k_id")))
-    once = out.filter("_k_rows = 1")
-    if not kept.filter("_k_rows > 1").isEmpty():
-        once = once.union(out.filter("_k_rows > 1").dropDuplicates(["_key", doc]))
-    return once.select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(names)])
+    # only rows that agree in id and text can be more than one; whether there are any is told by narrow columns
+    ids = rows.groupBy("doc_id", "key").count().filter("count > 1").join(kept.filter("_k_once"), (F.col("key") == F.col("_k_key")) & F.col("doc_id").eqNullSafe(F.col("_k_id"))).select("_k_id", "_k_key")
+    if not ids.isEmpty():
+        out = out.filter(~F.col("_k_once")).union(out.filter("_k_once").dropDuplicates(["_key", doc]))
+    return out.select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(names)])

@@ -84,14 +84,54 @@ def test_keep_one(spark, rows):
     assert nj.keep_one_per_component(df.filter("false")).collect() == []
 
 
-def test_divide_skip_matches_counting():
+def test_merge_and_probe_match_counting():
     r = np.random.default_rng(1)
     for _ in range(200):
-        query = np.unique(r.integers(0, 120, r.integers(1, 60)).astype(np.uint64))
-        records = [np.unique(r.integers(0, 120, r.integers(0, 60)).astype(np.uint64)) for _ in range(int(r.integers(1, 9)))]
-        need = [int(r.integers(1, 40)) for _ in records]
+        query = r.permutation(120)[: r.integers(1, 60)]
+        records = [r.permutation(120)[: r.integers(0, 60)] for _ in range(int(r.integers(1, 9)))]
         overlap = [len(np.intersect1d(query, x)) for x in records]
-        assert nj.divide_skip(query, records, need) == [o if o >= n else -1 for o, n in zip(overlap, need)]
+        assert nj.merge_short(query, records) == overlap
+        assert [nj.probe_long(query, x) for x in records] == overlap
+    assert nj.merge_short(query, []) == []
+
+
+def test_merging_prunes_and_loses_nothing(spark):
+    """The links of all pairs of the index, by merge and probe, are those of plain intersection; the merge alone drops most."""
+    r = random.Random(2)
+    base = r.sample(range(10**6), 80)
+    sets = [sorted({*r.sample(base, r.randint(30, 80)), *r.sample(range(10**6), r.randint(0, 25))}) for _ in range(40)]
+    df = spark.createDataFrame([(i, len(s), s) for i, s in enumerate(sets)], "node long, n long, shingles array<long>")
+    index = nj._index(df, 75)
+    pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(40) if a != b], "query long, node long")
+    overlap = lambda a, b: F.ceil((a + b) * 75 / 175)
+    got = {tuple(x) for x in nj._links(pairs, index, overlap).collect()}
+    meet = lambda a, b: 100 * len({*sets[a]} & {*sets[b]}) >= 75 * len({*sets[a]} | {*sets[b]})
+    assert got == {(a, b) for a in range(40) for b in range(40) if a != b and meet(a, b)} and got
+
+
+def test_the_census_is_linear_in_the_hashes():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 2**64, n, dtype=np.uint64)) for n in (0, 400, 3000, 1, 2000)]
+    size = sum(map(len, sets))
+    for ranges in (1, 50, 100_000, 10**9):
+        rows = list(nj.deal_chunk(sets, ranges))
+        assert len(rows) <= min(ranges, size) and sum(len(x[3]) for x in rows) == 4 * size
+        assert sum(len(x[1]) + len(x[2]) for x in rows) <= 8 * size
+        counts = np.zeros(len(sets), int)
+        for _, texts, each, _ in rows:
+            np.add.at(counts, np.frombuffer(texts, np.uint32), np.frombuffer(each, np.uint32))
+        assert counts.tolist() == [len(s) for s in sets]
+    assert list(nj.deal_chunk([], 7)) == [] and list(nj.deal_chunk([sets[0]], 7)) == []
+
+
+def test_very_long_texts(spark):
+    r = random.Random(4)
+    words = [f"w{r.randrange(10**6)}" for _ in range(60_000)]
+    near = words[:30_000] + ["other"] + words[30_000:]
+    far = [f"v{r.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(5, " ".join(words)), (3, " ".join(near)), (8, " ".join(far))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(x) for x in nj.jaccard_components(df).collect()) == brute(rows)
 
 
 def test_shingle_sets():
