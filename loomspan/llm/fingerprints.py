@@ -10,20 +10,22 @@ Documents of a batch are parsed together as one array, with phrase breaks betwee
 
 Defined results: null text counts as empty; an empty text has a fingerprint of empty slots, alike (1.0) only to another such
 one; a null doc_id sorts after all others; repeated doc_ids are ordered by a hash of their text; with one document the next
-document is itself; an empty table gives an empty result; other columns are ignored.
+document is itself; an empty table gives an empty result; other columns are ignored. Whole texts are parsed; a very long one
+takes about 100 bytes a character while it is.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import cut, pieces, shuffle_partitions
 
 SLOTS, LOW, HIGH = 128, 2, 4
 _BATCH_CHARS = 1 << 20
@@ -190,40 +192,62 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(held)
 
 
-def _below(bounds: list[int], key: Column) -> Column:
-    """How many of the sorted bounds lie under ``key``, by binary search."""
-    bits = max(1, len(bounds).bit_length())
-    padded = F.array(*[F.lit(b) for b in bounds + [2**63 - 1] * ((1 << bits) - len(bounds))])
+def _below(bounds: Column, bits: int, key: Column) -> Column:
+    """How many of the bounds (sorted, padded with the largest long to 2**bits) lie under ``key``, by binary search."""
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(bits))])
-    return F.aggregate(steps, F.lit(0), lambda p, s: F.when(F.element_at(padded, p + s) < key, p + s).otherwise(p))
+    return F.aggregate(steps, F.lit(0), lambda p, s: F.when(F.element_at(bounds, p + s) < key, p + s).otherwise(p))
 
 
-def fingerprint_documents(docs: DataFrame, bucket_rows: int = 2000, max_buckets: int = 4096) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, bucket_rows: int = 2000, max_buckets: int = 1 << 20, part_bytes: int = 64 << 20) -> DataFrame:
     """One row per document, ``SCHEMA``. The next document is the one with the next smaller id.
 
-    Ids are cut into buckets at approximate quantiles (at most ``max_buckets`` numbers reach the driver); every text is
-    shuffled once, to its bucket, and each bucket's first text is lent to the bucket above it.
+    Ids are cut into buckets at approximate quantiles in two steps: into ranges (at most the root of ``max_buckets`` numbers reach
+    the driver) and each range into buckets by a table that is broadcast, as is that of the buckets' first texts (at most
+    ``max_buckets`` rows each, under 64 MB). Every text is shuffled once, to its bucket, and each bucket's first text is lent to
+    the bucket above it. Neighbouring buckets share a partition up to about ``part_bytes``.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
         "key", F.coalesce("doc_id", F.lit(-(2**63)))
     ).withColumn("tie", F.xxhash64("text"))
-    n = docs.count()
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()
     want = min(pieces(n, bucket_rows), max_buckets)
-    bounds: list[int] = []
-    if want > 1:
-        cuts = rows.agg(F.percentile_approx("key", [i / want for i in range(1, want)], 20 * max_buckets)).first()[0]
-        bounds = sorted(set(cuts))
-    rows = rows.withColumn("bucket", _below(bounds, F.col("key")))
-    heads = {r["bucket"]: r["top"] for r in rows.groupBy("bucket").agg(F.max(F.struct("key", "tie")).alias("top")).collect()}
-    used = sorted(heads)
-    lend = {b: used[(i + 1) % len(used)] for i, b in enumerate(used)}
-    at = lambda of, kind: F.element_at(F.array(*[F.lit(of(b)) for b in range(len(bounds) + 1)]), F.col("bucket") + 1).cast(kind)
-    head = (F.col("key") == at(lambda b: heads[b]["key"] if b in heads else 0, "long")) & (F.col("tie") == at(lambda b: heads[b]["tie"] if b in heads else 0, "long"))
+    ranges = math.isqrt(want - 1) + 1
+    fine = pieces(want, ranges)
+    top = 2**63 - 1
+
+    def quantiles(parts: int) -> Column:
+        return F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 50 * max(parts, 200))
+
+    bounds = sorted(set(rows.agg(quantiles(ranges)).first()[0] or [])) if ranges > 1 else []
+    bits = max(1, len(bounds).bit_length())
+    padded = F.array(*[F.lit(b) for b in bounds + [top] * ((1 << bits) - len(bounds))])
+    rows = rows.withColumn("range", _below(padded, bits, F.col("key")))
+    fine_bits = max(1, fine.bit_length())
+    filled = lambda b: F.concat(b, F.array_repeat(F.lit(top), F.lit(1 << fine_bits) - F.size(b)))
+    inner = cut(rows.groupBy("range").agg(quantiles(fine).alias("b")).select("range", filled(F.array_sort(F.array_distinct("b"))).alias("inner")), "mark-bounds")
+    # null-safe, as the planner would infer a filter for the other side from an equality with a computed range
+    inner = inner.withColumnRenamed("range", "of_range")
+    rows = rows.join(F.broadcast(inner), F.col("range").eqNullSafe(F.col("of_range")))
+    rows = rows.withColumn("bucket", F.col("range") * (1 << fine_bits) + _below(F.col("inner"), fine_bits, F.col("key"))).drop("inner", "of_range")
+
+    heads = rows.groupBy("range", "bucket").agg(F.max(F.struct("key", "tie")).alias("head"))
+    heads = cut(heads.withColumn("above", F.lead("bucket").over(Window.partitionBy("range").orderBy("bucket"))), "mark-heads")
+    lowest = {r["range"]: r["low"] for r in heads.groupBy("range").agg(F.min("bucket").alias("low")).collect()}
+    used = sorted(lowest)
+    after = {r: lowest[used[(i + 1) % len(used)]] for i, r in enumerate(used)}
+    beyond = F.element_at(F.array(*[F.lit(after.get(r, 0)) for r in range(len(bounds) + 1)]), F.col("range") + 1)
+    heads = heads.select(F.col("bucket").alias("of_bucket"), F.col("head.key").alias("h_key"), F.col("head.tie").alias("h_tie"), F.coalesce("above", beyond).alias("above"))
+    rows = rows.join(F.broadcast(heads), F.col("bucket").eqNullSafe(F.col("of_bucket")))
     own = F.struct(F.col("bucket").alias("to"), F.lit(False).alias("lent"))
-    also = F.struct(at(lambda b: lend.get(b, 0), "int").alias("to"), F.lit(True).alias("lent"))
+    also = F.struct(F.col("above").alias("to"), F.lit(True).alias("lent"))
+    head = (F.col("key") == F.col("h_key")) & (F.col("tie") == F.col("h_tie"))
     dealt = rows.withColumn("at", F.explode(F.when(head, F.array(own, also)).otherwise(F.array(own))))
+    places = min(want, max(shuffle_partitions(spark), pieces(size, part_bytes)))
+    # ranges are even in rows, and so are their buckets, but not every bucket number is used
+    place = F.floor((F.shiftright("to", fine_bits) + F.least(F.col("to") % (1 << fine_bits) / F.lit(float(fine)), F.lit(0.999999))) * F.lit(places / (len(bounds) + 1)))
     ordered = (
         dealt.select(F.col("at.to").alias("to"), F.col("at.lent").alias("lent"), "doc_id", "text", "key", "tie")
-        .repartition(want, "to").sortWithinPartitions("to", "lent", F.desc("key"), F.desc("tie"))
+        .repartitionById(places, F.least(place, F.lit(places - 1)).cast("int")).sortWithinPartitions("to", "lent", F.desc("key"), F.desc("tie"))
     )
     return ordered.select("to", "lent", "doc_id", "text").mapInArrow(_fingerprint, SCHEMA)

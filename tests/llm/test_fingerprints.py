@@ -60,6 +60,47 @@ def brute(rows):
     return out
 
 
+M64 = 2**64 - 1
+
+
+def scalar_mix(h):
+    for _ in range(2):
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & M64
+    return h ^ h >> 32
+
+
+def scalar_parse(names):
+    """One level of one document, position by position."""
+    merged, i = [], 0
+    while i < len(names):
+        j = i
+        while j < len(names) and names[j] == names[i]:
+            j += 1
+        merged.append(names[i] if j - i == 1 else scalar_mix((names[i] + (j - i) * 0x9E3779B97F4A7C15) & M64))
+        i = j
+
+    def toss(left, own):
+        low = (left ^ own) & -(left ^ own) or 1
+        return 2 * (low.bit_length() - 1) + (own & low != 0)
+
+    labels = [toss(merged[i - 1] if i else own ^ 1, own) for i, own in enumerate(merged)]
+    for _ in range(3):
+        labels = [toss(labels[i - 1] if i else own ^ 1, own) for i, own in enumerate(labels)]
+    begin = [i for i, x in enumerate(labels) if not i or x > labels[i - 1] and x > (labels[i + 1] if i + 1 < len(labels) else -1)]
+    return [scalar_mix(sum(x * pow(0xD6E8FEB86659FD93, k, 2**64) for k, x in enumerate(merged[a:b])) & M64) for a, b in zip(begin, [*begin[1:], len(merged)])]
+
+
+def test_levels_match_a_scalar_version():
+    r = random.Random(3)
+    for _ in range(60):
+        docs = [[scalar_mix(r.choice(b"aabc") + 1) for _ in range(r.randint(1, 60))] for _ in range(r.randint(1, 6))]
+        for _ in range(3):
+            flat, sizes = np.array([x for d in docs for x in d], np.uint64), [len(d) for d in docs]
+            names, starts = fp.parse(flat, np.cumsum(sizes) - sizes)
+            docs = [scalar_parse(d) for d in docs]
+            assert names.tolist() == [x for d in docs for x in d] and starts.tolist() == (np.cumsum([len(d) for d in docs]) - [len(d) for d in docs]).tolist()
+
+
 @pytest.mark.parametrize("bucket_rows", [1, 3, 1000])
 def test_operator_matches_brute_force(spark, bucket_rows):
     r = random.Random(4)
