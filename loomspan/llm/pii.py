@@ -7,11 +7,13 @@ which are redacted. The examples are drawn from format grammars and look-alikes
 with a fixed seed, so training needs no corpus. Candidates that overlap a base span are dropped; base spans always stay.
 
 Defined results: null counts as an empty text; an empty text has no spans; repeated rows are scanned each; an empty table gives
-an empty result; extra columns are ignored. Whole texts are scanned in time linear in their length.
+an empty result; extra columns are ignored. Whole texts are scanned, in time about linear in their length; candidates are selected
+by score against the stretches taken so far, found by binary search.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -161,17 +163,19 @@ def _examples(n: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray, list[str]
             return r.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(3)} {num(3)}{num(4)}", f"{num(3)}.{num(3)}.{num(4)}"))
         return r.choice((f"{num(4)} {num(4)} {num(4)}", f"{num(2)} {num(3)} {num(3)}", f"{num(3)}-{num(4)}{num(3)}", f"{num(5)}-{num(4)}-{num(4)}", f"{num(4)}/{num(4)}{num(3)}", f"{num(3)} {num(3)} {num(3)}"))
 
-    def identity(sure: bool) -> str:
-        first = f"{r.randint(1, 665):03d}" if sure else r.choice(("000", "666", f"9{num(2)}", num(3)))
+    def identity(sure: bool, told: str) -> str:
+        # a well-formed number is one unless something else is said of it
+        valid = sure or any(w in _AGAINST for w in told.split())
+        first = f"{r.choice((r.randint(1, 665), r.randint(667, 899))):03d}" if valid else r.choice(("000", "666", f"9{num(2)}"))
         return f"{first}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"
 
-    make = {"obscured_email": mail, "local_phone": phone, "identity": identity, "account": lambda sure: account() if sure else f"{r.choice('ABCDEFG')}{r.choice('XYZ')}{num(2)}{num(r.choice((12, 16)))}"}
+    make = {"obscured_email": mail, "local_phone": phone, "account": lambda sure: account() if sure else f"{r.choice('ABCDEFG')}{r.choice('XYZ')}{num(2)}{num(r.choice((12, 16)))}"}
     x, y, kinds = [], [], []
     for i in range(n):
         kind, sure = MORE[i % len(MORE)], r.random() < 0.4
         lead = r.choice(_CONTEXT[kind]) + r.choice((": ", " ")) if r.random() < (0.8 if sure else 0.1) else r.choice(_AGAINST) + " " if r.random() < (0.02 if sure else 0.5) else ""
         before = f"{prose()} {lead}"
-        text = f"{before}{make[kind](sure)} {prose()}"
+        text = f"{before}{identity(sure, lead) if kind == 'identity' else make[kind](sure)} {prose()}"
         for k, a, b in candidates(text):
             if k == kind:
                 x.append(describe(text, k, a, b))
@@ -180,6 +184,18 @@ def _examples(n: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray, list[str]
     return np.array(x), np.array(y), kinds
 
 
+def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover, in order."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 class Detector:
     """Trees, calibration and a threshold per kind."""
 
@@ -192,10 +208,9 @@ class Detector:
         self.limit = {}
         for kind in MORE:
             own = np.array([k == kind for k in kinds])[held]
-            for cut in np.unique(p[own])[::-1]:
-                if y[held][own & (p >= cut)].mean() < PRECISION:
-                    break
-                self.limit[kind] = max(float(cut), 0.5)
+            sure = [float(cut) for cut in np.unique(p[own]) if y[held][own & (p >= cut)].mean() >= PRECISION]
+            if sure:
+                self.limit[kind] = max(min(sure), 0.5)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.trees.raw(x), *self.knots)
@@ -205,12 +220,15 @@ class Detector:
         found = base_spans(text)
         got = candidates(text)
         if got:
-            taken = [s for spans in found.values() for s in spans]
+            starts, ends = _merged([s for spans in found.values() for s in spans])
             p = self.score(np.array([describe(text, *c) for c in got]))
             for score, (kind, a, b) in sorted(zip(p.tolist(), got), key=lambda c: (-c[0], c[1][1], c[1][0])):
-                if score >= self.limit.get(kind, 2.0) and all(b <= s or a >= e for s, e in taken):
+                i = bisect.bisect_right(starts, a)
+                free = (i == 0 or ends[i - 1] <= a) and (i == len(starts) or starts[i] >= b)
+                if free and score >= self.limit.get(kind, 2.0):
                     found.setdefault(kind, []).append((a, b))
-                    taken.append((a, b))
+                    starts.insert(i, a)
+                    ends.insert(i, b)
         return {k: sorted(v) for k, v in found.items()}
 
 
