@@ -1,10 +1,10 @@
 """License scan by a trained paragraph classifier, in DataFrame operations only.
 
-Paragraphs are lines, cut further at sentence ends, and passages of several lines between blank lines and sentence ends. Their lower-case word unigrams and bigrams (presence) feed a multinomial
-logistic regression over licence families and an unknown class. It is trained on the driver from the public templates below,
+Paragraphs are lines, cut further at sentence ends, and passages of several lines between blank lines and sentence ends. Their
+lower-case word unigrams and bigrams (presence) feed a multinomial logistic regression over licence families and an unknown class. It is trained on the driver from the public templates below,
 varied by a seeded augmentation, and unlike sentences; a temperature and a threshold, fitted on held-out variants, calibrate
-it. A prediction stands only if a template of its family confirms it by shared words. The weights (at most ``max_features``
-vectors) go into the plan as a literal; a text without a distinctive word costs one regular-expression search.
+it. A prediction stands only if a template of its family confirms it by shared words. The weights (one vector for every unigram
+and bigram of the templates and unlike sentences) go into the plan as a literal; a text without a distinctive word costs one regular-expression search.
 
 Looked at are lines with a trigger word, and all lines and passages that share enough words with any template to be confirmed.
 To be confirmed, a paragraph has to hold one of the distinctive words of a template: so many of its longest ones that the rest
@@ -48,6 +48,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under the BSD License.", "Licensed under the 3-clause BSD license.", "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ),
+    "ISC": (
+        "Released under the ISC License.", "Licensed under the ISC license.", "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
     "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
@@ -62,7 +66,7 @@ UNLIKE = (
     "Poetic license explains the ending.", "The fishing licence costs ten pounds.", "The reserved seats were free of charge.", "The Mozilla browser opened the page.",
 )
 UNKNOWN = "unknown"
-TRIGGER = r"(?i)licen[cs]e|copyright|\bgpl|spdx|\bcc0|\bcc by|creative commons|public domain|rights reserved|permission is hereby|redistribution and use|free software foundation"
+TRIGGER = r"(?i)licen[cs]e|copyright|\bgpl|spdx|\bcc0|\bcc by|creative commons|public domain|rights reserved|permission is hereby|is hereby granted|redistribution and use|free software foundation"
 _WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 _BREAK = r"[\n\r]+|(?<=[.!?])[ \t]+(?=[A-Z])"
 # Blank lines, and sentence ends with the line ends and comment marks behind them.
@@ -126,11 +130,11 @@ def _variants(seed: int, each: int) -> tuple[list[set[str]], list[int]]:
 class LicenceModel:
     """Sparse multinomial logistic regression with a temperature and an unknown threshold."""
 
-    def __init__(self, max_features: int = 600, seed: int = 8):
+    def __init__(self, seed: int = 8):
         xs, ys = _variants(seed, 24)
         vocabulary = {g for sentences in TEMPLATES.values() for s in sentences for g in grams(s)} | {g for s in UNLIKE for g in grams(s)}
         seen = Counter(g for x in xs for g in x if g in vocabulary)
-        self.features = sorted(sorted(seen, key=lambda g: (-seen[g], g))[:max_features])
+        self.features = sorted(seen)
         self.classes = [*TEMPLATES, UNKNOWN]
         x, y = self._matrix(xs), np.array(ys)
         w, b, k = np.zeros((x.shape[1], len(self.classes))), np.zeros(len(self.classes)), len(self.classes)
