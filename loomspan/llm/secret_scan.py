@@ -4,11 +4,16 @@ Every rule is a regular expression. A Boolean trigram query (an AND of ORs of AN
 the expression's literals; postings of the query trigrams are built over all documents and intersected, and only candidate
 documents are verified with the expression. Rules without a mandatory trigram scan every document.
 
+Only texts that hold the rarest trigram of some alternative travel to meet the intersected postings; the others cannot be
+candidates and are scanned where they lie for the rules without trigrams. Postings name a text by its id and its hash, so null
+and shared ids are no common key.
+
 Offsets come from splitting a text at the rule's matches: the pieces between matches and the matches themselves alternate, so
 running sums of their lengths are the positions (code points, end exclusive).
 
-Defined results: null and empty texts have no spans; repeated rows are scanned each; rows that share a doc_id share their
-candidate flags, which verification makes harmless; an empty table gives an empty result; extra columns are ignored.
+Defined results: null and empty texts have no spans; repeated rows are scanned each; rows that agree in doc_id and text share
+their candidate flags; an empty table gives an empty result; extra columns are kept, or ignored by the digest, whatever their
+names. Whole texts are scanned, however long.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, drop
+
 # The base rules. ``least`` is the length that group ``group`` of a match must reach.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -113,26 +120,34 @@ def trigram_query(rule: Rule) -> list[frozenset[str]]:
     return [] if frozenset() in query else query
 
 
-def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, kinds) of documents whose postings meet a rule's trigram query.
+def postings(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(doc, mark, gram): the trigrams, as places in ``vocabulary``, that each text (``low``, in lower case) holds."""
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(vocabulary)]))
+    return rows.select("doc", "mark", F.explode(held).alias("gram")).distinct()
+
 
-    ``rows`` has doc_id and the lower-cased text ``low``. Postings are (trigram, document) for the trigrams of the queries
-    alone; the lists of an alternative's trigrams are intersected by counting, after a map-side pre-aggregation.
+def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, list[str]]:
+    """(doc, mark, kinds) of the texts whose postings meet a rule's trigram query, and the rarest trigram of every alternative.
+
+    Postings are built for the trigrams of the queries alone; the lists of an alternative's trigrams are intersected by counting,
+    after a map-side pre-aggregation. A list's length goes to the driver, one number per trigram of the rules.
     """
-    alternatives = [(r.kind, i, grams) for r in rules for i, grams in enumerate(trigram_query(r))]
-    vocabulary = sorted({g for _, _, grams in alternatives for g in grams})
+    alternatives = [(r.kind, grams) for r in rules for grams in trigram_query(r)]
+    vocabulary = sorted({g for _, grams in alternatives for g in grams})
     code = {g: i for i, g in enumerate(vocabulary)}
-    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(i)) for g, i in code.items()]))
-    postings = rows.select("doc_id", F.explode(held).alias("gram")).distinct()
+    index = cut(postings(rows, vocabulary), "secret-postings")
+    length = {vocabulary[r["gram"]]: r["n"] for r in index.groupBy("gram").agg(F.count("*").alias("n")).collect()}
     wanted = rows.sparkSession.createDataFrame(
-        [(code[g], k, kind, len(grams)) for k, (kind, _, grams) in enumerate(alternatives) for g in sorted(grams)],
+        [(code[g], k, kind, len(grams)) for k, (kind, grams) in enumerate(alternatives) for g in sorted(grams)],
         "gram int, alternative int, kind string, needed int",
     )
     met = (
-        postings.join(F.broadcast(wanted), "gram").groupBy("doc_id", "alternative").agg(F.count("*").alias("n"), F.first("needed").alias("needed"), F.first("kind").alias("kind"))
+        index.join(F.broadcast(wanted), "gram").groupBy("doc", "mark", "alternative").agg(F.count("*").alias("n"), F.first("needed").alias("needed"), F.first("kind").alias("kind"))
         .filter("n = needed")
     )
-    return met.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+    found = cut(met.groupBy("doc", "mark").agg(F.collect_set("kind").alias("kinds")), "secret-candidates")
+    drop(index)
+    return found, sorted({min(grams, key=lambda g: (length.get(g, 0), g)) for _, grams in alternatives})
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
@@ -162,22 +177,39 @@ def _quick(rule: Rule) -> str:
     return rule.pattern
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every row of ``docs`` (all columns) with ``found``: array of (start, end, kind) by start, then rule order."""
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "found") -> DataFrame:
+    """Every row of ``docs`` (all columns but one named ``into``) with ``into``: array of (start, end, kind) by start, then rule
+    order."""
+    names = [c for c in docs.columns if c != into]
+    text, ident = (f"_d{names.index(c)}" for c in ("text", "doc_id"))
+    hidden = docs.select(*[F.col(f"`{c}`").alias(f"_d{i}") for i, c in enumerate(names)])
+    hidden = hidden.withColumn("_doc", F.coalesce(F.col(ident).cast("long"), F.lit(-1).cast("long"))).withColumn("_mark", F.xxhash64(text))
+    low = hidden.filter(F.col(text) != "").select(F.col("_doc").alias("doc"), F.col("_mark").alias("mark"), F.lower(text).alias("low"))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    low = docs.select(F.col("doc_id"), F.lower("text").alias("low")).filter(F.col("low").isNotNull())
-    flagged = candidates(low, rules).select(F.col("doc_id").alias("_c_doc_id"), F.col("kinds").alias("_c_kinds"))
-    rows = docs.drop("found").alias("d")
-    joined = rows.join(flagged, F.col("d.doc_id").eqNullSafe(F.col("_c_doc_id")), "left")
     order = F.array(*[F.lit(r.kind) for r in rules])
-    each = []
-    for rule in rules:
-        may = F.col("d.text").rlike(_quick(rule))
-        if trigram_query(rule):
-            may = F.coalesce(F.array_contains("_c_kinds", rule.kind), F.lit(False)) & may
-        each.append(F.when(may, spans_of(F.col("d.text"), rule)).otherwise(none))
-    ranked = F.transform(F.concat(*each), lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return joined.select("d.*", F.array_sort(ranked).alias("found"))
+
+    def verified(rows: DataFrame, chosen: list[Rule], kinds: Column | None) -> DataFrame:
+        each = []
+        for rule in chosen:
+            may = F.col(text).rlike(_quick(rule))
+            if trigram_query(rule):
+                may = F.coalesce(F.array_contains(kinds, rule.kind), F.lit(False)) & may
+            each.append(F.when(may, spans_of(F.col(text), rule)).otherwise(none))
+        every = F.concat(*each) if each else none
+        ranked = F.transform(every, lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+        return rows.select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(names)], F.array_sort(ranked).alias(into))
+
+    free = [r for r in rules if not trigram_query(r)]
+    if len(free) == len(rules):
+        return verified(hidden, free, None)
+    flagged, rarest = candidates(low, rules)
+    travels = F.lit(False)
+    for gram in rarest:
+        travels = travels | F.contains("_low", F.lit(gram))
+    marked = hidden.withColumn("_low", F.lower(text)).withColumn("_goes", F.coalesce(travels, F.lit(False))).drop("_low")
+    flagged = flagged.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("kinds").alias("_kinds"))
+    there = marked.filter("_goes").join(flagged, ["_doc", "_mark"], "left")
+    return verified(there, list(rules), F.col("_kinds")).unionByName(verified(marked.filter("not _goes"), free, None))
 
 
 def _joined(spans: Column) -> Column:
@@ -195,8 +227,8 @@ def secret_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "<secret>") -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` (overlapping spans once) and ``n_chars``, if there, counted anew."""
-    clash = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c.lower() in ("found", "_c_doc_id", "_c_kinds")}
-    found = find_secrets(docs.withColumnsRenamed(clash), rules)
+    into = next(c for c in (f"found{i}" for i in range(len(docs.columns) + 1)) if c not in {d.lower() for d in docs.columns})
+    found = find_secrets(docs, rules, into)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -207,8 +239,8 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str =
     def rest(acc: Column) -> Column:
         return F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
 
-    clean = F.when(F.size("found") > 0, F.aggregate("found", start, step, rest)).otherwise(F.col("text"))
+    clean = F.when(F.size(into) > 0, F.aggregate(into, start, step, rest)).otherwise(F.col("text"))
     out = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.drop("found").withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
