@@ -8,7 +8,8 @@ explicitly allowed, else block if any is blocked, else allow. Link targets need
 Nodes are 64-bit hashes of urls (without fragment, scheme and host in lower case).
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; null html has no
-links; relative targets are resolved against the page's url; repeated rows are judged each; empty tables give an empty result.
+links; relative targets are resolved against the page's url; repeated rows are judged each; empty tables give an empty result;
+other columns are ignored, whatever their names; a url or page of any length is read whole.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, drop
 
 
 @dataclass(frozen=True)
@@ -116,7 +117,7 @@ def alias_targets(html: Column) -> Column:
 def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, more_edges: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every page. ``more_edges`` may add alias pairs (source, target) of absolute urls."""
     u = F.col("url")
-    judged = pages.select("page_id", u, host_of(u).alias("host"), path_of(u).alias("path"), F.xxhash64(normal_url(u)).alias("node")).withColumn(
+    judged = pages.select("page_id", u, host_of(u).alias("host"), path_of(u).alias("path"), F.when(normal_url(u).isNotNull(), F.xxhash64(normal_url(u))).alias("node")).withColumn(
         "rule", rule_of(F.col("host"), F.col("path"), rules)
     )
     links = (
@@ -134,7 +135,10 @@ def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, more_edges: D
         labels.join(told, "node").groupBy("comp").agg(F.max((F.col("own") == "allow").cast("int")).alias("allow"), F.max((F.col("own") == "block").cast("int")).alias("block"))
     )
     group_verdict = F.when(F.col("allow") == 1, "allow").when(F.col("block") == 1, "block").otherwise("allow")
-    by_node = labels.join(groups, "comp").select("node", group_verdict.alias("alias"))
-    return judged.join(by_node, "node", "left").select(
-        "page_id", "host", "path", "rule", F.coalesce(verdict_of(F.col("rule"), rules), "alias", F.lit("allow")).alias("verdict")
-    )
+    by_node = cut(labels.join(groups, "comp").select(F.col("node").alias("_node"), group_verdict.alias("alias")), "url-verdicts")
+    drop(links)
+    drop(labels)
+    # urls that are no node stay out of the join, where they would all meet at one key
+    named = judged.filter("node is not null").join(by_node, F.col("node") == F.col("_node"), "left").drop("_node")
+    every = named.unionByName(judged.filter("node is null").withColumn("alias", F.lit(None).cast("string")))
+    return every.select("page_id", "host", "path", "rule", F.coalesce(verdict_of(F.col("rule"), rules), "alias", F.lit("allow")).alias("verdict"))

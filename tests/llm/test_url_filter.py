@@ -61,5 +61,41 @@ def test_long_chains_and_stars(spark):
     assert {v[3] for v in got.values()} == {"block"}
 
 
+def test_components_match_a_union_find(spark):
+    """Random graphs of links among pages and urls that are no pages, judged by a plain union-find."""
+    r = random.Random(8)
+    hosts = ["a.fr", "b.fr", "x.com", "y.net", "z.org", "example.com", "example.net"]
+    url = lambda: f"http://{r.choice(hosts)}/{r.choice(['en', 'de', 'es', 'it'])}/{r.randint(0, 40)}"
+    pages, edges = [], []
+    for i in range(300):
+        u, links = url(), [url() for _ in range(r.choice([0, 0, 1, 1, 2]))]
+        pages.append((i, u if i % 29 else None, "".join(f'<link rel="canonical" href="{t}">' for t in links)))
+        edges += [(u, t) for t in links if i % 29]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    kinds = {x.name: x.verdict for x in uf.RULES}
+    told = {}
+    for x in root:
+        told.setdefault(find(x), set()).add(kinds.get(plain(x)[2]))
+    got = judge(spark, *pages)
+    for i, u, _ in pages:
+        group = told[find(u)] if u in root else set()
+        alias = "allow" if "allow" in group else "block" if "block" in group else "allow"
+        assert got[i] == (*plain(u), kinds.get(plain(u)[2], alias))
+    assert sum(len(g) > 1 for g in told.values()) > 3
+
+
+def test_clashing_columns_and_a_long_page(spark):
+    df = spark.createDataFrame([(1, "http://a.fr/" + "x" * 50_000, "<p>" * 200_000 + '<link rel="canonical" href="http://q.org/es/1">', 3, 4)], "page_id long, url string, html string, node int, host int")
+    assert [x["verdict"] for x in uf.judge_pages(df).collect()] == ["block"]
+
+
 def test_empty(spark):
     assert uf.judge_pages(spark.createDataFrame([], "page_id long, url string, html string, node string, rule string")).collect() == []
