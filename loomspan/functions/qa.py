@@ -25,25 +25,34 @@ def flags(*conditions: tuple[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in conditions]))
 
 
-#: A token starts with a letter and runs on over letters and apostrophes; this finds those that start with a capital (after
-#: up to 20 apostrophes in a row) without stopping at all others.
-CAPITAL_TOKEN = "(?=[A-Z])(?<![A-Za-z]'{0,20})[A-Z][a-zA-Z']*"
+#: A token starts with a letter and runs on over letters and apostrophes. ``CAPITAL_TOKEN`` finds those that start with a capital
+#: without stopping at all others, in texts without longer runs of apostrophes than it looks back over.
+ANY_TOKEN = "[a-zA-Z][a-zA-Z']*"
+LONG_RUN = 21
+CAPITAL_TOKEN = f"(?=[A-Z])(?<![A-Za-z]'{{0,{LONG_RUN - 1}}})[A-Z][a-zA-Z']*"
 
 
-def proper_nouns(text: Column, skip_openers: bool) -> Column:
-    """Distinct capitalised tokens in their noun form; optionally without those that open a sentence."""
-    parts = segments(F.coalesce(text, F.lit("")), CAPITAL_TOKEN)
+def _nouns(text: Column, pattern: str, skip_openers: bool) -> Column:
+    parts = segments(text, pattern)
     before = F.transform(parts, lambda p: F.replace(p, F.lit(CLOSE), F.lit("")))
     n = F.greatest(F.size(parts) - 1, F.lit(0))
     two_back = F.concat(F.array(F.lit("")), before)
     rows = F.arrays_zip(F.slice(parts, F.lit(2), n).alias("token"), F.slice(before, F.lit(1), n).alias("one"), F.slice(two_back, F.lit(1), n).alias("two"))
     token = lambda r: F.substring_index(r["token"], CLOSE, 1)
     kept = F.filter(rows, lambda r: ~F.lower(token(r)).isin(*COMMON))
+    if pattern == ANY_TOKEN:
+        kept = F.filter(kept, lambda r: token(r).rlike("^[A-Z]"))
     if skip_openers:
         kept = F.filter(kept, lambda r: ~opens_sentence(F.concat(r["two"], r["one"])))
     return F.array_distinct(F.transform(kept, lambda r: noun_form(token(r))))
 
 
+def proper_nouns(text: Column, skip_openers: bool) -> Column:
+    """Distinct capitalised tokens in their noun form; optionally without those that open a sentence."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.when(whole.contains("'" * LONG_RUN), _nouns(whole, ANY_TOKEN, skip_openers)).otherwise(_nouns(whole, CAPITAL_TOKEN, skip_openers))
+
+
 def short_text_flags(short: Column, raw: Column, name: Column) -> Column:
     """Flags of a short text against its source; an empty one has that flag alone."""
     low = F.lower(short)

@@ -141,3 +141,14 @@ def test_nouns_match_a_plain_version(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     for r in df.select("i", qa.proper_nouns(F.col("t"), True).alias("n")).collect():
         assert set(r["n"]) == plain(texts[r["i"]])
+
+
+def test_proper_nouns_after_long_runs_of_apostrophes(spark):
+    """A token runs on over apostrophes, however many; a capital after them is inside it."""
+    texts = ["x y a" + "'" * k + "Bob met Cara" for k in (0, 1, 20, 21, 22, 300)] + ["see " + "'" * k + "Bob now" for k in (1, 20, 21, 300)]
+    got = [r["n"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(qa.proper_nouns(F.col("t"), False).alias("n")).collect()]
+    want = []
+    for t in texts:
+        tokens = [m[0] for m in re.finditer("[A-Za-z][A-Za-z']*", t) if m[0][0].isupper()]
+        want.append(list(dict.fromkeys(re.sub(r"('s|')+$", "", x) for x in tokens)))
+    assert got == want
