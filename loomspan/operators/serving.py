@@ -74,7 +74,8 @@ def daily_pick(cycle: DataFrame, entities: DataFrame, start: str, days: DataFram
     asked = days.select("day", cycle_index(F.col("day"), F.lit(start).cast("date"), F.lit(n)).alias("pos"))
     twice = live.union(live.select(F.col("pos") + n, "id")).withColumn("asks", F.lit(False))
     stops = twice.union(asked.select("pos", F.lit(None).cast("string").alias("id"), F.lit(True).alias("asks")).distinct())
-    hit = F.first("id", ignorenulls=True).over(Window.orderBy("pos").rangeBetween(0, Window.unboundedFollowing))
+    # from the last position down, the live one met last is the next one at or after; a running value, so linear
+    hit = F.last("id", ignorenulls=True).over(Window.orderBy(F.desc("pos"), "asks").rowsBetween(Window.unboundedPreceding, 0))
     found = stops.withColumn("hit", hit).filter("asks").select("pos", "hit")
     return asked.join(found, "pos", "left").select("day", F.col("hit").alias("id"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merge import merge_entries
@@ -19,7 +20,9 @@ def merge_stream(new: DataFrame, corpus: str, checkpoint: str, today: str) -> St
         spark = batch.sparkSession
         before = spark.read.parquet(f"{corpus}/v={number}")
         merged = merge_entries(before, batch, today)
-        merged = merged.withColumn("pos", merged["pos._pos"] + merged["pos._src"] * (1 << 50)).select(*before.columns)
+        # new rows come after all there are, so that every batch keeps the order of those before it
+        last = before.agg(F.coalesce(F.max("pos"), F.lit(-1))).first()[0]
+        merged = merged.withColumn("pos", merged["pos._pos"] + merged["pos._src"] * (last + 1)).select(*before.columns)
         merged.write.mode("overwrite").parquet(f"{corpus}/v={number + 1}")
 
     return new.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

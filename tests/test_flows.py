@@ -1,3 +1,4 @@
+import datetime
 import json
 
 import pytest
@@ -137,6 +138,20 @@ def test_json_arrays_and_build(spark, tmp_path):
     assert [r["id"] for r in back.orderBy("pos").collect()] == ["n0", "n1", "n2"]
 
 
+def test_daily_pick_of_a_long_cycle(spark):
+    """Two hundred thousand positions, a third of them live: every day's pick against a plain walk."""
+    n = 200_000
+    cycle = spark.range(n).select(F.col("id").alias("pos"), F.col("id").cast("string").alias("id"))
+    live = cycle.filter("pos % 3 = 1 and (pos < 50000 or pos > 90000)").select("id")
+    days = spark.range(3000).select(F.expr("date_add(date '2024-01-01', cast(id * 150 as int))").alias("day"))
+    alive = lambda p: p % 3 == 1 and (p < 50_000 or p > 90_000)
+    for r in serving.daily_pick(cycle, live, "2024-01-01", days).collect():
+        at = (r["day"] - datetime.date(2024, 1, 1)).days % n
+        while not alive(at):
+            at = (at + 1) % n
+        assert r["id"] == str(at)
+
+
 def test_streaming_merge(spark, tmp_path):
     old = rows(spark, {"name": "A"}, {"name": "B"})
     old.write.parquet(str(tmp_path / "c/v=0"))
@@ -145,6 +160,16 @@ def test_streaming_merge(spark, tmp_path):
     assert [(r["name"], r["date_updated"]) for r in latest(spark, str(tmp_path / "c")).orderBy("pos").collect()] == [("A", "2021"), ("B", "2025"), ("C", "2025")]
 
 
+def test_streaming_merge_keeps_first_seen_order_over_batches(spark, tmp_path):
+    old = rows(spark, {"name": "A"})
+    old.write.parquet(str(tmp_path / "c/v=0"))
+    for batch in (["B1", "B2", "B3"], ["C1", "C2"], ["B2", "D"]):
+        rows(spark, *({"name": n} for n in batch)).write.mode("append").parquet(str(tmp_path / "in"))
+        merge_stream(spark.readStream.schema(old.schema).parquet(str(tmp_path / "in")), str(tmp_path / "c"), str(tmp_path / "cp"), "2025").awaitTermination(60)
+    got = latest(spark, str(tmp_path / "c")).orderBy("pos").collect()
+    assert [r["name"] for r in got] == ["A", "B1", "B2", "B3", "C1", "C2", "D"] and len({r["pos"] for r in got}) == 7
+
+
 class Fake:
     def __init__(self):
         self.calls, self.waits, self.fail = [], [], 2
