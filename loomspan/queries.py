@@ -303,49 +303,68 @@ def sha256_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", names.text_hash(F.col("text")).alias("hash"))
 
 
-_ENC = "url_encode(replace(left(text, 60), ' ', '_'))"
+_ENC = "url_encode(replace(text, ' ', '_'))"
 for _code, _char in (("%2F", "/"), ("%3A", ":"), ("%28", "("), ("%29", ")"), ("%27", "''"), ("%2C", ","), ("%21", "!"), ("%26", "&"), ("%7E", "~")):
     _ENC = f"replace({_ENC}, '{_code}', '{_char}')"
 
 
 @query(f"SELECT doc_id, 'https://w/' || {_ENC} AS url FROM documents")
 def page_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", names.page_url(F.substring("text", 1, 60), "https://w/").alias("url"))
+    return docs(spark, sf_dir).select("doc_id", names.page_url(F.col("text"), "https://w/").alias("url"))
 
 
-@query(f"SELECT doc_id, 'https://w/' || {_ENC.replace('left(text, 60)', 'text')} AS url FROM documents")
-def page_url_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``page_url``, over whole texts."""
-    return docs(spark, sf_dir).select("doc_id", names.page_url(F.col("text"), "https://w/").alias("url"))
+#: Characters of the markup. Queries with SQL read whole texts without them; the ``_whole`` ones read texts as they are.
+MARKS = "{}[]|<>'="
+_PIECE = "translate(text, '" + MARKS.replace("'", "''") + "', '')"
+_WHITE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
-_PIECE = "regexp_replace(left(text, 120), '[^A-Za-z ]', '', 'g')"
+def _piece() -> Column:
+    return F.translate("text", MARKS, "")
 
 
-@query(
-    f"SELECT doc_id, trim(regexp_replace('A B ' || {_PIECE} || ' b ' || {_PIECE} || ' ' || {_PIECE} || ' ' || {_PIECE} || ' he x   end', '[ \\n]+', ' ', 'g')) AS clean FROM documents WHERE {_PIECE} <> ''"
-)
+def _folded(c: str) -> str:
+    return f"trim(regexp_replace({c}, '{_WHITE}+', ' ', 'g'))"
+
+
+def _stripped(c: str) -> str:
+    return f"regexp_replace({c}, '^{_WHITE}+|{_WHITE}+$', '', 'g')"
+
+
+@query("SELECT doc_id, " + _folded(f"'A B ' || {_PIECE} || ' b ' || {_PIECE} || ' ' || {_PIECE} || ' ' || {_PIECE} || ' he x   end'") + " AS clean FROM documents")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    piece = F.regexp_replace(F.substring("text", 1, 120), "[^A-Za-z ]", "")
+    piece = _piece()
     marked = F.concat(F.lit("A<br />B "), piece, F.lit(" '''b''' [[p|"), piece, F.lit("]] {{w|x|"), piece, F.lit("}} {{Rubi|"), piece, F.lit("|r}} {{MC|m=he|f=she}} {{MC|x|y}} {{sic}} {{ja|z}}  end "))
-    return docs(spark, sf_dir).filter(piece != "").select("doc_id", markup.clean_text(marked).alias("clean"))
+    return docs(spark, sf_dir).select("doc_id", markup.clean_text(marked).alias("clean"))
+
+
+@query("SELECT doc_id, " + _folded(f"'a ' || repeat('▇', 1 + doc_id % 4) || ' ▇ ' || {_stripped(_PIECE)} || ' ' || {_stripped(_PIECE)} || ' ' || {_PIECE} || ' ' || {_PIECE} || ' z'") + " AS clean FROM documents")
+def clean_text_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rare templates: blocks, slips shown and hidden, colours, links to characters."""
+    piece = _piece()
+    marked = F.concat(
+        F.lit("a {{Obfuscate|"), (F.col("doc_id") % 4 + 1).cast("string"), F.lit("}} {{Obfuscate|x}} {{sic|"), piece, F.lit("}} {{Sic|gone|hide=1}} {{Color|keyword|"), piece,
+        F.lit("}} {{Character Page Link|"), piece, F.lit("}} {{Character Page Link|"), piece, F.lit("|ref=12}} z"),
+    )
+    return docs(spark, sf_dir).select("doc_id", markup.clean_text(marked).alias("clean"))
 
 
 @query(
-    f"""SELECT doc_id, 'x {{{{n|' || {_PIECE} || '}}}} y' AS argument, trim({_PIECE}) AS first, '[[a|b]]' AS second, trim({_PIECE}) AS field FROM documents WHERE trim({_PIECE}) <> ''"""
+    f"""SELECT doc_id, 'x {{{{n|' || {_PIECE} || '}}}} y' AS argument, {_stripped(_PIECE)} AS first, CASE WHEN text IS NOT NULL THEN '[[a|b]]' END AS second,
+      coalesce(nullif({_stripped(f"split_part({_stripped(_PIECE)}, chr(10), 1)")}, ''), CASE WHEN text IS NOT NULL THEN '|two = [[a|b]]' END) AS field FROM documents"""
 )
 def template_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    piece = F.regexp_replace(F.substring("text", 1, 120), "[^A-Za-z ]", "")
+    piece = _piece()
     page = F.concat(F.lit("{{Box\n|one = "), piece, F.lit("\n|two = [[a|b]]\n}} {{Description|x {{n|"), piece, F.lit("}} y}} tail"))
     params = markup.template_params(F.col("page"), "Box")
-    return docs(spark, sf_dir).filter(F.trim(piece) != "").select("doc_id", page.alias("page")).select(
+    return docs(spark, sf_dir).select("doc_id", page.alias("page")).select(
         "doc_id", markup.template_arg(F.col("page"), "Description").alias("argument"), params["one"].alias("first"), params["two"].alias("second"), markup.infobox_field(F.col("page"), "one").alias("field")
     )
 
 
 @query()
 def clean_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``clean_text``, over whole texts as they are."""
+    """As ``clean_text``, of texts as they are."""
     text = F.col("text")
     marked = F.concat(F.lit("A<br />B "), text, F.lit(" '''b''' [[p|"), text, F.lit("]] {{w|x|"), text, F.lit("}} {{Rubi|"), text, F.lit("|r}} {{MC|m=he|f=she}} {{MC|x|y}} {{sic}} {{ja|z}}  end "))
     return docs(spark, sf_dir).select("doc_id", markup.clean_text(marked).alias("clean"))
@@ -353,7 +372,7 @@ def clean_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def template_fields_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``template_fields``, over whole texts as they are."""
+    """As ``template_fields``, of texts as they are."""
     text = F.col("text")
     page = F.concat(F.lit("{{Box\n|one = "), text, F.lit("\n|two = [[a|b]]\n}} {{Description|x {{n|"), text, F.lit("}} y}} tail"))
     params = markup.template_params(F.col("page"), "Box")
@@ -486,7 +505,20 @@ def revalidate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.revalidate(_tracked(spark, sf_dir)).select("id", F.array_join("qa_flags", ",").alias("flags"), "changed")
 
 
-@query()
+_FLAG_SQL = f"""CASE WHEN {_stripped('short')} = '' THEN 'empty_short_text' ELSE array_to_string(list_filter([
+        CASE WHEN length(short) < 40 THEN 'short_text_too_short' END, CASE WHEN {_stripped('short')} = {_stripped('raw')} THEN 'short_text_identical_to_raw' END, CASE WHEN {_REFUSED} THEN 'possible_refusal_artifact' END,
+        CASE WHEN regexp_matches(short, '[\\x{{4e00}}-\\x{{9fff}}\\x{{3040}}-\\x{{30ff}}\\x{{ac00}}-\\x{{d7af}}]') THEN 'possible_untranslated_text' END,
+        CASE WHEN len(list_filter(s, lambda x: NOT list_contains(r, x) AND NOT list_contains(n, x))) > 0 THEN 'possible_hallucinated_name' END], lambda x: x IS NOT NULL), ',') END"""
+
+
+@query(
+    f"""WITH due AS (SELECT doc_id, {_stripped("left(regexp_extract('Original text: ' || text, '[^\\n]*$'), 200)")} AS short, text AS raw, source AS name FROM documents WHERE text <> '' AND doc_id % 10 <> 0),
+    flag AS (SELECT doc_id, short, {_FLAG_SQL} AS f FROM (SELECT *, {_nouns('short', True)} AS s, {_nouns('raw', True)} AS r, {_nouns('name', False)} AS n FROM due)),
+    was AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN left(text, 100) END AS short, CASE WHEN doc_id % 2 = 0 THEN 'v1' END AS version, CASE WHEN doc_id % 3 = 0 THEN sha256(text) ELSE 'old' END AS hash, sha256(text) AS now,
+                   CASE WHEN doc_id % 10 = 0 THEN 'flavor_text_unexpectedly_long' WHEN doc_id % 10 = 1 THEN 'short_text_too_long,mine,mine,paraphrase_error' ELSE '' END AS old, CASE WHEN doc_id % 10 = 1 THEN 'mine,mine' ELSE '' END AS kept FROM documents)
+    SELECT CAST(w.doc_id AS VARCHAR) AS id, CASE WHEN f IS NULL THEN w.short ELSE flag.short END AS short_text, CASE WHEN f IS NULL THEN version ELSE 'v2' END AS prompt_version, CASE WHEN f IS NULL THEN hash ELSE now END AS raw_text_hash,
+      CASE WHEN f IS NULL THEN old ELSE kept || CASE WHEN kept <> '' AND f <> '' THEN ',' ELSE '' END || f END AS flags FROM was w LEFT JOIN flag USING (doc_id)"""
+)
 def incremental_paraphrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = "Name: {name}\nCategory: {category}\nOriginal text: {raw_text}"
     return incremental.paraphrase(_tracked(spark, sf_dir), template, "v2").select("id", "short_text", "prompt_version", "raw_text_hash", F.array_join("qa_flags", ",").alias("flags"))
@@ -521,46 +553,34 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- record builders -----------------------------------------------------------------------------------------------------
 
 
-def _piece(length: int = 120) -> Column:
-    return F.trim(F.regexp_replace(F.substring("text", 1, length), "[^A-Za-z ]", ""))
-
-
 def _whole() -> Column:
     return F.coalesce("text", F.lit(""))
 
 
-def _piece_sql(length: int = 120) -> str:
-    return f"trim(regexp_replace(left(text, {length}), '[^A-Za-z ]', '', 'g'))"
-
-
-def _folded(c: str) -> str:
-    return f"trim(regexp_replace({c}, ' +', ' ', 'g'))"
-
-
 _LENGTHS = "concat_ws(',', CASE WHEN length({t}) > {most} THEN 'flavor_text_unexpectedly_long' END, CASE WHEN length({t}) < 10 THEN 'flavor_text_too_short' END)"
 
 
 @query(
     f"""SELECT 'light-cone-page-' || doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'Light Cone' WHEN doc_id % 3 = 0 THEN 'Light Cone · ' || lang ELSE '5★ Light Cone · ' || lang END AS subtitle,
-      CASE WHEN doc_id % 5 = 0 THEN '' ELSE {_folded(_piece_sql(4000) + " || ' link'")} END AS raw_text,
-      CASE WHEN doc_id % 5 = 0 THEN 'no_description_template' ELSE {_LENGTHS.format(t=_folded(_piece_sql(4000) + " || ' link'"), most=builders.LIGHT_CONE_MAX)} END AS flags, 'w/Page_' || doc_id AS source_url FROM documents"""
+      CASE WHEN doc_id % 5 = 0 THEN '' ELSE {_folded(f"coalesce({_PIECE}, '') || ' link'")} END AS raw_text,
+      CASE WHEN doc_id % 5 = 0 THEN 'no_description_template' ELSE {_LENGTHS.format(t=_folded(f"coalesce({_PIECE}, '') || ' link'"), most=builders.LIGHT_CONE_MAX)} END AS flags, 'w/Page_' || doc_id AS source_url FROM documents"""
 )
 def light_cone_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     box = F.concat(F.lit("{{Box\n|rarity = "), F.when(d % 3 == 0, "?").otherwise("5"), F.lit("\n|effect_path = "), F.col("lang"), F.lit("\n}}"))
-    told = F.when(d % 5 == 0, "").otherwise(F.concat(F.lit("{{Description|"), _piece(4000), F.lit(" [[a|link]]}}")))
+    told = F.when(d % 5 == 0, "").otherwise(F.concat(F.lit("{{Description|"), F.coalesce(_piece(), F.lit("")), F.lit(" [[a|link]]}}")))
     pages = docs(spark, sf_dir).select(F.concat(F.lit("Page "), d.cast("string")).alias("title"), F.concat(box, told).alias("wikitext"))
     return builders.light_cones(pages, "w/").select("id", "subtitle", "raw_text", F.array_join("qa_flags", ",").alias("flags"), "source_url")
 
 
 @query(
-    f"""WITH one AS (SELECT doc_id, {_piece_sql()} AS t FROM documents),
+    f"""WITH one AS (SELECT doc_id, {_folded(_PIECE)} AS t FROM documents),
     part AS (SELECT s.doc_id, i, p.doc_id AS pid, CASE WHEN p.doc_id % 4 = 0 THEN '' ELSE coalesce(p.t, '') END AS t FROM one s, unnest(range(0, CASE WHEN s.doc_id % 2 = 0 THEN 4 ELSE 2 END)) AS u(i) LEFT JOIN one p ON p.doc_id = s.doc_id + i + 1),
     label AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN ['Head','Hand','Body','Feet'][i + 1] ELSE ['Planar Sphere','Link Rope'][i + 1] END AS label FROM part),
-    whole AS (SELECT doc_id, coalesce(string_agg({_folded('t')}, ' ' ORDER BY i) FILTER (t <> ''), '') AS raw_text,
+    whole AS (SELECT doc_id, coalesce(string_agg(t, ' ' ORDER BY i) FILTER (t <> ''), '') AS raw_text,
                      string_agg('missing_piece_description:' || label, ',' ORDER BY i) FILTER (t = '') AS lost, min(doc_id + i + 1) FILTER (pid IS NULL) AS gone FROM label GROUP BY doc_id)
     SELECT 'relic-set-set-' || doc_id AS id, '4★ ' || CASE WHEN doc_id % 2 = 0 THEN 'Relic Set' ELSE 'Planar Ornament' END AS subtitle, raw_text, 'P' || gone AS error,
-      concat_ws(',', lost, CASE WHEN raw_text = '' THEN 'no_lore_text' END, CASE WHEN raw_text <> '' AND length(raw_text) < 10 THEN 'flavor_text_too_short' END) AS flags FROM whole"""
+      concat_ws(',', lost, CASE WHEN raw_text = '' THEN 'no_lore_text' END, CASE WHEN length(raw_text) > {builders.RELIC_MAX} THEN 'flavor_text_unexpectedly_long' END, CASE WHEN raw_text <> '' AND length(raw_text) < 10 THEN 'flavor_text_too_short' END) AS flags FROM whole"""
 )
 def relic_set_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
@@ -568,25 +588,26 @@ def relic_set_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     cavern = F.concat(*[link(f, i + 1) for i, (f, _) in enumerate(builders.CAVERN)])
     planar = F.concat(*[link(f, i + 1) for i, (f, _) in enumerate(builders.PLANAR)])
     sets = docs(spark, sf_dir).select(F.concat(F.lit("Set "), d.cast("string")).alias("title"), F.concat(F.lit("{{Set\n|rarity = 3★4★\n"), F.when(d % 2 == 0, cavern).otherwise(planar), F.lit("}}")).alias("wikitext"))
-    body = F.when(d % 4 == 0, "").otherwise(_piece())
+    body = F.when(d % 4 == 0, "").otherwise(F.coalesce(_piece(), F.lit("")))
     pages = docs(spark, sf_dir).select(F.concat(F.lit("P"), d.cast("string")).alias("title"), F.concat(F.lit("==Description==\n"), body, F.lit("\n==Next==\nz")).alias("wikitext"))
     return builders.relic_sets(sets, pages).select("id", "subtitle", "raw_text", "error", F.array_join("qa_flags", ",").alias("flags"))
 
 
 @query(
-    f"""WITH one AS (SELECT doc_id, lang, {_folded(_piece_sql(6000))} AS t FROM documents WHERE {_piece_sql(6000)} <> '')
+    f"""WITH one AS (SELECT doc_id, lang, {_folded(_PIECE)} AS t FROM documents WHERE {_folded(_PIECE)} <> '')
     SELECT 'character-story-c-' || doc_id || '-' || n AS id, 'C ' || doc_id || ' — Story ' || n AS name, 'Character Story ' || place || ' of 2 · C ' || doc_id AS subtitle, t AS raw_text,
       {_LENGTHS.format(t='t', most=builders.STORY_MAX)} AS flags FROM one, (VALUES (1, 1), (4, 2)) AS v(n, place)"""
 )
 def character_story_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = F.concat(F.lit("x {{Character Story|text1 = "), _piece(6000), F.lit("|text2 = |mention1=[[a|b]]|text4="), _piece(6000), F.lit("}}"))
-    lore = docs(spark, sf_dir).filter(_piece(6000) != "").select(F.concat(F.lit("C "), F.col("doc_id").cast("string")).alias("name"), page.alias("wikitext"))
+    text = F.coalesce(_piece(), F.lit(""))
+    page = F.concat(F.lit("x {{Character Story|text1 = "), text, F.lit("|text2 = |mention1=[[a|b]]|text4="), text, F.lit("}}"))
+    lore = docs(spark, sf_dir).select(F.concat(F.lit("C "), F.col("doc_id").cast("string")).alias("name"), page.alias("wikitext"))
     return builders.character_stories(lore).select("id", "name", "subtitle", "raw_text", F.array_join("qa_flags", ",").alias("flags"))
 
 
 @query()
 def light_cone_records_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``light_cone_records``, from whole texts as they are."""
+    """As ``light_cone_records``, of texts as they are."""
     d = F.col("doc_id")
     box = F.concat(F.lit("{{Box\n|rarity = "), F.when(d % 3 == 0, "?").otherwise("5"), F.lit("\n|effect_path = "), F.col("lang"), F.lit("\n}}"))
     told = F.when(d % 5 == 0, "").otherwise(F.concat(F.lit("{{Description|"), _whole(), F.lit(" [[a|link]]}}")))
@@ -596,7 +617,7 @@ def light_cone_records_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def relic_set_records_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``relic_set_records``, from whole texts as they are."""
+    """As ``relic_set_records``, of texts as they are."""
     d = F.col("doc_id")
     link = lambda field, i: F.concat(F.lit(f"|{field} = P"), (d + i).cast("string"), F.lit("\n"))
     cavern = F.concat(*[link(f, i + 1) for i, (f, _) in enumerate(builders.CAVERN)])
@@ -609,7 +630,7 @@ def relic_set_records_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def character_story_records_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``character_story_records``, from whole texts as they are."""
+    """As ``character_story_records``, of texts as they are."""
     page = F.concat(F.lit("x {{Character Story|text1 = "), _whole(), F.lit("|text2 = |mention1=[[a|b]]|text4="), _whole(), F.lit("}}"))
     lore = docs(spark, sf_dir).select(F.concat(F.lit("C "), F.col("doc_id").cast("string")).alias("name"), page.alias("wikitext"))
     return builders.character_stories(lore).select("id", "name", "subtitle", "raw_text", F.array_join("qa_flags", ",").alias("flags"))

@@ -28,7 +28,7 @@ def rows(spark, sf, name, key="doc_id"):
 
 
 def test_page_url(spark, sf):
-    got = rows(spark, sf, "page_url_whole")
+    got = rows(spark, sf, "page_url")
     assert {i: r["url"] for i, r in got.items()} == {i: t and "https://w/" + quote(t.replace(" ", "_"), safe="/:()',!&") for i, t in TEXTS.items()}
 
 
