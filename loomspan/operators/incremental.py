@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import text_hash
 from ..functions.qa import other_flags, short_text_flags
+from ..sources.json_array import exists
 
 Model = Callable[[str], str]
 
@@ -86,6 +88,48 @@ def paraphrase_some(entries: DataFrame, template: str, version: str, limit: int,
     return entries.join(done.select("pos"), "pos", "left_anti").unionByName(done)
 
 
+def _batched(entries: DataFrame) -> T.StructType:
+    return T.StructType([*entries.schema.fields, T.StructField("batch", T.IntegerType())])
+
+
+def resumed(entries: DataFrame, folder: str) -> DataFrame:
+    """The entries with what earlier batches under ``folder`` wrote: of each ``pos`` the last batch's row, unless the source text has
+    changed since. No folder: the entries as they are. A batch that was cut off has no committed files and is not read."""
+    spark = entries.sparkSession
+    if not exists(spark, folder):
+        return entries
+    rows = spark.read.schema(_batched(entries)).parquet(folder)
+    row = F.struct(*[F.col(c) for c in entries.columns])
+    last = rows.groupBy(F.col("pos").alias("_pos")).agg(F.max_by(row, "batch").alias("_done"))
+    both = entries.join(last, F.col("pos") == F.col("_pos"), "left")
+    holds = F.col("_done").isNotNull() & F.col("_done.raw_text").eqNullSafe(F.col("raw_text"))
+    return both.select(*[F.when(holds, F.col(f"_done.{c}")).otherwise(F.col(c)).alias(c) for c in entries.columns])
+
+
+def paraphrase_batches(entries: DataFrame, folder: str, template: str, version: str, limit: int | None = None, model: Model = first_words, batch: int = 1000) -> dict[str, int]:
+    """Paraphrase stale rows in ``pos`` order, each batch written to ``folder/batch=N`` before the next begins, until ``limit`` rows
+    have succeeded (None: all). After an interruption the same call goes on behind the last written batch; rows that failed are tried
+    again. Returns the counts of this run: processed (succeeded) and errors. Read the result by :func:`resumed`."""
+    spark, counts, last = entries.sparkSession, {"processed": 0, "errors": 0}, None
+    number = 0
+    if exists(spark, folder):
+        number = 1 + (spark.read.schema(_batched(entries)).parquet(folder).agg(F.max("batch")).first()[0] or 0)
+    due = resumed(entries, folder).filter(is_stale(version))
+    while limit is None or counts["processed"] < limit:
+        most = batch if limit is None else min(batch, limit - counts["processed"])
+        rows = (due if last is None else due.filter(F.col("pos") > last)).orderBy("pos").limit(most)
+        path = f"{folder}/batch={number}"
+        paraphrase(rows, template, version, model).write.mode("overwrite").parquet(path)
+        failed = F.array_contains("qa_flags", "paraphrase_error")
+        seen = spark.read.schema(entries.schema).parquet(path).agg(F.count("*").alias("n"), F.count_if(failed).alias("bad"), F.max("pos").alias("last")).first()
+        if not seen["n"]:
+            break
+        counts["processed"] += seen["n"] - seen["bad"]
+        counts["errors"] += seen["bad"]
+        last, number = seen["last"], number + 1
+    return counts
+
+
 def revalidate(entries: DataFrame) -> DataFrame:
     """Fresh flags for rows with a short text, after the flags a validation does not own; ``changed`` tells where they differ."""
     held = F.coalesce("qa_flags", F.array().cast("array<string>"))

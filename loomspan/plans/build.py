@@ -7,33 +7,59 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connection_cycle, entity_index
 from ..operators.merge import merge_entries, merge_stats
-from ..sources.json_array import read_array, union_sources
+from ..sources.json_array import exists, read_array, union_sources
 
 
 def indexed(entries: DataFrame) -> DataFrame:
     return entity_index(entries.select(F.col("pos").alias("entry_pos"), F.col("id").alias("entry_id"), "category", "name", "raw_text", "reviewed", "qa_flags"))
 
 
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """Entries with ``pos``, from a JSON array or from the newest version an earlier build left under ``path``; empty if neither is there."""
+    at = newest(spark, path)
+    if at is not None:
+        return spark.read.parquet(f"{path}/v={at}/entries")
+    return read_array(spark, path).withColumn("pos", F.col("pos").cast("long"))
+
+
+def newest(spark: SparkSession, path: str) -> int | None:
+    """The last version under ``path`` whose build came to its end; the cycle is written last."""
+    found, n = None, 0
+    while exists(spark, f"{path}/v={n}"):
+        found = n if exists(spark, f"{path}/v={n}/cycle/_SUCCESS") else found
+        n += 1
+    return found
+
+
 def build_corpus(spark: SparkSession, corpus: str, sources: dict[str, str], out: str, today: str, seed: str) -> dict[str, DataFrame]:
     """Merge the sources (category to file; missing files are skipped) into ``corpus`` and write entries, entities and cycle as
-    Parquet under ``out``; the folder is complete or absent per table, as Spark commits each write. Returns tables read back."""
-    existing = read_array(spark, corpus).withColumn("pos", F.col("pos").cast("long"))
+    Parquet under a new version of ``out``. ``corpus`` is a JSON array or the ``out`` of an earlier build, this one's included: a
+    version is never overwritten while it is read, and one whose build was cut off is not read. Returns tables read back."""
+    existing = read_corpus(spark, corpus)
     new = union_sources(spark, sources)
     stats = merge_stats(existing, new)
-    merge_entries(existing, new, today).write.mode("overwrite").parquet(f"{out}/entries")
-    entries = spark.read.parquet(f"{out}/entries")
-    indexed(entries).write.mode("overwrite").parquet(f"{out}/entities")
-    entities = spark.read.parquet(f"{out}/entities")
-    connection_cycle(entities, seed).write.mode("overwrite").parquet(f"{out}/cycle")
-    return {"entries": entries, "entities": entities, "cycle": spark.read.parquet(f"{out}/cycle"), "stats": stats}
+    at = newest(spark, out)
+    folder = f"{out}/v={0 if at is None else at + 1}"
+    merged = merge_entries(existing, new, today)
+    # new rows come after all there are
+    last = existing.agg(F.coalesce(F.max("pos"), F.lit(-1))).first()[0]
+    merged.withColumn("pos", merged["pos._pos"] + merged["pos._src"] * (last + 1)).write.mode("overwrite").parquet(f"{folder}/entries")
+    entries = spark.read.parquet(f"{folder}/entries")
+    indexed(entries).write.mode("overwrite").parquet(f"{folder}/entities")
+    entities = spark.read.parquet(f"{folder}/entities")
+    connection_cycle(entities, seed).write.mode("overwrite").parquet(f"{folder}/cycle")
+    return {"entries": entries, "entities": entities, "cycle": spark.read.parquet(f"{folder}/cycle"), "stats": stats}
 
 
 def entities_file(entities: DataFrame, cycle: DataFrame, start: str) -> DataFrame:
-    """One row: generated_at, entity_count, cycle_start_date and the cycle's ids in order. Entities stay a table."""
-    rows = cycle.select(F.lit(None).cast("boolean").alias("entity"), "pos", "id").union(entities.select(F.lit(True), F.lit(None), F.lit(None)))
-    # the arrays hold the cycle alone: collect_list skips nulls
-    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))), lambda x: x["id"])
-    return rows.agg(F.count("entity").alias("entity_count"), listed.alias("cycle")).select(F.current_timestamp().alias("generated_at"), "entity_count", F.lit(start).alias("cycle_start_date"), "cycle")
+    """One row: generated_at, entity_count, cycle_start_date, the cycle's ids in order and the entities by id. This is the exchange
+    format of a site, one row that holds everything; a large graph stays a table."""
+    told = ("id", "name", "kind", "category_span", "entry_count", "category_counts", "entry_ids")
+    # by the ids alone, as maps have no order
+    by_id = lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
+    ids = cycle.agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("c"), F.lit(0).alias("one")).select(F.transform("c", lambda x: x["id"]).alias("cycle"), "one")
+    rows = entities.agg(F.count("*").alias("entity_count"), F.array_sort(F.collect_list(F.struct(*told)), by_id).alias("entities"), F.lit(0).alias("one"))
+    return rows.join(ids, "one").select(F.current_timestamp().alias("generated_at"), "entity_count", F.lit(start).alias("cycle_start_date"), "cycle", "entities")
 
 
 def run_summary(entries: DataFrame) -> DataFrame:

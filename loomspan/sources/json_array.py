@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,14 +35,10 @@ def write_array(df: DataFrame, path: str, order: str = "pos") -> None:
 
 
 def union_sources(spark: SparkSession, paths: dict[str, str], schema: T.StructType = ENTRY) -> DataFrame:
-    """All category files in registry order as one batch; ``pos`` keeps that order. The label decides nothing but the order."""
-    out = None
+    """All category files in registry order as one batch; ``pos`` keeps that order. The label decides nothing but the order; an empty
+    registry is an empty batch."""
+    out = spark.createDataFrame([], T.StructType([T.StructField("pos", T.LongType()), *schema.fields]))
     for rank, path in enumerate(paths.values()):
         rows = read_array(spark, path, schema).withColumn("pos", F.col("pos").cast("long") + rank * (1 << 40))
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        out = out.unionByName(rows, allowMissingColumns=True)
     return out
-
-
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """Adds ``pos`` from 0 in the given order."""
-    return df.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)

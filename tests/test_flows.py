@@ -68,6 +68,25 @@ def test_paraphrase_limit_counts_successes(spark):
     assert sorted(r["id"] for r in got.filter("short_text is not null").collect()) == ["1", "3"] and got.count() == 5
 
 
+def test_paraphrase_resumes_from_written_batches(spark, tmp_path):
+    df = tracked(spark, *({"name": n} for n in ["n", "bad", "n", "n", "n"]), {"name": "n", "raw_text": ""})
+    folder, calls = str(tmp_path / "b"), spark.sparkContext.accumulator(0)
+
+    def counted(prompt):
+        calls.add(1)
+        return model(prompt)
+
+    assert incremental.paraphrase_batches(df, folder, "{name}", "v1", limit=2, model=counted, batch=2) == {"processed": 2, "errors": 1}
+    assert calls.value == 3
+    (tmp_path / "b/batch=9/_temporary").mkdir(parents=True)  # a batch that was cut off
+    assert incremental.paraphrase_batches(df, folder, "{name}", "v1", model=counted, batch=2) == {"processed": 2, "errors": 1}
+    assert calls.value == 6  # the failed row and the two that were left
+    got = {r["id"]: r for r in incremental.resumed(df, folder).collect()}
+    assert len(got) == 6 and [i for i, r in sorted(got.items()) if r["short_text"]] == ["0", "2", "3", "4"] and got["1"]["qa_flags"] == ["paraphrase_error"]
+    changed = incremental.resumed(df.withColumn("raw_text", F.when(F.col("pos") == 0, "Another text, since then.").otherwise(F.col("raw_text"))), folder)
+    assert {r["id"] for r in changed.filter(incremental.is_stale("v1")).collect()} == {"0", "1"}
+
+
 def test_revalidate_keeps_other_flags(spark):
     df = tracked(spark, {"name": "n", "short_text": "short", "qa_flags": ["paraphrase_error", "short_text_too_long", "x", "x"]}, {"name": "n", "qa_flags": ["short_text_too_long"]})
     got = {r["id"]: (r["qa_flags"], r["changed"]) for r in incremental.revalidate(df).collect()}
@@ -133,11 +152,27 @@ def test_json_arrays_and_build(spark, tmp_path):
     out = build_corpus(spark, str(tmp_path / "none.json"), {"x": str(tmp_path / "a.json"), "y": str(tmp_path / "missing.json")}, str(tmp_path / "out"), "2025-01-01", "seed")
     assert out["stats"].first()["added"] == 3 and out["entities"].count() == 1 and [r["id"] for r in out["cycle"].collect()] == ["silver-guard-of-old-town"]
     assert entities_file(out["entities"], out["cycle"], "2025-01-01").first()["entity_count"] == 1
+    whole = entities_file(out["entities"], out["cycle"], "2025-01-01").first()
+    assert [e["id"] for e in whole["entities"]] == whole["cycle"] == ["silver-guard-of-old-town"]
     json_array.write_array(json_array.read_array(spark, str(tmp_path / "a.json")), str(tmp_path / "b"))
     back = json_array.read_array(spark, str(tmp_path / "b"))
     assert [r["id"] for r in back.orderBy("pos").collect()] == ["n0", "n1", "n2"]
 
 
+def test_build_runs_on_its_own_output(spark, tmp_path):
+    base = {"category": "light_cone", "short_text": "s", "raw_text": "x", "raw_text_hash": "h", "qa_flags": []}
+    (tmp_path / "a.json").write_text(json.dumps([base | {"id": n, "name": n} for n in ("A", "B")]), encoding="utf-8")
+    (tmp_path / "b.json").write_text(json.dumps([base | {"id": n, "name": n} for n in ("C", "B", "D")]), encoding="utf-8")
+    out = str(tmp_path / "out")
+    build = lambda name, day: build_corpus(spark, out, {"x": str(tmp_path / name)} if name else {}, out, day, "seed")
+    assert build("a.json", "2025-01-01")["stats"].first()["added"] == 2
+    again = build("b.json", "2025-01-02")
+    assert again["stats"].first().asDict() == {"added": 2, "updated": 0, "unchanged": 1, "skipped_no_short_text": 0, "held_back_flagged": 0}
+    assert [(r["id"], r["date_added"]) for r in again["entries"].orderBy("pos").collect()] == [("A", "2025-01-01"), ("B", "2025-01-01"), ("C", "2025-01-02"), ("D", "2025-01-02")]
+    none = build("", "2025-01-03")
+    assert none["stats"].first()["added"] == 0 and [r["id"] for r in none["entries"].orderBy("pos").collect()] == ["A", "B", "C", "D"]
+
+
 def test_daily_pick_of_a_long_cycle(spark):
     """Two hundred thousand positions, a third of them live: every day's pick against a plain walk."""
     n = 200_000
