@@ -9,7 +9,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 4. mixing: rows are taken as often as the source mix asks (none, once or twice).
 5. packing: sequences of at most 4096 tokens.
 
-Empty tables pass through every stage; null texts have no words and so end at the mixing stage.
+Defined results: empty tables pass through every stage; null, empty and word-less texts are no near duplicates, have no secrets and
+end at the mixing stage; a null source is a source of its own; repeated rows are near duplicates of each other, so one of them stays;
+of equal texts the smallest doc_id stays; very long texts are read whole and packed in pieces; extra columns are kept, whatever their
+names, up to the packing stage, which ignores them.
 """
 
 from __future__ import annotations
@@ -49,7 +52,7 @@ STAGES = [
     ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("packing", packing),
 ]
 
-#: Stages 1, 2, 4 and 5 are not expressible in SQL; the pipeline is tested by invariants, the operators by their own tests.
+#: Stages 1, 4 and 5 are not expressible in SQL; every stage is tested against a plain version, one document after another.
 ORACLE_SQL = None
 
 
