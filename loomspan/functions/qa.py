@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .context import opens_sentence
 from .names import noun_form
-from .regex import CLOSE, segments, strip
+from .regex import CLOSE, bind, segments, strip
 
 # Length limits, refusal phrases, scripts, words that are no nouns, and the flags a revalidation owns.
 MIN_LENGTH, MAX_LENGTH = 40, 280
@@ -59,8 +59,9 @@ def short_text_flags(short: Column, raw: Column, name: Column) -> Column:
     refusal = F.lit(False)
     for marker in REFUSALS:
         refusal = refusal | low.contains(marker)
-    known = F.array_union(proper_nouns(raw, True), proper_nouns(name, False))
-    invented = F.size(F.array_except(proper_nouns(short, True), known)) > 0
+    # the source, by far the longest text, is searched only where the short text has nouns that are not in the name
+    open_ = F.array_except(proper_nouns(short, True), proper_nouns(name, False))
+    invented = bind(open_, lambda nouns: F.when(F.size(nouns) > 0, F.size(F.array_except(nouns, proper_nouns(raw, True))) > 0).otherwise(False))
     found = flags(
         ("short_text_too_short", F.length(short) < MIN_LENGTH), ("short_text_too_long", F.length(short) > MAX_LENGTH),
         ("short_text_identical_to_raw", strip(short) == strip(raw)), ("possible_refusal_artifact", refusal),
