@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, StructType
 
 from ..functions.names import merge_name
 from ..functions.qa import has_flags
@@ -51,16 +52,38 @@ def merge_entries(existing: DataFrame, new: DataFrame, today: str) -> DataFrame:
     return j.select(*[F.col(f"_row.{f}").alias(f) for f in fields], reviewed.alias("reviewed"), added.alias("date_added"), updated.alias("date_updated"), F.col("_first").alias("pos"))
 
 
-def merge_stats(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """One row: added, updated, unchanged, skipped_no_short_text, held_back_flagged (which overlaps the first three)."""
+def _stretch(pos: Column, kind: DataType, rows: int) -> Column:
+    """``pos`` in stretches of ``rows`` that keep its order; of a struct the last field is cut. Other types are one stretch."""
+    if isinstance(kind, StructType) and kind.names:
+        head = [pos[n].alias(n) for n in kind.names[:-1]]
+        return F.struct(*head, _stretch(pos[kind.names[-1]], kind.fields[-1].dataType, rows).alias("stretch"))
+    return F.floor(pos / rows) if isinstance(kind, IntegralType) else F.lit(0)
+
+
+def merge_stats(existing: DataFrame, new: DataFrame, stretch_rows: int = 65_536) -> DataFrame:
+    """One row: added, updated, unchanged, skipped_no_short_text, held_back_flagged (which overlaps the first three).
+
+    Rows of a merge key are compared with the one before in stretches of ``stretch_rows`` positions; the window over a whole key
+    sees one row per stretch, its first and last hash, so a key shared by very many rows is no hot task.
+    """
     seq = _sequence(existing, new).select("category", "_key", "_src", "_pos", F.col("_row.raw_text_hash").alias("hash"), has_flags(F.col("_row.qa_flags")).alias("flagged"))
-    w = Window.partitionBy("category", "_key").orderBy("_src", "_pos")
-    chain = seq.withColumn("was", F.lag("hash").over(w)).withColumn("first", F.row_number().over(w) == 1).filter("_src = 1")
-    zero = F.lit(0).cast("long")
-    done = chain.agg(
-        F.count_if("first").alias("added"), F.count_if(~F.col("first") & ~F.col("was").eqNullSafe(F.col("hash"))).alias("updated"),
-        F.count_if(~F.col("first") & F.col("was").eqNullSafe(F.col("hash"))).alias("unchanged"), zero.alias("skipped_no_short_text"), F.count_if("flagged").alias("held_back_flagged"),
-    )
+    seq = seq.withColumn("_part", _stretch(F.col("_pos"), seq.schema["_pos"].dataType, stretch_rows))
+    key, part, zero = ["category", "_key"], ["_src", "_part"], F.lit(0).cast("long")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        same = F.col("was").eqNullSafe(F.col("hash"))
+        return rows.filter("_src = 1").agg(
+            F.count_if("first").alias("added"), F.count_if(~F.col("first") & ~same).alias("updated"), F.count_if(~F.col("first") & same).alias("unchanged"),
+            zero.alias("skipped_no_short_text"), F.count_if("flagged").alias("held_back_flagged"),
+        )
+
+    w = Window.partitionBy(*key, *part).orderBy("_pos")
+    inner = seq.withColumn("was", F.lag("hash").over(w)).withColumn("n", F.row_number().over(w)).filter("n > 1").withColumn("first", F.lit(False))
+    told = F.struct("hash", "flagged")
+    ends = seq.groupBy(*key, *part).agg(F.min_by(told, "_pos").alias("head"), F.max_by(told, "_pos").alias("tail"))
+    over = Window.partitionBy(*key).orderBy(*part)
+    heads = ends.select("_src", "head.*", F.lag("tail.hash").over(over).alias("was"), (F.row_number().over(over) == 1).alias("first"))
     bare = F.count_if(F.coalesce("short_text", F.lit("")) == "")
     skipped = new.agg(zero.alias("added"), zero.alias("updated"), zero.alias("unchanged"), bare.alias("skipped_no_short_text"), zero.alias("held_back_flagged"))
-    return done.union(skipped).agg(*[F.sum(c).alias(c) for c in done.columns])
+    done = counted(inner).union(counted(heads)).union(skipped)
+    return done.agg(*[F.sum(c).alias(c) for c in done.columns])

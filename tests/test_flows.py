@@ -1,5 +1,6 @@
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,27 @@ def test_merge_repeated_keys_and_null_hashes(spark):
     assert merged(spark, [], []) == ([], {"added": 0, "updated": 0, "unchanged": 0, "skipped_no_short_text": 0, "held_back_flagged": 0})
 
 
+@pytest.mark.parametrize("stretch_rows", [1, 3, 65_536])
+def test_merge_stats_of_hot_keys_match_a_plain_count(spark, stretch_rows):
+    r = random.Random(stretch_rows)
+    make = lambda n: [{"name": r.choice("AAAAAB"), "raw_text_hash": r.choice(["x", "y", None]), "qa_flags": r.choice([[], ["f"]]), "short_text": r.choice(["s", "s", "s", ""])} for _ in range(n)]
+    old, new = make(40), make(90)
+    last, want = {}, dict.fromkeys(["added", "updated", "unchanged", "skipped_no_short_text", "held_back_flagged"], 0)
+    for x in old:
+        last[x["name"]] = x["raw_text_hash"]
+    for x in new:
+        if not x["short_text"]:
+            want["skipped_no_short_text"] += 1
+            continue
+        want["added" if x["name"] not in last else "unchanged" if last[x["name"]] == x["raw_text_hash"] else "updated"] += 1
+        want["held_back_flagged"] += bool(x["qa_flags"])
+        last[x["name"]] = x["raw_text_hash"]
+    plain, told = rows(spark, *old), rows(spark, *new)
+    assert merge.merge_stats(plain, told, stretch_rows).first().asDict() == want
+    nested = lambda df: df.withColumn("pos", F.struct(F.lit(0).alias("file"), F.col("pos").alias("at")))
+    assert merge.merge_stats(nested(plain), nested(told), stretch_rows).first().asDict() == want
+
+
 def tracked(spark, *items):
     base = {"category": "c", "raw_text": "Some raw text which is long enough for all.", "short_text": None, "raw_text_hash": None, "prompt_version": None, "qa_flags": None}
     names = ["pos", "id", "category", "name", "raw_text", "short_text", "raw_text_hash", "prompt_version", "qa_flags"]
