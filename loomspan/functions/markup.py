@@ -96,6 +96,7 @@ def _blocks(match: Column) -> Column:
 
 def clean_text(raw: Column) -> Column:
     """Markup to plain text. The order of the rewrites is part of the result."""
+    # The patterns of the rewrites, in their order.
     c = F.regexp_replace(raw, rf"(?iU)<br{WS}*/?>", " ")
     c = F.regexp_replace(c, r"(?d)'''?(.*?)'''?", "$1")
     c = F.regexp_replace(c, r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1")
