@@ -15,36 +15,36 @@ def one(spark, value, f, *more):
     return df.select(f(*[F.col(c) for c in cols]).alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("a, b", [("Cloud Knights", "cloud knight"), ("Herta's", "Herta"), ("Herta’s", "Herta")])
+@pytest.mark.parametrize("a, b", [("River Wardens", "river warden"), ("Marta's", "Marta"), ("Marta’s", "Marta")])
 def test_keys_fold_variants(spark, a, b):
     assert one(spark, a, names.canonical_key) == one(spark, b, names.canonical_key)
 
 
-@pytest.mark.parametrize("surface, key", [("The Herta", "the herta"), ("Ras", "ras"), ("Knights'", "knights'"), ("Glass", "glas")])
+@pytest.mark.parametrize("surface, key", [("The Marta", "the marta"), ("Lis", "lis"), ("Wardens'", "wardens'"), ("Cross", "cros")])
 def test_key_values(spark, surface, key):
     assert one(spark, surface, names.canonical_key) == key
 
 
 @pytest.mark.parametrize(
-    "surface, bare", [("Madam Herta", "Herta"), ("Dr. Ratio", "Ratio"), ("Madam", "Madam"), ("Master of Destruction", "Master of Destruction"), ("Master Yang", "Yang"), ("Lord Master Yang", "Yang")]
+    "surface, bare", [("Madam Orla", "Orla"), ("Dr. Quill", "Quill"), ("Madam", "Madam"), ("Master of Ships", "Master of Ships"), ("Master Finn", "Finn"), ("Lord Master Finn", "Finn")]
 )
 def test_honorifics(spark, surface, bare):
     assert one(spark, surface, names.strip_honorific) == bare
 
 
 def test_slugs_and_hashes(spark):
-    assert one(spark, "Xianzhou Luofu", names.entity_slug) == "xianzhou-luofu"
+    assert one(spark, "Harbour Light", names.entity_slug) == "harbour-light"
     assert one(spark, "一二", names.entity_slug) == "unnamed"
     assert one(spark, "A  b!", lambda c: names.slug(c, "light-cone")) == "light-cone-a-b"
     assert one(spark, "A b", lambda c: names.slug(c, "character-story", F.lit(3))) == "character-story-a-b-3"
-    assert one(spark, "Dan Heng • X", names.merge_name) == "danhengx"
+    assert one(spark, "Jon Ash • X", names.merge_name) == "jonashx"
     row = spark.sql("select map('b', '1', 'a', 'x y') as m").select(names.request_hash(F.col("m")).alias("h")).first()
     import hashlib, json  # noqa: E401
 
     assert row["h"] == hashlib.sha256(json.dumps({"b": "1", "a": "x y"}, sort_keys=True).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("title", ["A b", "It's (a) test, ok!", "Himeko • Nova", "A/B:c&d", "100%~*é"])
+@pytest.mark.parametrize("title", ["A b", "It's (a) test, ok!", "Mira • Dusk", "A/B:c&d", "100%~*é"])
 def test_page_url(spark, title):
     assert one(spark, title, lambda c: names.page_url(c, "w/")) == "w/" + quote(title.replace(" ", "_"), safe="/:()',!&")
 
@@ -95,11 +95,11 @@ def test_short_text_flags(spark):
     assert flags(spark, f" {same}\n", same) == ["short_text_identical_to_raw"]
     assert flags(spark, "I cannot say what this is about, " + base) == ["possible_refusal_artifact"]
     assert flags(spark, base + " reveals the代价") == ["possible_untranslated_text"]
-    assert flags(spark, "Then came a long story about old Belobog and more") == ["possible_hallucinated_name"]
-    assert flags(spark, "Then came a long story of the Belobog's people here", "x fled to Belobogs. Now") == []
-    assert flags(spark, "a long story about the noble Knight of the old city", "many Knights' deeds are told here. See Mr. Svarog") == []
-    assert flags(spark, "a long story about the noble Knight of the old city", "nobles. Knights") == ["possible_hallucinated_name"]
-    assert flags(spark, "a long story about the noble Knight of the old city", "the Knights' deeds") == []
+    assert flags(spark, "Then came a long story about old Ostrava and more") == ["possible_hallucinated_name"]
+    assert flags(spark, "Then came a long story of the Ostrava's people here", "x fled to Ostravas. Now") == []
+    assert flags(spark, "a long story about the noble Warden of the old city", "many Wardens' deeds are told here. See Mr. Halvar") == []
+    assert flags(spark, "a long story about the noble Warden of the old city", "nobles. Wardens") == ["possible_hallucinated_name"]
+    assert flags(spark, "a long story about the noble Warden of the old city", "the Wardens' deeds") == []
 
 
 def test_length_flags_and_eligibility(spark):
