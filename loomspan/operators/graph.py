@@ -92,16 +92,28 @@ def ranked(entities: DataFrame) -> DataFrame:
     return entities.orderBy(*[f(c) for f, c in RANK])
 
 
+def _resolved(entries: DataFrame, aliases: dict[str, str], gated: bool) -> DataFrame:
+    """Mentions of eligible entries with key, canonical and kind."""
+    rows = entries.filter(is_eligible(F.col("reviewed"), F.col("qa_flags"))) if gated else entries
+    found = mentions(rows.select("entry_pos", "entry_id", "category", "raw_text")).persist()
+    forms = surface_forms(found, confirmed_words(found))
+    return resolve(forms, gazetteer(rows.select("entry_pos", "category", "name")), alias_table(entries.sparkSession, aliases))
+
+
 def entity_index(entries: DataFrame, aliases: dict[str, str] = ALIASES, gated: bool = True) -> DataFrame:
     """Entities of eligible entries: id, name, kind, entry_ids, entry_count, category_counts, category_span, key, first.
 
-    ``entries`` has entry_pos (total order), entry_id, category, name, raw_text, and reviewed and qa_flags if ``gated``.
+    ``entries`` has entry_pos (total order), entry_id, category, name, raw_text, and reviewed and qa_flags if ``gated``. ``entry_ids``
+    is an array for exchange, gathered only if it is selected; counts and ids need none, and :func:`entity_links` has rows.
     """
-    rows = entries.filter(is_eligible(F.col("reviewed"), F.col("qa_flags"))) if gated else entries
-    found = mentions(rows.select("entry_pos", "entry_id", "category", "raw_text")).persist()
-    forms = surface_forms(found, confirmed_words(found))
-    resolved = resolve(forms, gazetteer(rows.select("entry_pos", "category", "name")), alias_table(entries.sparkSession, aliases))
-    return with_ids(entity_nodes(resolved))
+    return with_ids(entity_nodes(_resolved(entries, aliases, gated)))
+
+
+def entity_links(entries: DataFrame, aliases: dict[str, str] = ALIASES, gated: bool = True) -> DataFrame:
+    """(id, entry_id): the same entities' entries as rows, so that an entity of very many entries is never one array."""
+    resolved = _resolved(entries, aliases, gated)
+    ids = with_ids(entity_nodes(resolved)).select("key", "id")
+    return resolved.select("key", "entry_id").distinct().join(ids, "key").select("id", "entry_id")
 
 
 def graph_totals(entities: DataFrame) -> DataFrame:

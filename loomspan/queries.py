@@ -213,7 +213,7 @@ def browse_filter_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM one o JOIN entry e USING (entry_id)"""
 )
 def evidence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = index(spark, sf_dir).select(F.col("id").alias("entity_id"), F.explode("entry_ids").alias("entry_id"))
+    pairs = graph.entity_links(entries(spark, sf_dir)).select(F.col("id").alias("entity_id"), "entry_id")
     rows = entries(spark, sf_dir).select("entry_id", "category", F.col("entry_id").alias("name"))
     return serving.evidence(pairs, rows).select("entity_id", "entry_id", F.col("place").cast("long").alias("place"))
 
