@@ -17,6 +17,7 @@ from .fingerprints import fingerprint_documents
 from .license_scan import licence_digest
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
+from .online_packing import pack_online
 from .packing import best_fit_packing
 from .pii import pii_digest
 from .secret_scan import secret_digest
@@ -67,11 +68,15 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op12_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_online(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048, end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_toxicity, op3_best_fit_packing, op4_source_mix, op5_url_filter, op6_pii, op7_ngram_join, op8_license_scan,
-        op9_secret_scan, op10_exact_topk,
+        op9_secret_scan, op10_exact_topk, op12_online_packing,
     )
 }
 
