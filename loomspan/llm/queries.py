@@ -24,6 +24,7 @@ from .secret_scan import secret_digest
 from .topk import exact_top_k
 from .toxicity import toxicity
 from .url_filter import judge_pages
+from .whitening import whiten
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -72,11 +73,15 @@ def op12_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_online(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048, end_id=1)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_toxicity, op3_best_fit_packing, op4_source_mix, op5_url_filter, op6_pii, op7_ngram_join, op8_license_scan,
-        op9_secret_scan, op10_exact_topk, op12_online_packing,
+        op9_secret_scan, op10_exact_topk, op12_online_packing, op13_embedding_whitening,
     )
 }
 
