@@ -1,7 +1,7 @@
 """The registered query of every training-data operator, with production parameters, over its whole table.
 
-Fingerprints, toxicity, packing, mixing (which documents it takes), PII candidates and licence scores are not expressible in
-SQL; their tests hold them against brute-force versions or held-out accuracy.
+Fingerprints, toxicity, packing, mixing (which documents it takes), PII candidates, licence scores, token alignment and whitening are not
+expressible in SQL; their tests hold them against brute-force versions or held-out accuracy.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import secret_scan, url_filter
+from .alignment import align_tokens
 from .common import table
 from .fingerprints import fingerprint_documents
 from .license_scan import licence_digest
@@ -27,6 +28,7 @@ from .url_filter import judge_pages
 from .whitening import whiten
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER, PIECE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +71,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER)
+
+
 def op12_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_online(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048, end_id=1)
 
@@ -81,7 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_toxicity, op3_best_fit_packing, op4_source_mix, op5_url_filter, op6_pii, op7_ngram_join, op8_license_scan,
-        op9_secret_scan, op10_exact_topk, op12_online_packing, op13_embedding_whitening,
+        op9_secret_scan, op10_exact_topk, op11_token_alignment, op12_online_packing, op13_embedding_whitening,
     )
 }
 
