@@ -42,6 +42,8 @@ _KINDS = pa.schema([*_LONGS(("doc_id", *COUNTS, "n_best", "count_sum")), ("group
 _HELD = pa.schema([*_LONGS(("doc_id", *COUNTS)), ("groups_sha256", pa.string()), ("links", pa.list_(pa.int32()))])
 #: A pair of ids is one number, A's id in the high bits.
 _B_BITS = 32
+#: Of texts, and of units that go through a tokenizer one by one: what a task holds at a time.
+_CHUNK_BYTES, _CHUNK_UNITS = 2 << 20, 4096
 #: Words behind which the next space is no sure cut: empty ones, and those that end in what either side may take for white space.
 _LOOSE = re.compile(r"\A\Z|[\s\u180e\u200b\ufeff]\Z")
 _SPACE_MARK = "\u2581"
@@ -123,7 +125,7 @@ class Tokenizers:
         a = self._joined(self.fast.encode_ordinary, units[:n], self.a_bytes, self.a_size) if n else self._each([])
         if a is None:
             a, n = self._each([]), 0
-        a_rest = self._each([e.ids for e in self.a.encode_batch(units[n:], add_special_tokens=False)])
+        a_rest = self._each([e.ids for k in range(n, len(units), _CHUNK_UNITS) for e in self.a.encode_batch_fast(units[k : k + _CHUNK_UNITS], add_special_tokens=False)])
         m = sure_units
         b = self._joined(lambda text: self.b.encode(text[1:]), units[:m], self.b_bytes, self.b_size)
         if b is None:
@@ -270,7 +272,7 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         tokenizers = None
         for batch in batches:
             tokenizers = tokenizers or Tokenizers(a_path, b_path)
-            for a, b in _runs(batch.column(1)):
+            for a, b in _runs(batch.column(1), _CHUNK_BYTES):
                 columns = align_texts(batch.column(1).slice(a, b - a), tokenizers, sent.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], schema=_HELD)
 

@@ -105,10 +105,10 @@ def token_ids(texts: pa.Array, parts: PartIds) -> tuple[np.ndarray, np.ndarray]:
     return flat, upto[2 * split.offsets.to_numpy()]
 
 
-def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Slices of about ``_CHUNK_BYTES`` of text, whatever the batch size; a longer text is one of its own."""
+def _runs(texts: pa.Array, size: int = _CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Slices of about ``size`` bytes of text, whatever the batch size; a longer text is one of its own."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    edges = [0, *(np.flatnonzero(np.diff(upto // _CHUNK_BYTES)) + 1).tolist(), len(texts)]
+    edges = [0, *(np.flatnonzero(np.diff(upto // size)) + 1).tolist(), len(texts)]
     yield from ((a, b) for a, b in zip(edges, edges[1:]) if b > a)
 
 
