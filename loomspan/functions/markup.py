@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -113,10 +114,42 @@ def clean_text(raw: Column) -> Column:
     return fold_spaces(c)
 
 
+# Openers and closing marks of what is no visible text, and the sentinel put behind openers that nothing closes.
+_BLOCKS = ((r"script\b", "</script>"), (r"style\b", "</style>"), ("!--", "-->"))
+_UNCLOSED = "\u0001"
+
+
+def _from(c: Column, place: Column) -> Column:
+    return F.substring(c, place + 1, F.length(c))
+
+
+def _mark_unclosed(opener: str, close: str) -> Callable[[Column], Column]:
+    """A text with the sentinel in every opener behind the last closing mark, letter case aside."""
+
+    def mark(c: Column) -> Column:
+        rest = F.when(F.lower(c).contains(close), F.regexp_extract(c, rf"(?is)\A(?:.*{re.escape(close)})(.*+)\z", 1)).otherwise(c)
+        return bind(F.length(c) - F.length(rest), lambda head: F.concat(F.left(c, head), F.regexp_replace(_from(c, head), rf"(?i)<(?={opener})", "<" + _UNCLOSED)))
+
+    return mark
+
+
+def _without_tags(c: Column) -> Column:
+    """A space for every tag. A tag ends with ``>``, so none starts behind the last of those."""
+    head = F.length(c) - F.length(F.substring_index(c, ">", -1))
+    return F.when(c.contains(">"), F.concat(F.regexp_replace(F.left(c, head), "(?s)<[^>]*+>", " "), _from(c, head))).otherwise(c)
+
+
 def html_text(html: Column) -> Column:
-    """Visible text of an HTML page: scripts, styles, comments and tags out, the usual entities resolved, spaces folded."""
-    c = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
-    c = F.regexp_replace(c, r"(?s)<[^>]*>", " ")
+    """Visible text of an HTML page: scripts, styles, comments and tags out, the usual entities resolved, spaces folded.
+
+    An opener costs its own length only, closed or not: behind the last closing mark of its kind it opens nothing, and gets a
+    sentinel (a space where a page holds one) before blocks are taken out.
+    """
+    c = F.translate(html, _UNCLOSED, " ")
+    for opener, close in _BLOCKS:
+        c = bind(c, _mark_unclosed(opener, close))
+    c = F.regexp_replace(c, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
+    c = F.replace(bind(c, _without_tags), F.lit(_UNCLOSED), F.lit(""))
     for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         c = F.replace(c, F.lit(code), F.lit(char))
     return fold_spaces(c)

@@ -84,7 +84,7 @@ def canonical_key(surface: Column) -> Column:
 
 def strip_honorific(surface: Column) -> Column:
     """Leading honorifics go while a capitalised word follows."""
-    return F.regexp_replace(fold_spaces(surface), rf"^(?:(?i:{_TITLES})\.* (?=\p{{Lu}}))+", "")
+    return F.regexp_replace(fold_spaces(surface), rf"^(?:(?i:{_TITLES})\.* (?=\p{{Lu}}))++", "")
 
 
 def strip_article(surface: Column) -> Column:
@@ -102,5 +102,5 @@ def is_no_name(word: Column) -> Column:
 
 def noun_form(word: Column) -> Column:
     """Token without trailing possessives, then without one plural s if longer than three."""
-    bare = F.regexp_replace(word, r"(?:'s|')+\z", "")
+    bare = F.regexp_replace(word, r"(?:'s|')++\z", "")
     return F.when(bare.endswith("s") & (F.length(bare) > 3), F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)

@@ -1,4 +1,8 @@
-"""Regular-expression helpers that keep Unicode semantics and match positions inside whole-stage SQL functions."""
+"""Regular-expression helpers that keep Unicode semantics and match positions inside whole-stage SQL functions.
+
+A repeated group is matched by recursion unless it is possessive, so that a long enough text would end the executor: groups here and in
+the other functions are possessive (``(...)*+``) wherever they may repeat without a bound.
+"""
 
 from __future__ import annotations
 

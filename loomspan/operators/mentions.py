@@ -9,9 +9,10 @@ from ..functions.context import follows_prose, opens_sentence
 from ..functions.names import canonical_key, is_no_name, is_stopword, strip_honorific
 from ..functions.regex import CLOSE, WS, fold_spaces, segments
 
-# Fixed value: words of a capital and lower-case letters (or apostrophes), joined by blanks or a lower-case connector.
+# Fixed value: words of a capital and lower-case letters (or apostrophes), joined by blanks or a lower-case connector. The repeated group
+# is possessive: nothing follows it and no word can give anything back, and only so is a run of any length matched without recursion.
 _WORD = "[A-Z][a-z’']+"
-RUN = rf"(?U){_WORD}(?:{WS}+(?:of|the|de|and|in|on){WS}+{_WORD}|{WS}+{_WORD})*"
+RUN = rf"(?U){_WORD}(?:{WS}+(?:of|the|de|and|in|on){WS}+{_WORD}|{WS}+{_WORD})*+"
 MIN_EVIDENCE = 2
 
 
