@@ -9,8 +9,9 @@ never matches on from such a character into a space, and no piece of B holds its
 therefore a row of *units* (a space and what follows), and each distinct unit of a chunk of texts is tokenized and aligned once.
 
 Linked tokens end together, so one's bytes end with the other's: the two vocabularies alone bound the pairs of ids that can ever be
-linked (324,297 for the two public ones, whatever the corpus). A link is stored as its number in the table of these pairs, the pairs are
-counted by an aggregate, and every task gets the counts as one array, broadcast on the ground of that bound.
+linked (324,297 for the two public ones, whatever the corpus). A link is stored as its number in the table of these pairs, four bytes
+each in one value per document; the pairs are counted in the tasks and then by an aggregate, and every task gets the counts as one
+array, broadcast on the ground of that bound.
 
 Defined results: texts that are null or empty, or whose joined A or B bytes differ from a space and the text (U+2581 is such a
 character), have no tokens: zeros and an empty ``groups_sha256``. Special tokens' strings are plain text. Repeated rows count as often
@@ -39,11 +40,13 @@ COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 _LONGS = lambda names: [(n, pa.int64()) for n in names]
 _KINDS = pa.schema([*_LONGS(("doc_id", *COUNTS, "n_best", "count_sum")), ("groups_sha256", pa.string())])
-_HELD = pa.schema([*_LONGS(("doc_id", *COUNTS)), ("groups_sha256", pa.string()), ("links", pa.list_(pa.int32()))])
+_HELD = pa.schema([*_LONGS(("doc_id", *COUNTS)), ("groups_sha256", pa.string()), ("links", pa.binary())])
+_MET = pa.schema(_LONGS(("pair", "n")))
 #: A pair of ids is one number, A's id in the high bits.
 _B_BITS = 32
 #: Of texts, and of units that go through a tokenizer one by one: what a task holds at a time.
 _CHUNK_BYTES, _CHUNK_UNITS = 2 << 20, 4096
+_NUMBER = np.dtype("<i4")
 #: Words behind which the next space is no sure cut: empty ones, and those that end in what either side may take for white space.
 _LOOSE = re.compile(r"\A\Z|[\s\u180e\u200b\ufeff]\Z")
 _SPACE_MARK = "\u2581"
@@ -105,34 +108,40 @@ class Tokenizers:
 
     def _joined(self, encode, units: list[str], table: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of units that follow each other with sure cuts between them, in one call; None if it changes their bytes."""
-        if not units:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         text = "".join(units)
         ids = encode(text)
         if b"".join([table[i] for i in ids]) != text.encode():
             return None
         ids = np.array(ids, np.int64)
-        ends = np.cumsum(pc.binary_length(pa.array(units)).to_numpy())
+        ends = np.cumsum(pc.binary_length(pa.array(units, pa.string())).to_numpy())
         return ids, np.diff(np.searchsorted(np.cumsum(sizes[ids]), ends, "right"), prepend=0)
 
-    def _each(self, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([i for ids in lists for i in ids], np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+    def _a_singly(self, units: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _b_singly(self, units: list[str]) -> list[list[int]]:
+        """B adds the first space of a text itself; a lone space, as the end of a text can be, is nothing to it without that."""
+        return [ids or [self.b.piece_to_id(_SPACE_MARK)] for ids in self.b.encode([u[1:] for u in units], num_threads=1)]
 
     def encode(self, units: list[str], ascii_units: int, sure_units: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For A and B: the ids of all units, and how many each has. The first ``ascii_units`` are ASCII, the first ``sure_units`` end and
-        start with sure cuts; B adds the first space of a text itself."""
-        n = ascii_units if self.fast else 0
-        a = self._joined(self.fast.encode_ordinary, units[:n], self.a_bytes, self.a_size) if n else self._each([])
-        if a is None:
-            a, n = self._each([]), 0
-        a_rest = self._each([e.ids for k in range(n, len(units), _CHUNK_UNITS) for e in self.a.encode_batch_fast(units[k : k + _CHUNK_UNITS], add_special_tokens=False)])
-        m = sure_units
-        b = self._joined(lambda text: self.b.encode(text[1:]), units[:m], self.b_bytes, self.b_size)
-        if b is None:
-            b, m = self._each([]), 0
-        # a lone space, as the end of a text can be, is nothing to B without what it adds
-        b_rest = self._each([ids or [self.b.piece_to_id(_SPACE_MARK)] for ids in self.b.encode([u[1:] for u in units[m:]], num_threads=1)])
-        return [tuple(np.concatenate(x) for x in zip(one, rest)) for one, rest in ((a, a_rest), (b, b_rest))]
+        start with sure cuts. A bounded number of units is with a tokenizer at a time."""
+        out = []
+        for joined, singly, table, sizes, most in (
+            (self.fast and self.fast.encode_ordinary, self._a_singly, self.a_bytes, self.a_size, ascii_units if self.fast else 0),
+            (lambda text: self.b.encode(text[1:]), self._b_singly, self.b_bytes, self.b_size, sure_units),
+        ):
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for at in range(0, len(units), _CHUNK_UNITS):
+                for lo, hi in ((at, min(at + _CHUNK_UNITS, max(at, most))), (max(at, most), at + _CHUNK_UNITS)):
+                    if part := units[lo:hi]:
+                        ids = self._joined(joined, part, table, sizes) if hi <= most else None
+                        if ids is None:
+                            lists = singly(part)
+                            ids = np.array([i for x in lists for i in x], np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+                        found.append(ids)
+            out.append(tuple(np.concatenate(x) for x in zip(*found)))
+        return out
 
 
 def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +265,23 @@ def align_texts(texts: pa.Array, tokenizers: Tokenizers, pairs: np.ndarray) -> l
     upto = np.concatenate([[0], np.cumsum(size)])
     links = unit.links[np.repeat(unit.upto[of] - upto[:-1], size) + np.arange(upto[-1])]
     ends = np.concatenate([[0], np.cumsum(counts[3])])
-    return [*map(pa.array, counts), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(links, pa.int32()))]
+    return [*map(pa.array, counts), pa.array(digests, pa.string()), _to_bytes(links, ends)]
+
+
+def _to_bytes(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary value of four-byte numbers for each stretch between two ``ends``."""
+    offsets = pa.py_buffer((ends * _NUMBER.itemsize).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, offsets, pa.py_buffer(numbers.astype(_NUMBER).tobytes())])
+
+
+def _from_bytes(held: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all values, and where each value's start (one more entry than values)."""
+    if not len(held):
+        return np.zeros(0, _NUMBER), np.zeros(1, np.int64)
+    _, offsets, data = held.buffers()
+    starts = np.frombuffer(offsets, np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64)
+    flat = np.frombuffer(data or b"", np.uint8)[starts[0] : starts[-1]].view(_NUMBER)
+    return flat, (starts - starts[0]) // _NUMBER.itemsize
 
 
 def align_tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -276,9 +301,16 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 columns = align_texts(batch.column(1).slice(a, b - a), tokenizers, sent.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], schema=_HELD)
 
-    held = ", ".join(SCHEMA.split(", ")[:5]) + ", groups_sha256 string, links array<int>"
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(len(sent.value), np.int64)
+        for batch in batches:
+            met += np.bincount(_from_bytes(batch.column(0))[0], minlength=len(met))
+        pair = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(met[pair])], schema=_MET)
+
+    held = ", ".join(SCHEMA.split(", ")[:5]) + ", groups_sha256 string, links binary"
     aligned = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(align, held), "aligned")
-    met = aligned.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).toArrow()
+    met = aligned.select("links").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(possible) + 1, np.int64)
     counts[met["pair"].to_numpy()] = met["n"].to_numpy()
     b_of = np.append(possible & ((1 << _B_BITS) - 1), 0)
@@ -289,8 +321,7 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, best = told.value
         for batch in batches:
-            links = batch.column("links")
-            starts, flat = links.offsets.to_numpy() - links.offsets[0].as_py(), links.flatten().to_numpy()
+            flat, starts = _from_bytes(batch.column("links"))
             sums = [pa.array(_sums(of[flat], starts)) for of in (best, counts)]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("doc_id", *COUNTS)], *sums, batch.column("groups_sha256")], schema=_KINDS)
 
