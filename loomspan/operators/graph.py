@@ -11,6 +11,7 @@ from ..functions.names import ALIASES, canonical_key, entity_slug, strip_article
 from ..functions.qa import is_eligible
 from ..functions.regex import strip
 from .mentions import confirmed_words, mentions, surface_forms
+from .numbering import numbered
 
 MIN_ENTRIES, MIN_SINGLE_WORD, MIN_ROTATION_ENTRIES, MIN_ROTATION_SPAN = 2, 3, 3, 2
 
@@ -127,10 +128,11 @@ def rotation_candidates(entities: DataFrame) -> DataFrame:
 
 
 def connection_cycle(entities: DataFrame, seed: str) -> DataFrame:
-    """(pos, id): eligible entities in the order of a seeded hash, the same on any cluster."""
+    """(pos, id): eligible entities in the order of a seeded hash, the same on any cluster; numbered in ranges of the hash, so that no
+    task sees them all."""
     order = F.sha2(F.concat(F.lit(seed), F.col("id")), 256)
     rows = rotation_candidates(entities).select("id", order.alias("_order"))
-    return rows.select((F.row_number().over(Window.orderBy("_order", "id")) - 1).alias("pos"), "id")
+    return numbered(rows, [F.col("_order"), F.col("id")]).select("pos", "id")
 
 
 def shuffled_cycle(entities: DataFrame, seed: str, most: int = 100_000) -> list[str]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import CATEGORIES, describe_spread, name_matches, plural
+from .numbering import BLOCK, next_at_or_after, placed
 
 PAGE_SIZE = 30
 
@@ -39,11 +40,11 @@ def result_count(shown: Column, total: Column) -> Column:
 
 def evidence(entity_entries: DataFrame, entries: DataFrame, categories: tuple[str, ...] = tuple(c for c, _, _ in CATEGORIES)) -> DataFrame:
     """Entries behind an entity ((entity_id, entry_id) pairs), missing ones dropped; ``place`` orders by category, then name as
-    a reader would (locale collation). Unknown categories come first."""
+    a reader would (locale collation), then id. Unknown categories come first. An entity of very many entries is spread over tasks."""
     rank = F.array_position(F.array(*[F.lit(c) for c in categories]), F.coalesce("category", F.lit(""))) - 1
     rows = entity_entries.join(entries, "entry_id").withColumn("_rank", rank)
-    place = F.row_number().over(Window.partitionBy("entity_id").orderBy("_rank", F.collate("name", "UNICODE"), "entry_id"))
-    return rows.withColumn("place", place).drop("_rank")
+    order = [F.col("_rank"), F.collate("name", "UNICODE"), F.col("entry_id")]
+    return placed(rows, ["entity_id"], order).drop("_rank")
 
 
 def connection_card(entity: DataFrame, categories=CATEGORIES) -> DataFrame:
@@ -61,22 +62,19 @@ def cycle_index(today: Column, start: Column, length: Column) -> Column:
     return F.pmod(F.datediff(today, start).cast("long"), length.cast("long"))
 
 
-def daily_pick(cycle: DataFrame, entities: DataFrame, start: str, days: DataFrame) -> DataFrame:
+def daily_pick(cycle: DataFrame, entities: DataFrame, start: str, days: DataFrame, block: int = BLOCK) -> DataFrame:
     """For each row of ``days`` (day): the first id at or after the day's index that still exists, walking around once.
 
-    Only the distinct indexes (no more than the cycle is long) are ordered against the live positions, each by the next live one
-    at or after it; days then look theirs up. Days without a hit (an empty cycle) have a null id.
+    Only the distinct indexes (no more than the cycle is long) meet the live positions, in blocks of ``block`` positions; days then
+    look theirs up. Days without a hit (an empty cycle, or one of which nothing lives) have a null id.
     """
-    n = cycle.count()
-    live = cycle.join(entities.select("id").distinct(), "id", "left_semi").select(F.col("pos").cast("long").alias("pos"), "id")
+    n, last = cycle.agg(F.count("*"), F.max("pos")).first()
     if n == 0:
         return days.select("day", F.lit(None).cast("string").alias("id"))
+    live = cycle.join(entities.select("id").distinct(), "id", "left_semi").select(F.col("pos").cast("long").alias("pos"), F.col("id").alias("value"))
+    twice = live.union(live.select(F.col("pos") + n, "value"))
     asked = days.select("day", cycle_index(F.col("day"), F.lit(start).cast("date"), F.lit(n)).alias("pos"))
-    twice = live.union(live.select(F.col("pos") + n, "id")).withColumn("asks", F.lit(False))
-    stops = twice.union(asked.select("pos", F.lit(None).cast("string").alias("id"), F.lit(True).alias("asks")).distinct())
-    # from the last position down, the live one met last is the next one at or after; a running value, so linear
-    hit = F.last("id", ignorenulls=True).over(Window.orderBy(F.desc("pos"), "asks").rowsBetween(Window.unboundedPreceding, 0))
-    found = stops.withColumn("hit", hit).filter("asks").select("pos", "hit")
+    found = next_at_or_after(twice, asked.select("pos").distinct(), n + max(n, last + 1), block)
     return asked.join(found, "pos", "left").select("day", F.col("hit").alias("id"))
 
 

@@ -218,6 +218,20 @@ def evidence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.evidence(pairs, rows).select("entity_id", "entry_id", F.col("place").cast("long").alias("place"))
 
 
+@query(
+    _INDEX + f""", one AS (SELECT id, unnest(string_split(entry_ids, ',')) AS entry_id FROM entity),
+    titled AS (SELECT CAST(doc_id AS VARCHAR) AS entry_id, split_part(text, chr(10), 1) AS name FROM documents)
+    SELECT o.id AS entity_id, o.entry_id AS entry_id, t.name AS name, row_number() OVER (PARTITION BY o.id
+      ORDER BY coalesce(list_position(['light_cone','relic_set','character_story'], e.category), 0), icu_sort_key(t.name, 'root') NULLS FIRST, o.entry_id) AS place
+    FROM one o JOIN entry e USING (entry_id) JOIN titled t USING (entry_id)"""
+)
+def evidence_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries behind every entity in a reader's order of their names: the first lines of the texts, accents and cases as they are."""
+    pairs = graph.entity_links(entries(spark, sf_dir)).select(F.col("id").alias("entity_id"), "entry_id")
+    rows = entries(spark, sf_dir).select("entry_id", "category", F.substring_index("raw_text", "\n", 1).alias("name"))
+    return serving.evidence(pairs, rows).select("entity_id", "entry_id", "name", "place")
+
+
 # --- serving -------------------------------------------------------------------------------------------------------------
 
 _START = "1995-06-17"
