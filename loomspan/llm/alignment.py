@@ -44,13 +44,15 @@ _HELD = pa.schema([*_LONGS(("doc_id", *COUNTS)), ("groups_sha256", pa.string()),
 _MET = pa.schema(_LONGS(("pair", "n")))
 #: A pair of ids is one number, A's id in the high bits.
 _B_BITS = 32
-#: Of texts, and of units that go through a tokenizer one by one: what a task holds at a time.
-_CHUNK_BYTES, _CHUNK_UNITS = 2 << 20, 4096
+#: Of texts, of units that go through a tokenizer in one call, and of links: what a task works on at a time.
+_CHUNK_BYTES, _CHUNK_UNITS, _CHUNK_LINKS = 1 << 20, 4096, 1 << 20
 _NUMBER = np.dtype("<i4")
 #: Words behind which the next space is no sure cut: empty ones, and those that end in what either side may take for white space.
 _LOOSE = re.compile(r"\A\Z|[\s\u180e\u200b\ufeff]\Z")
 _SPACE_MARK = "\u2581"
-#: The expression of the byte-level pre-tokenizer, over ASCII text.
+#: Units of ASCII and Latin letters, which every version of Unicode puts into the same classes.
+_LATIN = re.compile(r"[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*+\Z")
+#: The expression of the byte-level pre-tokenizer.
 _WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -71,7 +73,7 @@ class Tokenizers:
         with open(a_path, encoding="utf-8") as f:
             merges = json.load(f)["model"]["merges"]
         self.fast = None
-        # where ids rank the merges, ASCII text can go through the plain merge loop, which gives the same ids
+        # where ids rank the merges, Latin text can go through the plain merge loop, which gives the same ids
         made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
         if made == sorted(made):
             self.fast = tiktoken.Encoding("a", pat_str=_WORDS, mergeable_ranks={b: i for i, b in of_id.items()}, special_tokens={})
@@ -123,12 +125,12 @@ class Tokenizers:
         """B adds the first space of a text itself; a lone space, as the end of a text can be, is nothing to it without that."""
         return [ids or [self.b.piece_to_id(_SPACE_MARK)] for ids in self.b.encode([u[1:] for u in units], num_threads=1)]
 
-    def encode(self, units: list[str], ascii_units: int, sure_units: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For A and B: the ids of all units, and how many each has. The first ``ascii_units`` are ASCII, the first ``sure_units`` end and
+    def encode(self, units: list[str], latin_units: int, sure_units: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and B: the ids of all units, and how many each has. The first ``latin_units`` are Latin text, the first ``sure_units`` end and
         start with sure cuts. A bounded number of units is with a tokenizer at a time."""
         out = []
         for joined, singly, table, sizes, most in (
-            (self.fast and self.fast.encode_ordinary, self._a_singly, self.a_bytes, self.a_size, ascii_units if self.fast else 0),
+            (self.fast and self.fast.encode_ordinary, self._a_singly, self.a_bytes, self.a_size, latin_units if self.fast else 0),
             (lambda text: self.b.encode(text[1:]), self._b_singly, self.b_bytes, self.b_size, sure_units),
         ):
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
@@ -178,9 +180,9 @@ def _kept(units: list[str], ids: np.ndarray, upto: np.ndarray, table: list[bytes
     return np.array([b"".join(found[p:q]) == u.encode() for u, p, q in zip(units, upto.tolist(), upto[1:].tolist())], bool)
 
 
-def align_units(units: list[str], ascii_units: int, sure_units: int, tokenizers: Tokenizers, pairs: np.ndarray) -> Aligned:
+def align_units(units: list[str], latin_units: int, sure_units: int, tokenizers: Tokenizers, pairs: np.ndarray) -> Aligned:
     """Units as :func:`cut_units` gives them. Those whose bytes a tokenizer changes have no tokens."""
-    (a, n_a), (b, n_b) = tokenizers.encode(units, ascii_units, sure_units)
+    (a, n_a), (b, n_b) = tokenizers.encode(units, latin_units, sure_units)
     from_zero = lambda n: np.concatenate([[0], np.cumsum(n)])
     kept = _kept(units, a, from_zero(n_a), tokenizers.a_bytes) & _kept(units, b, from_zero(n_b), tokenizers.b_bytes)
     if not kept.all():
@@ -206,7 +208,7 @@ def align_units(units: list[str], ascii_units: int, sure_units: int, tokenizers:
 
 def cut_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], int, int]:
     """Texts as units: an index per unit, where each text's units start (one more entry than texts), and the distinct units, of which
-    as many as told are ASCII with sure cuts around them, and as many have sure cuts.
+    as many as told first are Latin text with sure cuts around them, and as many as told then have sure cuts.
 
     Texts are split at every space; a word that ends in white space and an empty one are put together again with the next, as a cut is
     only sure behind a character that is none. Null and empty texts have no unit.
@@ -233,7 +235,7 @@ def cut_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], int,
             stretches += [of[starts[last] : starts[k]], np.array(mine, np.int64)]
             counts[k], last = len(mine), k + 1
         of, units = np.concatenate([*stretches, of[starts[last] :]]), list(number)
-    kind = np.fromiter((2 if _LOOSE.search(u) or _SPACE_MARK in u else 0 if u.isascii() else 1 for u in units), np.int64, len(units))
+    kind = np.fromiter((2 if _LOOSE.search(u) or _SPACE_MARK in u else 0 if _LATIN.match(u) else 1 for u in units), np.int64, len(units))
     used = np.zeros(len(units), bool)
     used[of] = True
     kind[~used] = 3  # stood only in words that were put together
@@ -251,8 +253,8 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def align_texts(texts: pa.Array, tokenizers: Tokenizers, pairs: np.ndarray) -> list[pa.Array]:
     """Of each text: its counts, the digest of its groups, and its links."""
-    of, starts, units, ascii_units, sure_units = cut_units(texts)
-    unit = align_units(units, ascii_units, sure_units, tokenizers, pairs)
+    of, starts, units, latin_units, sure_units = cut_units(texts)
+    unit = align_units(units, latin_units, sure_units, tokenizers, pairs)
     whole = (_sums(~unit.kept[of], starts) == 0) & (np.diff(starts) > 0)
     counts = [np.where(whole, _sums(n[of], starts), 0) for n in (unit.n_a, unit.n_b, unit.n_links, unit.n_links)]
     groups, place = unit.groups, of.tolist()
@@ -284,6 +286,12 @@ def _from_bytes(held: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, (starts - starts[0]) // _NUMBER.itemsize
 
 
+def _link_slices(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``_CHUNK_LINKS`` links; a row that has more is one of its own."""
+    for a, b in _runs(batch.column(name), _CHUNK_LINKS * _NUMBER.itemsize):
+        yield batch.slice(a, b - a)
+
+
 def align_tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One row per document, columns ``SCHEMA``: A is a byte-level BPE file of ``tokenizers``, B a sentencepiece model with byte fallback.
 
@@ -304,7 +312,8 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros(len(sent.value), np.int64)
         for batch in batches:
-            met += np.bincount(_from_bytes(batch.column(0))[0], minlength=len(met))
+            for part in _link_slices(batch, "links"):
+                met += np.bincount(_from_bytes(part.column("links"))[0], minlength=len(met))
         pair = np.flatnonzero(met)
         yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(met[pair])], schema=_MET)
 
@@ -321,8 +330,9 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, best = told.value
         for batch in batches:
-            flat, starts = _from_bytes(batch.column("links"))
-            sums = [pa.array(_sums(of[flat], starts)) for of in (best, counts)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("doc_id", *COUNTS)], *sums, batch.column("groups_sha256")], schema=_KINDS)
+            for part in _link_slices(batch, "links"):
+                flat, starts = _from_bytes(part.column("links"))
+                sums = [pa.array(_sums(of[flat], starts)) for of in (best, counts)]
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in ("doc_id", *COUNTS)], *sums, part.column("groups_sha256")], schema=_KINDS)
 
     return aligned.mapInArrow(rate, SCHEMA)
