@@ -1,35 +1,27 @@
-"""Streaming upsert: each micro-batch of new rows is merged into a versioned Parquet corpus."""
+"""Streaming upsert: each micro-batch of new rows is merged into a corpus of change files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.merge import merge_entries
-from ..sources.json_array import exists
+from ..plans import store
 
 
-def merge_stream(new: DataFrame, corpus: str, checkpoint: str, today: str) -> StreamingQuery:
-    """Write version ``batch + 1`` of the corpus from version ``batch`` (``corpus/v=N``; version 0 must exist).
+def merge_stream(new: DataFrame, corpus: str, checkpoint: str, today: str, buckets: int = 64, compact_after: int = 8, keep: int = 2) -> StreamingQuery:
+    """Merge every micro-batch into the store ``corpus`` (or the plain table ``corpus/v=0``, which becomes a store first).
 
-    A batch that is run again overwrites its own version from the same predecessor, so recovery gives the same corpus.
+    A batch reads and writes the buckets of its keys alone. One that is run again after a failure was either committed, and is
+    skipped, or was not, and overwrites its own files: recovery gives the same corpus.
     """
+    store.opened(new.sparkSession, corpus, buckets)
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{corpus}/v={number}")
-        merged = merge_entries(before, batch, today)
-        # new rows come after all there are, so that every batch keeps the order of those before it
-        last = before.agg(F.coalesce(F.max("pos"), F.lit(-1))).first()[0]
-        merged = merged.withColumn("pos", merged["pos._pos"] + merged["pos._src"] * (last + 1)).select(*before.columns)
-        merged.write.mode("overwrite").parquet(f"{corpus}/v={number + 1}")
+        store.upsert(batch.sparkSession, corpus, batch, today, source=checkpoint, batch=number, compact_after=compact_after, keep=keep)
 
     return new.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark, corpus: str) -> DataFrame:
-    n = 0
-    while exists(spark, f"{corpus}/v={n + 1}"):
-        n += 1
-    return spark.read.parquet(f"{corpus}/v={n}")
+def latest(spark: SparkSession, corpus: str) -> DataFrame:
+    store.opened(spark, corpus)
+    return store.read(spark, corpus)
