@@ -58,14 +58,15 @@ def resolve(forms: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame
     return rows.select(*own, key.alias("key"), canonical.alias("canonical"), kind.alias("kind"))
 
 
-def entity_nodes(resolved: DataFrame) -> DataFrame:
-    """Aggregate mentions (entry_pos, entry_id, category, match_pos, key, canonical, kind) to entities, before ids.
+def entity_nodes(resolved: DataFrame, times: Column | None = None) -> DataFrame:
+    """Aggregate mentions (entry_pos, entry_id, category, match_pos, key, canonical, kind) to entities, before ids. A row may stand for
+    ``times`` mentions of a form in an entry, the first of them at match_pos.
 
     The display name is the most frequent form, of equals the first seen; counts are by distinct entry. Every step groups by a
     key after a map-side pre-aggregation.
     """
     seen = F.struct("entry_pos", "match_pos")
-    forms = resolved.groupBy("key", "canonical").agg(F.count("*").alias("n"), F.min(seen).alias("first"))
+    forms = resolved.groupBy("key", "canonical").agg((F.count("*") if times is None else F.sum(times)).alias("n"), F.min(seen).alias("first"))
     display = forms.groupBy("key").agg(F.min_by("canonical", F.struct(-F.col("n"), "first")).alias("name"), F.min("first").alias("first"))
     pairs = resolved.groupBy("key", "entry_id").agg(F.min("kind").alias("kind"), F.max_by("category", "entry_pos").alias("category"))
     counts = pairs.groupBy("key", "category").agg(F.count("*").cast("long").alias("n"), F.min("kind").alias("kind"), F.collect_list("entry_id").alias("ids"))
