@@ -81,7 +81,7 @@ BUILDERS: dict[str, Callable[..., DataFrame]] = {"light_cone": light_cones, "rel
 
 
 def register_builder(category: str, build: Callable[..., DataFrame]) -> None:
-    """A new category is one function from pages to entries."""
+    """A new category is one function from pages to entries; ``plans.refresh`` runs those registered, in this order."""
     BUILDERS[category] = build
 
 

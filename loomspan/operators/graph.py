@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.names import ALIASES, canonical_key, entity_slug, strip_article
 from ..functions.qa import is_eligible
 from ..functions.regex import strip
+from .lineage import fixed
 from .mentions import confirmed_words, mentions, surface_forms
 from .numbering import numbered
 
@@ -97,7 +98,7 @@ def ranked(entities: DataFrame) -> DataFrame:
 def _resolved(entries: DataFrame, aliases: dict[str, str], gated: bool) -> DataFrame:
     """Mentions of eligible entries with key, canonical and kind."""
     rows = entries.filter(is_eligible(F.col("reviewed"), F.col("qa_flags"))) if gated else entries
-    found = mentions(rows.select("entry_pos", "entry_id", "category", "raw_text")).persist()
+    found = fixed(mentions(rows.select("entry_pos", "entry_id", "category", "raw_text")))  # read twice, scanned once
     forms = surface_forms(found, confirmed_words(found))
     return resolve(forms, gazetteer(rows.select("entry_pos", "category", "name")), alias_table(entries.sparkSession, aliases))
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import threading
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +15,9 @@ from pyspark.sql import types as T
 
 from ..functions.names import text_hash
 from ..functions.qa import other_flags, short_text_flags
+from ..functions.regex import strip
 from ..sources.json_array import exists
+from .lineage import fixed
 
 Model = Callable[[str], str]
 
@@ -24,8 +29,10 @@ def render_prompt(template: str, name: Column, category: Column, raw_text: Colum
 
 
 def parse_answer(answer: Column) -> Column:
-    """short_text of a JSON answer, stripped; null if malformed or missing."""
-    return F.trim(F.get_json_object(answer, "$.short_text"))
+    """short_text of a JSON answer, stripped; null if the answer is malformed or holds none, or one that is no text."""
+    held = F.try_variant_get(F.try_parse_json(answer), "$.short_text", "variant")
+    alone = F.json_array_length(F.concat(F.lit("["), answer, F.lit("]"))) == 1  # nothing follows the value
+    return F.when(alone & (F.schema_of_variant(held) == "STRING"), strip(F.try_variant_get(held, "$", "string")))
 
 
 def is_stale(version: str) -> Column:
@@ -40,25 +47,47 @@ def first_words(prompt: str) -> str:
     return json.dumps({"short_text": prompt.rsplit("\n", 1)[-1][:200]})
 
 
-def paraphrase(entries: DataFrame, template: str, version: str, model: Model = first_words) -> DataFrame:
-    """Stale rows get a new short text, hash, version and flags; a row whose call fails keeps its hash (so it is tried again) and
-    gets ``paraphrase_error``. All other rows stay. The call runs in Arrow batches on stale rows only; a failing row fails alone.
+class Pace:
+    """Lets calls of one task begin at least ``delay`` seconds after each other, however many threads ask."""
+
+    def __init__(self, delay: float):
+        self.delay, self.lock, self.next = delay, threading.Lock(), 0.0
+
+    def wait(self) -> None:
+        with self.lock:
+            now = time.monotonic()
+            begin, self.next = max(now, self.next), max(now, self.next) + self.delay
+        if begin > now:
+            time.sleep(begin - now)
+
+
+def _ask(model: Model, pace: Pace, prompt: str) -> str | None:
+    pace.wait()
+    try:
+        return model(prompt)
+    except Exception:  # any failure marks this row alone
+        return None
+
+
+def paraphrase(entries: DataFrame, template: str, version: str, model: Model = first_words, calls: int = 4, delay: float = 0.0) -> DataFrame:
+    """Stale rows get a new short text, hash, version and flags; a row whose call fails, or whose answer is no JSON object with a text
+    ``short_text``, keeps its hash (so it is tried again) and gets ``paraphrase_error``. All other rows stay.
+
+    The call runs in Arrow batches on stale rows only: in every task at most ``calls`` at a time, beginning ``delay`` seconds apart. A
+    failing row fails alone.
     """
     names = entries.columns
     stale = entries.filter(is_stale(version)).withColumn("_prompt", render_prompt(template, F.col("name"), F.col("category"), F.col("raw_text")))
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            answers = []
-            for prompt in pdf["_prompt"]:
-                try:
-                    answers.append(json.loads(model(prompt))["short_text"].strip())
-                except Exception:  # any failure marks this row alone
-                    answers.append(None)
-            yield pdf.drop(columns="_prompt").assign(_answer=answers)
+        pace = Pace(delay)
+        with ThreadPoolExecutor(calls) as pool:
+            for pdf in batches:
+                yield pdf.drop(columns="_prompt").assign(_said=list(pool.map(lambda prompt: _ask(model, pace, prompt), pdf["_prompt"])))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema.fields)
-    done = stale.mapInPandas(call, schema + ", _answer string")
+    # the answer is parsed here, not in the workers
+    done = stale.mapInPandas(call, schema + ", _said string").withColumn("_answer", parse_answer(F.col("_said"))).drop("_said")
     ok = F.col("_answer").isNotNull()
     held = F.coalesce("qa_flags", F.array().cast("array<string>"))
     failed = F.when(F.array_contains(held, "paraphrase_error"), held).otherwise(F.concat(held, F.array(F.lit("paraphrase_error"))))
@@ -80,7 +109,7 @@ def paraphrase_some(entries: DataFrame, template: str, version: str, limit: int,
         ids = [r["pos"] for r in rows.orderBy("pos").select("pos").limit(min(batch, limit - got)).collect()]
         if not ids:
             break
-        out = paraphrase(entries.filter(F.col("pos").isin(ids)), template, version, model).persist()
+        out = fixed(paraphrase(entries.filter(F.col("pos").isin(ids)), template, version, model))
         got += out.filter(~F.coalesce(F.array_contains("qa_flags", "paraphrase_error"), F.lit(False))).count()
         done, last = out if done is None else done.unionByName(out), ids[-1]
     if done is None:

@@ -53,8 +53,9 @@ def connection_card(entity: DataFrame, categories=CATEGORIES) -> DataFrame:
     return entity.select("id", "name", "kind", describe_spread(counts, categories).alias("spread"), (F.col("category_span") > 1).alias("bridges"), F.col("entry_count"))
 
 
-def last_updated(entries: DataFrame) -> DataFrame:
-    return entries.agg(F.max("date_updated").alias("latest"))
+def last_updated(entries: DataFrame, *by: str) -> DataFrame:
+    """The latest update and the number of entries, of all or by the columns ``by``."""
+    return entries.groupBy(*by).agg(F.max("date_updated").alias("latest"), F.count("*").alias("entries"))
 
 
 def cycle_index(today: Column, start: Column, length: Column) -> Column:

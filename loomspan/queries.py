@@ -295,7 +295,7 @@ def escape_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderpriority AS category, strftime(max(o_orderdate), '%Y-%m-%d') AS latest, count(*) || CASE WHEN count(*) = 1 THEN ' order' ELSE ' orders' END AS told FROM orders GROUP BY 1")
 def last_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("category"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_updated"))
-    return rows.groupBy("category").agg(F.max("date_updated").alias("latest"), display.plural(F.count("*"), "order").alias("told"))
+    return serving.last_updated(rows, "category").select("category", "latest", display.plural(F.col("entries"), "order").alias("told"))
 
 
 # --- names, hashes, markup -----------------------------------------------------------------------------------------------
