@@ -16,6 +16,7 @@ each; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import random
 import re
 from collections import Counter
@@ -67,13 +68,14 @@ UNLIKE = (
 )
 UNKNOWN = "unknown"
 TRIGGER = r"(?i)licen[cs]e|copyright|\bgpl|spdx|\bcc0|\bcc by|creative commons|public domain|rights reserved|permission is hereby|is hereby granted|redistribution and use|free software foundation"
-_WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
+# Repeated groups are possessive: a dotted word of any length is matched without recursion.
+_WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*+"
 _BREAK = r"[\n\r]+|(?<=[.!?])[ \t]+(?=[A-Z])"
 # Blank lines, and sentence ends with the line ends and comment marks behind them.
 _MARKS = r"[ \t*#;/%>|-]*"
 _PASSAGE = rf"(?:\r\n?+|\n){_MARKS}(?:\r\n?+|\n)|(?<=[.!?])(?=[ \t\n\r])[ \t]*+(?:[\n\r]++{_MARKS}+)*+(?=[A-Z])"
 # The Creative Commons licences are also written with a dash: "CC-BY-SA 4.0" has the words of "CC BY-SA 4.0".
-_DASHED = r"(?<![a-z0-9])cc-(by(?:-(?:sa|nc|nd))*)(?![a-z0-9])(?![.+-][a-z0-9])"
+_DASHED = r"(?<![a-z0-9])cc-(by(?:-(?:sa|nc|nd))*+)(?![a-z0-9])(?![.+-][a-z0-9])"
 CONFIRM = 0.6
 
 
@@ -170,8 +172,9 @@ class LicenceModel:
         return out
 
 
-def _doubles(values: np.ndarray) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def _constant(value: list, kind: str) -> Column:
+    """A table as one literal of the plan, however many entries it has."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def _words(paragraph: Column) -> Column:
@@ -180,7 +183,7 @@ def _words(paragraph: Column) -> Column:
 
 def _confirmable(paragraph: Column, confirm: float = CONFIRM) -> Column:
     """Whether the paragraph holds enough words of any template."""
-    every = F.array(*[F.array(*[F.lit(w) for w in sorted(set(words_of(s)))]) for sentences in TEMPLATES.values() for s in sentences])
+    every = _constant([sorted(set(words_of(s))) for sentences in TEMPLATES.values() for s in sentences], "array<array<string>>")
     # bound, so that the words are cut out once
     return F.exists(F.array(_words(paragraph)), lambda words: F.exists(every, lambda t: F.size(F.array_intersect(t, words)) / F.size(t) >= confirm))
 
@@ -190,12 +193,12 @@ def classify(paragraph: Column, model: LicenceModel, confirm: float = CONFIRM) -
     words = _words(paragraph)
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     mine = F.array_distinct(F.concat(words, pairs))
-    names = F.array(*[F.lit(g) for g in model.features])
-    table = F.array(*[_doubles(row) for row in model.weights])
+    names = _constant(model.features, "array<string>")
+    table = _constant(model.weights.tolist(), "array<array<double>>")
     places = F.filter(F.transform(mine, lambda g: F.array_position(names, g)), lambda i: i > 0)
-    logits = F.aggregate(places, _doubles(model.bias), lambda acc, i: F.zip_with(acc, F.element_at(table, i.cast("int")), lambda a, b: a + b))
-    families = F.array(*[F.lit(c) for c in model.classes])
-    templates = F.array(*[F.array(*[F.array(*[F.lit(w) for w in sorted(set(re.findall(_WORD, s.lower())))]) for s in TEMPLATES.get(c, ())]) if c in TEMPLATES else F.array(F.array(F.lit(""))) for c in model.classes])
+    logits = F.aggregate(places, _constant(model.bias.tolist(), "array<double>"), lambda acc, i: F.zip_with(acc, F.element_at(table, i.cast("int")), lambda a, b: a + b))
+    families = _constant(model.classes, "array<string>")
+    templates = _constant([[sorted(set(words_of(t))) for t in TEMPLATES[c]] if c in TEMPLATES else [[""]] for c in model.classes], "array<array<array<string>>>")
 
     def settled(z: Column) -> Column:
         top = F.array_max(z)
