@@ -53,15 +53,17 @@ def proper_nouns(text: Column, skip_openers: bool) -> Column:
     return F.when(whole.contains("'" * LONG_RUN), _nouns(whole, ANY_TOKEN, skip_openers)).otherwise(_nouns(whole, CAPITAL_TOKEN, skip_openers))
 
 
-def short_text_flags(short: Column, raw: Column, name: Column) -> Column:
-    """Flags of a short text against its source; an empty one has that flag alone."""
+def short_text_flags(short: Column, raw: Column, name: Column, raw_nouns: Column | None = None) -> Column:
+    """Flags of a short text against its source; an empty one has that flag alone. ``raw_nouns`` may hold the source's proper nouns;
+    where it is null the source is searched for them."""
     low = F.lower(short)
     refusal = F.lit(False)
     for marker in REFUSALS:
         refusal = refusal | low.contains(marker)
     # the source, by far the longest text, is searched only where the short text has nouns that are not in the name
     open_ = F.array_except(proper_nouns(short, True), proper_nouns(name, False))
-    invented = bind(open_, lambda nouns: F.when(F.size(nouns) > 0, F.size(F.array_except(nouns, proper_nouns(raw, True))) > 0).otherwise(False))
+    there = proper_nouns(raw, True) if raw_nouns is None else F.coalesce(raw_nouns, proper_nouns(raw, True))
+    invented = bind(open_, lambda nouns: F.when(F.size(nouns) > 0, F.size(F.array_except(nouns, there)) > 0).otherwise(False))
     found = flags(
         ("short_text_too_short", F.length(short) < MIN_LENGTH), ("short_text_too_long", F.length(short) > MAX_LENGTH),
         ("short_text_identical_to_raw", strip(short) == strip(raw)), ("possible_refusal_artifact", refusal),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import text_hash
-from ..functions.qa import other_flags, short_text_flags
+from ..functions.qa import other_flags, proper_nouns, short_text_flags
 from ..functions.regex import strip
 from ..sources.json_array import exists
 from .lineage import fixed
@@ -159,9 +159,34 @@ def paraphrase_batches(entries: DataFrame, folder: str, template: str, version:
     return counts
 
 
-def revalidate(entries: DataFrame) -> DataFrame:
-    """Fresh flags for rows with a short text, after the flags a validation does not own; ``changed`` tells where they differ."""
+def source_nouns(entries: DataFrame) -> DataFrame:
+    """(text_hash, nouns) of every distinct source text: what a revalidation needs to know of it."""
+    found = entries.select(text_hash(F.col("raw_text")).alias("text_hash"), proper_nouns(F.col("raw_text"), True).alias("nouns")).filter("text_hash IS NOT NULL")
+    return found.groupBy("text_hash").agg(F.any_value("nouns").alias("nouns"))
+
+
+def kept_nouns(entries: DataFrame, folder: str) -> DataFrame:
+    """:func:`source_nouns` from a table under ``folder``: only texts whose hash is not in it yet are searched, and are added to it."""
+    spark, schema = entries.sparkSession, "text_hash string, nouns array<string>"
+    held = spark.read.schema(schema).parquet(folder) if exists(spark, folder) else spark.createDataFrame([], schema)
+    hashed = entries.withColumn("_h", text_hash(F.col("raw_text")))
+    new = hashed.join(held.select(F.col("text_hash").alias("_h")), "_h", "left_anti")
+    source_nouns(new).write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
+def revalidate(entries: DataFrame, nouns: DataFrame | None = None) -> DataFrame:
+    """Fresh flags for rows with a short text, after the flags a validation does not own; ``changed`` tells where they differ.
+
+    ``nouns`` (text_hash, nouns; one row a hash) spares the search of texts that it knows: those rows join a small set by hash.
+    """
+    names = entries.columns
+    if nouns is not None:
+        known = nouns.select(F.col("text_hash").alias("_h"), F.col("nouns").alias("_nouns"))
+        entries = entries.join(known, text_hash(F.col("raw_text")) == F.col("_h"), "left")
     held = F.coalesce("qa_flags", F.array().cast("array<string>"))
-    fresh = F.concat(other_flags(F.col("qa_flags")), short_text_flags(F.col("short_text"), F.col("raw_text"), F.col("name")))
+    told = short_text_flags(F.col("short_text"), F.col("raw_text"), F.col("name"), None if nouns is None else F.col("_nouns"))
+    fresh = F.concat(other_flags(F.col("qa_flags")), told)
     now = F.when(F.coalesce("short_text", F.lit("")) != "", fresh).otherwise(F.col("qa_flags"))
-    return entries.withColumn("changed", ~F.coalesce(now, held).eqNullSafe(held)).withColumn("qa_flags", now)
+    out = entries.withColumn("changed", ~F.coalesce(now, held).eqNullSafe(held)).withColumn("qa_flags", now)
+    return out.select(*names, "changed")
