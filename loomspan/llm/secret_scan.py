@@ -9,7 +9,8 @@ candidates and are scanned where they lie for the rules without trigrams. Postin
 and shared ids are no common key.
 
 Offsets come from splitting a text at the rule's matches: the pieces between matches and the matches themselves alternate, so
-running sums of their lengths are the positions (code points, end exclusive).
+running sums of their lengths are the positions (code points, end exclusive). They are summed by blocks, and redaction puts the
+pieces between spans together from blocks of the text, so that a text of very many spans costs little more than its length.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned each; rows that agree in doc_id and text share
 their candidate flags; an empty table gives an empty result; extra columns are kept, or ignored by the digest, whatever their
@@ -25,6 +26,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.regex import bind
 from .common import cut, drop
 
 # The base rules. ``least`` is the length that group ``group`` of a match must reach.
@@ -55,6 +57,7 @@ RULES = (
 
 _ANY: list[frozenset[str]] = [frozenset()]
 _MOST = 32
+_BLOCK = 1024
 
 
 def _both(a: list[frozenset[str]], b: list[frozenset[str]]) -> list[frozenset[str]]:
@@ -150,6 +153,27 @@ def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, lis
     return found, sorted({min(grams, key=lambda g: (length.get(g, 0), g)) for _, grams in alternatives})
 
 
+def running(items: Column, zero: Column, step) -> Column:
+    """What ``step(value, item)`` gives over all items before each one, from ``zero`` on.
+
+    An array grows by copying, so this goes by blocks of about the root of their number: over n items it costs n times that root.
+    """
+    width = F.ceil(F.sqrt(F.size(items))).cast("int")
+
+    def grown(parts: Column, first: Column, fold) -> Column:
+        """The value before each part."""
+        start = F.struct(first.alias("value"), F.array_remove(F.array(first), first).alias("before"))
+        return F.aggregate(parts, start, lambda acc, x: F.struct(fold(acc["value"], x).alias("value"), F.array_append(acc["before"], acc["value"]).alias("before")))["before"]
+
+    def by_blocks(blocks: Column) -> Column:
+        firsts = grown(blocks, zero, lambda value, block: F.aggregate(block, value, step))
+        return F.flatten(F.zip_with(blocks, firsts, lambda block, first: grown(block, first, step)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.size(items) - 1, F.greatest(width, F.lit(1))), lambda at: F.slice(items, at + 1, width))
+    none = F.array_remove(F.array(zero), zero)
+    return F.when(F.size(items) > 0, bind(blocks, by_blocks)).otherwise(none)
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """array<struct<start, end, kind>> of a rule's leftmost non-overlapping matches that pass its length test."""
     pattern = F.lit(rule.pattern)
@@ -157,17 +181,14 @@ def spans_of(text: Column, rule: Rule) -> Column:
     tested = F.regexp_extract_all(text, pattern, rule.group) if rule.group else whole
     gaps = F.transform(F.split(text, rule.pattern, -1), lambda g: F.length(g))
     lengths = F.arrays_zip(F.transform(whole, lambda m: F.length(m)).alias("whole"), F.transform(tested, lambda m: F.length(m)).alias("tested"), gaps.alias("gap"))
-    rows = F.slice(lengths, 1, F.size(whole))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["whole"]
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        more = F.when(x["tested"] >= rule.least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
-        return F.struct(end.alias("at"), more.alias("found"))
+    def placed(rows: Column) -> Column:
+        starts = running(rows, F.lit(0), lambda at, x: at + x["gap"] + x["whole"])
+        every = F.zip_with(rows, starts, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["whole"]).alias("end"), F.lit(rule.kind).alias("kind"), x["tested"].alias("tested")))
+        return F.transform(F.filter(every, lambda s: s["tested"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
 
-    return F.aggregate(rows, zero, step)["found"]
+    # of every match and the piece before it; the piece behind the last match has no partner
+    return bind(lengths, lambda rows: placed(F.filter(rows, lambda x: x["whole"].isNotNull())))
 
 
 def _quick(rule: Rule) -> str:
@@ -225,21 +246,28 @@ def secret_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     return found.select(F.col("doc_id").cast("long"), *[count(k) for k in base], F.sha2(_joined(only), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
 
 
+def _stretch(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters ``start`` to ``end`` of a text cut into blocks of ``_BLOCK``: costs what it holds and two blocks, wherever it lies."""
+    first, last = F.floor(start / _BLOCK).cast("int"), F.floor((end - 1) / _BLOCK).cast("int")
+    block = lambda k: F.get(blocks, k)
+    inner = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    over = F.concat(F.substring(block(first), start - first * _BLOCK + 1, F.lit(_BLOCK)), inner, F.substring(block(last), F.lit(1), end - last * _BLOCK))
+    return F.when(end <= start, "").when(first == last, F.substring(block(first), start - first * _BLOCK + 1, end - start)).otherwise(over)
+
+
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "<secret>") -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` (overlapping spans once) and ``n_chars``, if there, counted anew."""
     into = next(c for c in (f"found{i}" for i in range(len(docs.columns) + 1)) if c not in {d.lower() for d in docs.columns})
     found = find_secrets(docs, rules, into)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        text = F.when(s["start"] >= acc["at"], F.concat(acc["text"], before, F.lit(mark))).otherwise(acc["text"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), text.alias("text"))
+    spans = F.col(into)
 
-    def rest(acc: Column) -> Column:
-        return F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+    def cleaned(blocks: Column) -> Column:
+        before = running(spans, F.lit(0), lambda at, s: F.greatest(at, s["end"]))
+        kept = F.zip_with(spans, before, lambda s, at: F.when(s["start"] >= at, F.concat(_stretch(blocks, at, s["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(kept, ""), _stretch(blocks, F.array_max(F.transform(spans, lambda s: s["end"])), F.length("text")))
 
-    clean = F.when(F.size(into) > 0, F.aggregate(into, start, step, rest)).otherwise(F.col("text"))
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_BLOCK}}}"), 0)
+    clean = F.when(F.size(into) > 0, bind(blocks, cleaned)).otherwise(F.col("text"))
     out = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
