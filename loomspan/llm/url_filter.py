@@ -99,15 +99,21 @@ def _has_token(value: Column, token: str) -> Column:
 
 
 def alias_targets(html: Column) -> Column:
-    """Targets of a page's canonical links and redirects, as written. Attributes may stand in any order."""
-    tags = lambda name: F.regexp_extract_all(html, F.lit(rf"(?is)(<{name}\s[^>]*>)"), 1)
-    links = F.filter(tags("link"), lambda tag: tag.rlike(CANONICAL) | _has_token(_attribute(tag, "rel"), "canonical"))
+    """Targets of a page's canonical links and redirects, as written. Attributes may stand in any order.
+
+    A tag is looked for before the page's last ``>`` alone, and in a tag from its start alone: an opener that nothing closes, or that
+    stands inside another tag, costs its own length.
+    """
+    closed = F.left(html, F.length(html) - F.length(F.substring_index(html, ">", -1)))
+    tags = lambda name: F.regexp_extract_all(closed, F.lit(rf"(?is)(<{name}\s[^>]*+>)"), 1)
+    at_start = lambda pattern: pattern.replace("(?is)", r"(?is)\A", 1)
+    links = F.filter(tags("link"), lambda tag: tag.rlike(at_start(CANONICAL)) | _has_token(_attribute(tag, "rel"), "canonical"))
     canonical = F.transform(links, lambda tag: F.regexp_extract(tag, HREF, 1))
 
     def refresh(tag: Column) -> Column:
         told = F.regexp_extract(_attribute(tag, "content"), r"(?is)url\s*=\s*[\"']?([^\"'\s>]+)", 1)
         late = F.when(_has_token(_attribute(tag, "http-equiv"), "refresh"), told).otherwise("")
-        first = F.regexp_extract(tag, REFRESH, 1)
+        first = F.regexp_extract(tag, at_start(REFRESH), 1)
         return F.when(first != "", first).otherwise(late)
 
     every = F.concat(canonical, F.transform(tags("meta"), refresh), F.regexp_extract_all(html, F.lit(SCRIPT), 1))
