@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import connection_cycle, entity_index
 from ..operators.merge import merge_entries, merge_stats
-from ..sources.json_array import exists, read_array, union_sources
+from ..operators.numbering import numbered
+from ..sources.json_array import exists, json_text, read_array, union_sources
 
 
 def indexed(entries: DataFrame) -> DataFrame:
@@ -52,8 +56,8 @@ def build_corpus(spark: SparkSession, corpus: str, sources: dict[str, str], out:
 
 
 def entities_file(entities: DataFrame, cycle: DataFrame, start: str) -> DataFrame:
-    """One row: generated_at, entity_count, cycle_start_date, the cycle's ids in order and the entities by id. This is the exchange
-    format of a site, one row that holds everything; a large graph stays a table."""
+    """One row: generated_at, entity_count, cycle_start_date, the cycle's ids in order and the entities by id. One row holds everything;
+    :func:`write_entities` writes the same in parts."""
     told = ("id", "name", "kind", "category_span", "entry_count", "category_counts", "entry_ids")
     # by the ids alone, as maps have no order
     by_id = lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
@@ -62,6 +66,28 @@ def entities_file(entities: DataFrame, cycle: DataFrame, start: str) -> DataFram
     return rows.join(ids, "one").select(F.current_timestamp().alias("generated_at"), "entity_count", F.lit(start).alias("cycle_start_date"), "cycle", "entities")
 
 
+def write_entities(entities: DataFrame, cycle: DataFrame, path: str, start: str, generated_at: str) -> None:
+    """The same exchange file as indented JSON, replacing what is there: a folder of part files, which one after another in the order of
+    their names are the object (and a line end). Ids and entities are lines that many tasks write; none holds them all."""
+    spark = entities.sparkSession
+    told = entities.select("id", "name", "kind", "category_span", "entry_count", "category_counts", "entry_ids")
+    count, last_id = told.agg(F.count("*"), F.max("id")).first()
+    last_pos = cycle.agg(F.max("pos")).first()[0]
+    quoted = lambda text: json.dumps(text, ensure_ascii=False)
+    head = f'{{\n  "generated_at": {quoted(generated_at)},\n  "entity_count": {count},\n  "cycle_start_date": {quoted(start)},\n  "cycle": ['
+    marks = [(0, head + ("],\n" if last_pos is None else "")), (2, ("" if last_pos is None else "  ],\n") + '  "entities": [' + ("]\n}" if count == 0 else "")), (4, "" if count == 0 else "  ]\n}")]
+    if last_pos is None:
+        marks = [(0, marks[0][1] + marks[1][1]), marks[2]]
+    line = "section int, pos long, id string, value string"
+    ends = lambda last: F.when(last, "").otherwise(",")
+    ids = cycle.select(F.lit(1).alias("section"), F.col("pos").cast("long").alias("pos"), "id", F.concat(F.lit("    "), json_text(F.col("id"), T.StringType()), ends(F.col("pos") == last_pos)).alias("value"))
+    each = json_text(F.struct(*told.columns), told.schema, 2)
+    nodes = told.select(F.lit(3).alias("section"), F.lit(0).cast("long").alias("pos"), "id", F.concat(F.lit("    "), each, ends(F.col("id") == last_id)).alias("value"))
+    rest = spark.createDataFrame([(k, 0, None, text) for k, text in marks if text], line)
+    rows = numbered(rest.unionByName(ids).unionByName(nodes), [F.col("section"), F.col("pos"), F.col("id")], "_n")
+    rows.select("value").write.mode("overwrite").text(path)
+
+
 def run_summary(entries: DataFrame) -> DataFrame:
     """Per category: entries, flagged ones, ones without text."""
     return entries.groupBy("category").agg(F.count("*").alias("entries"), F.count_if(F.size("qa_flags") > 0).alias("flagged"), F.count_if(F.coalesce("raw_text", F.lit("")) == "").alias("empty"))
