@@ -15,6 +15,9 @@ from .functions import display, markup, names, qa
 from .functions.context import follows_prose, opens_sentence
 from .operators import builders, graph, incremental, merge, serving
 from .operators import mentions as runs
+from .operators.lineage import scratch
+from .plans import graph_state, store
+from .sources import json_array
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -659,3 +662,50 @@ def character_story_records_whole(spark: SparkSession, sf_dir: str) -> DataFrame
 )
 def connection_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.connection_card(index(spark, sf_dir))
+
+
+# --- what is kept between runs -------------------------------------------------------------------------------------------
+
+
+@query(ORACLE_SQL["merge_upsert"])
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same merge through a store of change files: the old rows, then the new ones in two batches."""
+    old, new = _old_new(spark, sf_dir)
+    base = merge.merge_entries(old, new.filter("false"), "2024-02-01")
+    folder = scratch(spark, "store")
+    store.create(spark, folder, base.withColumn("pos", F.col("pos._pos")).select(*old.columns), buckets=16)
+    middle = new.agg(F.max("pos")).first()[0] // 2
+    for batch in (new.filter(F.col("pos") <= middle), new.filter(F.col("pos") > middle)):
+        store.upsert(spark, folder, batch, "2025-05-05", compact_after=1)
+    return store.read(spark, folder).select("category", names.merge_name(F.col("name")).alias("key"), "id", "date_added", "date_updated", "reviewed")
+
+
+@query(ORACLE_SQL["entity_index"])
+def graph_from_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all entries, reached by an update: some of them were other or not there before, and some others were."""
+    now = entries(spark, sf_dir)
+    kind = F.pmod(F.xxhash64("entry_id"), F.lit(20))
+    swapped = F.concat(F.lit("they met Old Mara at "), F.substring_index("raw_text", "\n", 1))
+    before = now.filter(kind != 1).withColumn("raw_text", F.when(kind == 0, swapped).otherwise(F.col("raw_text")))
+    extra = now.filter(kind == 2).withColumn("entry_id", F.concat(F.lit("gone-"), "entry_id"))
+    folder = scratch(spark, "graph")
+    graph_state.rebuild(before.unionByName(extra), folder)
+    graph_state.update(folder, now.filter(kind <= 1), extra.select("entry_id"))
+    return graph_state.entities(spark, folder).select("id", "key", "name", "kind", F.array_join("entry_ids", ",").alias("entry_ids"), "entry_count", "category_span")
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id, text, lang, source, n_chars FROM documents")
+def json_array_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents written as an indented JSON array in parts, and read again in splits."""
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("pos"), "doc_id", "text", "lang", "source", "n_chars")
+    folder = scratch(spark, "array")
+    json_array.write_array(rows, f"{folder}/documents")
+    return json_array.read_array(spark, f"{folder}/documents", rows.drop("pos").schema)
+
+
+@query(ORACLE_SQL["revalidate_flags"])
+def revalidate_kept_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same revalidation with the nouns of the source texts from a kept table."""
+    rows = _tracked(spark, sf_dir)
+    nouns = incremental.kept_nouns(rows, scratch(spark, "nouns"))
+    return incremental.revalidate(rows, nouns).select("id", F.array_join("qa_flags", ",").alias("flags"), "changed")
