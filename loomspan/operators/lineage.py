@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> None:
 
 def fixed(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder: what its rows and their places are read from later never changes, and a
-    lost executor costs no recomputation. The files go when the driver drops the table."""
+    lost executor costs no recomputation. Spark deletes the files as the table is dropped where its cleaner is set to clean checkpoints."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
