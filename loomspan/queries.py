@@ -45,11 +45,15 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents")
 
 
+def _category() -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in CATEGORY.items() for x in kv]), F.col("lang")), F.lit("other"))
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as entries; the name pairs the text's first two words as a character and a variant."""
     words = F.split("text", r"[ \n\t]+")
     word = lambda i: F.regexp_replace(F.coalesce(F.get(words, F.lit(i)), F.lit("")), "[^A-Za-z]", "")
-    category = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in CATEGORY.items() for x in kv]), F.col("lang")), F.lit("other"))
+    category = _category()
     held = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("toxic"))
     return docs(spark, sf_dir).join(held, F.col("doc_id") == F.col("l_id"), "left").select(
         F.col("doc_id").alias("entry_pos"), F.col("doc_id").cast("string").alias("entry_id"), category.alias("category"),
@@ -231,7 +235,7 @@ def evidence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries behind every entity in a reader's order of their names: the first lines of the texts, accents and cases as they are."""
     pairs = graph.entity_links(entries(spark, sf_dir)).select(F.col("id").alias("entity_id"), "entry_id")
-    rows = entries(spark, sf_dir).select("entry_id", "category", F.substring_index("raw_text", "\n", 1).alias("name"))
+    rows = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("entry_id"), _category().alias("category"), F.substring_index("text", "\n", 1).alias("name"))
     return serving.evidence(pairs, rows).select("entity_id", "entry_id", "name", "place")
 
 
