@@ -50,14 +50,16 @@ def _category() -> Column:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as entries; the name pairs the text's first two words as a character and a variant."""
+    """Documents as entries; the name pairs the letters of the text's first two words as a character and a variant, and is the
+    character's alone if the second has none: a bullet that nothing follows would count as part of the character's name."""
     words = F.split("text", r"[ \n\t]+")
     word = lambda i: F.regexp_replace(F.coalesce(F.get(words, F.lit(i)), F.lit("")), "[^A-Za-z]", "")
+    who = F.when(word(1) == "", word(0)).otherwise(F.concat(word(0), F.lit(" • "), word(1)))
     category = _category()
     held = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("toxic"))
     return docs(spark, sf_dir).join(held, F.col("doc_id") == F.col("l_id"), "left").select(
         F.col("doc_id").alias("entry_pos"), F.col("doc_id").cast("string").alias("entry_id"), category.alias("category"),
-        F.concat(word(0), F.lit(" • "), word(1), F.lit(" — Story "), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("raw_text"),
+        F.concat(who, F.lit(" — Story "), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("raw_text"),
         F.lit(True).alias("reviewed"), F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).otherwise(F.array().cast("array<string>")).alias("qa_flags"),
     )
 
