@@ -24,7 +24,7 @@ def tables(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", "connection_card entity_category_counts entity_display_name entity_index evidence_by_name evidence_list graph_from_changes".split())
+@pytest.mark.parametrize("name", "connection_card entity_category_counts entity_display_name entity_index evidence_by_name evidence_list graph_from_changes graph_totals".split())
 def test_a_name_without_a_variant_is_a_character(spark, tables, name):
     folder, con = tables
     want = con.execute(catalog.ORACLE_SQL[name]).df()
