@@ -680,7 +680,7 @@ def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = merge.merge_entries(old, new.filter("false"), "2024-02-01")
     folder = scratch(spark, "store")
     store.create(spark, folder, base.withColumn("pos", F.col("pos._pos")).select(*old.columns), buckets=16)
-    middle = new.agg(F.max("pos")).first()[0] // 2
+    middle = (new.agg(F.max("pos")).first()[0] or 0) // 2  # no new rows: two empty batches
     for batch in (new.filter(F.col("pos") <= middle), new.filter(F.col("pos") > middle)):
         store.upsert(spark, folder, batch, "2025-05-05", compact_after=1)
     return store.read(spark, folder).select("category", names.merge_name(F.col("name")).alias("key"), "id", "date_added", "date_updated", "reviewed")
