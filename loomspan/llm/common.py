@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import math
 import re
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 _KNOWN: set[str] = set()
-_WRITING: list[int] = []
-_BEFORE: dict[str, str] = {}
+_WRITING: dict[str, int] = {}
+_BEFORE: dict[str, str | None] = {}
 _LOCK = threading.Lock()
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Of rows with whole texts in one Arrow batch, in the JVM and in the worker: by their number alone, 10,000 texts are one batch.
+BATCH_BYTES = 15 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,33 +46,38 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def _shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go as soon as a write is done. Writes may overlap: the first turns the setting on, the last restores it."""
+def _while_writing(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting for the time of a write. Writes may overlap: the first makes the setting, the last restores it."""
     with _LOCK:
-        if not _WRITING:
-            _BEFORE[_CLEANUP] = spark.conf.get(_CLEANUP)
-            spark.conf.set(_CLEANUP, "true")
-        _WRITING.append(1)
+        if not _WRITING.get(key):
+            _BEFORE[key] = spark.conf.get(key, None)
+            spark.conf.set(key, value)
+        _WRITING[key] = _WRITING.get(key, 0) + 1
     try:
         yield
     finally:
         with _LOCK:
-            _WRITING.pop()
-            if not _WRITING:
-                spark.conf.set(_CLEANUP, _BEFORE[_CLEANUP])
+            _WRITING[key] -= 1
+            if not _WRITING[key] and _BEFORE[key] is None:
+                spark.conf.unset(key)
+            elif not _WRITING[key]:
+                spark.conf.set(key, _BEFORE[key])
 
 
-def cut(df: DataFrame, label: str = "t") -> DataFrame:
+def cut(df: DataFrame, label: str = "t", batch_bytes: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there and survives lost executors.
 
     The shuffle files behind the write are deleted as soon as it is done, as nothing reads them any more. The table itself is
-    deleted by :func:`drop`, at the latest when the driver ends.
+    deleted by :func:`drop`, at the latest when the driver ends. ``batch_bytes`` bounds the Arrow batches that Python workers get.
     """
     spark = df.sparkSession
     folder = f"{scratch_root(spark)}/loomspan/{spark.sparkContext.applicationId}"
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    with _shuffle_cleanup(spark):
+    with contextlib.ExitStack() as settings:
+        settings.enter_context(_while_writing(spark, _CLEANUP, "true"))
+        if batch_bytes:
+            settings.enter_context(_while_writing(spark, _BATCH, str(batch_bytes)))
         df.write.parquet(path)
     if folder not in _KNOWN:
         _KNOWN.add(folder)
@@ -91,6 +101,30 @@ def drop(df: DataFrame) -> None:
         system.delete(target, True)
 
 
+def release_memory() -> None:
+    """Give free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; when its task is done, what it held is given back. Spark keeps idle workers for later tasks, beside
+    stages that run in the JVM alone."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return whole
+
+
+def texts_in(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The values of a column, a few of them as Python objects at a time."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, drop, pieces, shuffle_partitions
+from .common import BATCH_BYTES, connected_components, cut, drop, pieces, releasing, shuffle_partitions
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -279,11 +279,11 @@ def _links(pairs: DataFrame, index: DataFrame, overlap) -> DataFrame:
     mine = F.col("q_last") <= F.col("last")
     rest = F.when(mine, F.col("q_m") - F.size("q_short")).otherwise(F.col("m") - F.size("short"))
     both = pairs.join(index.select("node", "n", "m", "short", "last"), "node").join(ours.drop("q_long"), "query")
-    met = cut(both.select("query", "node", "q_short", "short", (t - rest).cast("long").alias("need")).mapInArrow(_merge, "query long, node long, met long"), "join-met")
+    met = cut(both.select("query", "node", "q_short", "short", (t - rest).cast("long").alias("need")).mapInArrow(releasing(_merge), "query long, node long, met long"), "join-met")
     full = met.join(index, "node").join(ours, "query")
     part = F.when(mine, F.col("q_long")).otherwise(F.col("long"))
     whole = F.when(mine, F.concat("short", "long")).otherwise(F.concat("q_short", "q_long"))
-    found = cut(full.select("query", "node", "met", part.alias("part"), whole.alias("whole"), t.cast("long").alias("t")).mapInArrow(_probe, "a long, b long"), "join-links")
+    found = cut(full.select("query", "node", "met", part.alias("part"), whole.alias("whole"), t.cast("long").alias("t")).mapInArrow(releasing(_probe), "a long, b long"), "join-links")
     drop(met)
     return found
 
@@ -380,13 +380,13 @@ def placed_texts(docs: DataFrame, n: int = 5, percent: int = 75, range_hashes: i
         c = chosen.select(F.col("rep").alias("c_id"), F.col("key").alias("c_key"))
         return keyed.join(c, (keyed["key"] == c["c_key"]) & keyed["doc_id"].eqNullSafe(c["c_id"])).select("key", "text")
 
-    dealt = texts_of(copies).mapInArrow(_deal(ranges, n), DEALT)
+    dealt = texts_of(copies).mapInArrow(releasing(_deal(ranges, n)), DEALT)
     counted = dealt.groupBy("grp").applyInArrow(_census, COUNTED)
-    found = cut(counted.groupBy("chunk").applyInArrow(_verdicts(percent), "key string, n long, alive boolean"), "join-census")
+    found = cut(counted.groupBy("chunk").applyInArrow(_verdicts(percent), "key string, n long, alive boolean"), "join-census", BATCH_BYTES)
     # exactly repeated rows stand for one text
     verdicts = found.groupBy("key").agg(F.max("n").alias("n"), F.max("alive").alias("alive"))
     chosen = copies.join(verdicts.filter("alive").select("key"), "key").select("rep", "key")
-    members = cut(texts_of(chosen).mapInArrow(_sets(n), "key string, node long, n long, shingles array<long>"), "join-sets")
+    members = cut(texts_of(chosen).mapInArrow(releasing(_sets(n)), "key string, node long, n long, shingles array<long>"), "join-sets", BATCH_BYTES)
     sets = cut(members.select("node", "n", "shingles").dropDuplicates(["node"]), "join-classes")
     labels = link_components(sets, percent)
     drop(sets)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, pieces
+from .common import BATCH_BYTES, cut, drop, pieces, releasing
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 NAMES = [x.split()[0] for x in PIECE_SCHEMA.split(", ")]
@@ -132,7 +132,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], NAMES)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(run), PIECE_SCHEMA)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -240,7 +240,7 @@ def pack(found: DataFrame, capacity: int = 4096, group_rows: int = 4096, rounds:
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Tokenize whole documents and pack them into as few sequences as the bounds allow."""
-    found = cut(tokenize_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+    found = cut(tokenize_pieces(docs, tokenizer_path, capacity, end_id), "pieces", BATCH_BYTES)
     out = pack(found, capacity)
     drop(found)  # the first round has read it
     return out

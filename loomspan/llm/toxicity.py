@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, isotonic
-from .common import cut
+from .common import cut, releasing, texts_in
 
 # Common insults, and second-person words, in English, German, French and Spanish.
 INSULTS = frozenset(
@@ -129,7 +129,7 @@ def _chunk_features(texts: list[str], tokens: Tokens) -> np.ndarray:
     return out
 
 
-def features(texts: list[str | None], tokens: Tokens) -> np.ndarray:
+def features(texts: Iterable[str | None], tokens: Tokens) -> np.ndarray:
     """Dense features of whole texts, one row each, computed in chunks of about ``_CHUNK_CHARS``."""
     parts, chunk, chars = [np.empty((0, FEATURES))], [], 0
     for text in texts:
@@ -152,7 +152,7 @@ def _featured(lexicons: list[dict[str, float]]):
             part = batch.column(2).to_numpy()
             for p in np.unique(part).tolist():
                 own = batch.filter(pa.array(part == p))
-                x = features(own.column(0).to_pylist(), tokens[p])
+                x = features(texts_in(own.column(0)), tokens[p])
                 yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), own.column(1), own.column(2)], ["x", "toxic", "part"])
 
     return run
@@ -226,7 +226,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds:
         "tox-sample",
     )
     lexicons = _learn_lexicons(sample, parts, most=2000)
-    rows = sample.select("text", "toxic", "part").mapInArrow(_featured(lexicons), "x array<double>, toxic int, part int").collect()
+    rows = sample.select("text", "toxic", "part").mapInArrow(releasing(_featured(lexicons)), "x array<double>, toxic int, part int").collect()
     if not rows:
         return ToxicityModel(lexicons[-1], None, None)
     rows.sort(key=lambda r: (r["part"], r["toxic"], r["x"]))
@@ -247,10 +247,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(model.lexicon)
         for batch in batches:
-            s = model.scores(features(batch.column(1).to_pylist(), tokens))
+            s = model.scores(features(texts_in(batch.column(1)), tokens))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(run), "doc_id long, score double, predicted int")
 
 
 def reject_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
@@ -260,10 +260,10 @@ def reject_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(model.lexicon)
         for batch in batches:
-            x = features(batch.column(at).to_pylist(), tokens)
+            x = features(texts_in(batch.column(at)), tokens)
             yield batch.filter(pa.array(model.scores(x) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

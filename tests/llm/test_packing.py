@@ -6,7 +6,7 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from loomspan.llm import packing
+from loomspan.llm import common, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -93,3 +93,35 @@ def test_exchange_closes_gaps(spark):
 
 def test_empty(spark):
     assert packing.best_fit_packing(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_workers_get_bounded_batches_of_texts(spark, monkeypatch):
+    docs = spark.range(0, 2000, 1, 1).selectExpr("id as doc_id", "repeat('some words of a text ', 500) as text")  # 21 MB in one partition
+
+    def sizes(batches):
+        for k, batch in enumerate(batches):
+            yield pa.RecordBatch.from_pydict({"doc_id": [0], "piece": pa.array([k], pa.int32()), "start": [batch.nbytes], "length": [batch.num_rows], "ids_crc32": [0]})
+
+    monkeypatch.setattr(packing, "tokenize_pieces", lambda docs, *_: docs.mapInArrow(sizes, packing.PIECE_SCHEMA))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    rows = packing.best_fit_packing(docs, PATH).collect()
+    assert sum(r["length"] for r in rows) == 2000 and max(r["start"] for r in rows) <= 1.1 * common.BATCH_BYTES
+    assert spark.conf.get(key, None) == before
+
+
+def test_a_worker_gives_its_memory_back_between_tasks(spark):
+    def run(batches):
+        for batch in batches:
+            held = pa.array([str(k) * 20 for k in range(800_000)])
+            yield batch.slice(0, min(1, len(held)))
+
+    def left(batches):
+        list(batches)
+        kb = next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("RssAnon"))
+        yield pa.RecordBatch.from_arrays([pa.array([kb])], ["kb"])
+
+    one = spark.range(0, 10, 1, 1)
+    fresh = one.mapInArrow(left, "kb long").first()[0]
+    one.mapInArrow(common.releasing(run), "id long").count()
+    assert one.mapInArrow(left, "kb long").first()[0] <= fresh + 40_000
